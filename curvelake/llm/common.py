@@ -9,9 +9,13 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Words end at these bytes: space and \t \n \v \f \r.
-SPACE = np.zeros(256, bool)
-SPACE[[0x20, 9, 10, 11, 12, 13]] = True
+#: Classes of bytes: runs of a class other than 0 are words. Here words end at space and \t \n \v \f \r.
+SPACED = np.ones(256, np.int8)
+SPACED[[0x20, 9, 10, 11, 12, 13]] = 0
+#: Letters, digits and all bytes of longer characters, against punctuation.
+PUNCTUATED = np.array([0 if SPACED[b] == 0 else 1 if b >= 128 or chr(b).isalnum() else 2 for b in range(256)], np.int8)
+#: Only letters and all bytes of longer characters.
+LETTERS = np.array([1 if b >= 128 or chr(b).isalpha() else 0 for b in range(256)], np.int8)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -74,14 +78,15 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 class Words:
     """The words of a batch of texts as arrays: the text each is of, where it starts and ends in the joined bytes, and its 64-bit hash."""
 
-    def __init__(self, texts: list[bytes], breaks: np.ndarray = SPACE):
+    def __init__(self, texts: list[bytes], classes: np.ndarray = SPACED):
         joined = np.frombuffer(b"\n".join([*texts, b""]), np.uint8)
         sizes = np.fromiter(map(len, texts), np.int64, len(texts))
-        inside = ~breaks[joined]
+        kind = classes[joined]
         ends_of = np.cumsum(sizes + 1)
-        inside[ends_of - 1] = False
-        flips = np.flatnonzero(np.diff(inside, prepend=False, append=False))
-        self.start, self.end = flips[::2], flips[1::2]
+        kind[ends_of - 1] = 0
+        flips = np.flatnonzero(np.diff(kind, prepend=np.int8(0), append=np.int8(0)))
+        begins = kind[flips[:-1]] != 0
+        self.start, self.end = flips[:-1][begins], flips[1:][begins]
         self.text = np.searchsorted(ends_of, self.start, "right")
         self.n = len(texts)
         up, self._down = _powers(len(joined) + 1)

@@ -2,7 +2,7 @@
 
 Both hash a batch of texts at once with numpy (common.Words) and score as sparse dot products: gather the features' weights, add up by text.
 
-Quality: word unigrams and bigrams of the whole text, hashed to 2**bits weights, each feature counted once an occurrence and divided by the
+Quality: word unigrams and bigrams of the whole text (runs of punctuation are words too), hashed to 2**bits weights, each feature counted once an occurrence and divided by the
 number of words; logistic regression by follow-the-regularised-leader updates (FTRL-proximal: a squared-gradient history and L1 and L2 terms for each weight).
 
 Toxicity: a chain of categories in a fixed order. Features are the presence of hashed words and of their first bytes; the model of each
@@ -26,11 +26,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, Words, mix, slices, text_or_empty
+from .common import LETTERS, PUNCTUATED, Words, mix, slices, text_or_empty
 
-#: Letters are ASCII letters and every byte of a longer character.
-NO_LETTER = np.array([not (65 <= b <= 90 or 97 <= b <= 122 or b >= 128) for b in range(256)])
-PREFIXES = (4, 5, 6)
+PREFIXES = (3, 4, 5, 6)
 
 
 def _bytes(column: pa.Array) -> list[bytes]:
@@ -55,18 +53,20 @@ class Sparse:
 
 
 def ngram_features(texts: list[bytes], bits: int) -> Sparse:
-    """Word unigrams and bigrams, each occurrence worth 1 / words."""
-    w = Words(texts, SPACE)
+    """Word unigrams and bigrams, each occurrence worth 1 / words. Runs of punctuation are words; equal words next to each other, or with one between them, are one feature each, whatever the word."""
+    w = Words(texts, PUNCTUATED)
     shift = np.uint64(64 - bits)
     two = np.flatnonzero(w.text[1:] == w.text[:-1])
-    h = np.concatenate([w.hash, mix(w.hash[two] * np.uint64(3) + w.hash[two + 1])]) >> shift
-    row = np.concatenate([w.text, w.text[two]])
+    pair = np.where(w.hash[two] == w.hash[two + 1], np.uint64(1), w.hash[two] * np.uint64(3) + w.hash[two + 1])
+    again = np.flatnonzero((w.text[2:] == w.text[:-2]) & (w.hash[2:] == w.hash[:-2]))
+    h = np.concatenate([w.hash, mix(pair), np.full(len(again), mix(np.array([2], np.uint64)))]) >> shift
+    row = np.concatenate([w.text, w.text[two], w.text[again]])
     return Sparse(w.n, row, h.astype(np.int64), 1.0 / np.maximum(w.count, 1)[row])
 
 
 def presence_features(texts: list[bytes], bits: int) -> Sparse:
     """Which words, and first bytes of words, occur. Each counts once a text."""
-    w = Words([x.decode("utf-8", "replace").lower().encode() for x in texts], NO_LETTER)
+    w = Words([x.decode("utf-8", "replace").lower().encode() for x in texts], LETTERS)
     hashes, rows = [w.hash], [w.text]
     for n in PREFIXES:
         long = np.flatnonzero(w.end - w.start >= n)
@@ -93,19 +93,21 @@ class Ftrl:
         w = -(z - np.sign(z) * self.l1) / ((self.beta + np.sqrt(self.n[at])) / self.alpha + self.l2)
         return np.where(np.abs(z) > self.l1, w, 0.0)
 
-    def learn(self, at: np.ndarray, value: np.ndarray, y: float) -> None:
+    def learn(self, at: np.ndarray, value: np.ndarray, y: float, weight: float = 1.0) -> None:
         """at: distinct features."""
         w = self.weights(at)
-        g = (sigmoid(w @ value) - y) * value
+        g = (sigmoid(w @ value) - y) * value * weight
         n = self.n[at]
         self.z[at] += g - (np.sqrt(n + g * g) - np.sqrt(n)) / self.alpha * w
         self.n[at] = n + g * g
 
-    def fit(self, rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, rounds: int) -> Ftrl:
-        order = np.random.Generator(np.random.PCG64(7))
+    def fit(self, rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, rounds: int, most_weight: float = 1.0) -> Ftrl:
+        """Rows of label 1 weigh as much more as they are rarer, up to most_weight."""
+        order, ones = np.random.Generator(np.random.PCG64(7)), max(float(np.sum(y)), 1.0)
+        weight = min(most_weight, max(1.0, len(y) / ones - 1))
         for _ in range(rounds):
             for i in order.permutation(len(rows)):
-                self.learn(*rows[i], y[i])
+                self.learn(*rows[i], y[i], weight if y[i] else 1.0)
         return self
 
 
@@ -198,7 +200,7 @@ def _odds(p):
     return np.log(p / (1 - p)) / 4
 
 
-def train_chain(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], most: int = 6000, bits: int = 20, folds: int = 3, rounds: int = 5, id: str = "doc_id", text: str = "text") -> Chain:
+def train_chain(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], most: int = 8000, bits: int = 20, folds: int = 3, rounds: int = 4, id: str = "doc_id", text: str = "text") -> Chain:
     """categories: name -> 0/1 expression over labels, in the order of the chain."""
     names = list(categories)
     lab = labels.select(id, *(c.cast("int").alias(n) for n, c in categories.items()))
@@ -207,8 +209,8 @@ def train_chain(docs: DataFrame, labels: DataFrame, categories: dict[str, Column
     fold = np.arange(len(feats)) % folds
     for k in range(len(names)):
         rows = [(np.append(a, [*range(size, size + k), size + k]), np.append(v, [*earlier[i], 1.0])) for i, (a, v) in enumerate(feats)]
-        # Few features matter, so l1 keeps the rest at zero; documents of either label weigh alike through the order of learning alone.
-        fit = lambda part, k=k, rows=rows: Ftrl(size + k + 1, alpha=0.1, l1=1.0, l2=0.1).fit([rows[i] for i in part], y[part, k], rounds).weights(slice(None))
+        # Few features matter, so l1 keeps the rest at zero.
+        fit = lambda part, k=k, rows=rows: Ftrl(size + k + 1, alpha=0.1, l1=0.3, l2=0.1).fit([rows[i] for i in part], y[part, k], rounds, 8.0).weights(slice(None))
         if not len(feats):
             chain.weights.append(np.append(np.zeros(size + k), -35.0))
             continue
