@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, media_columns, packing, secret_scan, text_models, token_counts, url_filter
+from . import exact_dedup, media_columns, mixing, packing, secret_scan, text_models, token_counts, url_filter
 from .common import shared_dir, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -47,6 +47,11 @@ def op4_quality(spark: SparkSession, sf_dir: str, threshold: float = 0.3) -> Dat
     return got.select("doc_id", (remainder == 0).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source")
+    return mixing.mix(docs).select("doc_id", "source", "block", "slot", "position")
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str, limit: int = 4096) -> DataFrame:
     # A cache of its own for each call: what a call costs is the cost of a corpus not seen before.
     cache = f"{shared_dir(spark)}/token-counts-{uuid.uuid4().hex}"
@@ -68,7 +73,11 @@ def toxicity_chain(docs: DataFrame, labels: DataFrame) -> text_models.Chain:
     return text_models.train_chain(docs, labels, {k: F.expr(v) for k, v in CATEGORIES.items()})
 
 
-def op9_toxicity(spark: SparkSession, sf_dir: str, threshold: float = 0.5) -> DataFrame:
+#: Probability from which a document is rejected.
+TOXIC = 0.4
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str, threshold: float = TOXIC) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     got = text_models.score_chain(docs, toxicity_chain(docs, table(spark, sf_dir, "labels")))
     return got.select("doc_id", "p_low_quality", "p_toxic", (F.col("p_toxic") >= threshold).alias("toxic"), (F.col("p_toxic") < threshold).alias("kept"))
@@ -84,7 +93,7 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_packing, op2_exact_dedup, op3_url_filter, op4_quality, op7_token_counts, op8_secret_scan, op9_toxicity, op10_media_columns)}
+    return {f.__name__: f for f in (op1_packing, op2_exact_dedup, op3_url_filter, op4_quality, op6_mixing, op7_token_counts, op8_secret_scan, op9_toxicity, op10_media_columns)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -210,7 +210,7 @@ def train_chain(docs: DataFrame, labels: DataFrame, categories: dict[str, Column
     for k in range(len(names)):
         rows = [(np.append(a, [*range(size, size + k), size + k]), np.append(v, [*earlier[i], 1.0])) for i, (a, v) in enumerate(feats)]
         # Few features matter, so l1 keeps the rest at zero.
-        fit = lambda part, k=k, rows=rows: Ftrl(size + k + 1, alpha=0.1, l1=0.3, l2=0.1).fit([rows[i] for i in part], y[part, k], rounds, 8.0).weights(slice(None))
+        fit = lambda part, k=k, rows=rows: Ftrl(size + k + 1, alpha=0.3, l1=3.0, l2=0.1).fit([rows[i] for i in part], y[part, k], rounds, 4.0).weights(slice(None))
         if not len(feats):
             chain.weights.append(np.append(np.zeros(size + k), -35.0))
             continue
@@ -238,3 +238,18 @@ def score_chain(docs: DataFrame, chain: Chain, id: str = "doc_id", text: str = "
             yield pa.RecordBatch.from_arrays([b.column(0), *map(pa.array, np.concatenate(out, axis=1))], names=[id, *names])
 
     return docs.select(F.col(id).alias(id), text_or_empty(text).alias("_text")).mapInArrow(run, ", ".join([f"`{id}` {dict(docs.dtypes)[id]}", *(f"{n} double" for n in names)]))
+
+
+def without_toxic(docs: DataFrame, chain: Chain, threshold: float, text: str = "text") -> DataFrame:
+    """docs' rows whose last category has a probability below threshold, with docs' columns: scored in the same pass, without a join."""
+    shared, name = docs.sparkSession.sparkContext.broadcast(chain), text
+
+    def run(batches):
+        chain = shared.value
+        for b in batches:
+            texts = [x or b"" for x in _bytes(b.column(b.schema.get_field_index(name)))]
+            for s, e in slices(texts):
+                p = chain.probabilities(presence_features(texts[s:e], chain.bits))[-1]
+                yield b.slice(s, e - s).filter(pa.array(p < threshold))
+
+    return docs.mapInArrow(run, docs.schema)
