@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from curvelake.llm import exact_dedup, mixing, packing, registry, text_models
+from curvelake.llm import exact_dedup, mixing, near_dup_join, packing, registry, text_models
 from curvelake.llm.common import table, written
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -22,6 +22,11 @@ def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return exact_dedup.kept(docs, keep="max").select(*COLUMNS)
 
 
+def near_dup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group that links join the document with the smallest id."""
+    return near_dup_join.kept(docs).select(*COLUMNS)
+
+
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, in files and rows in the order of the mix."""
     mixed = mixing.mix(docs)
@@ -34,7 +39,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return got.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
-STAGES = [("toxicity", toxicity), ("exact dedup", dedup), ("mixing", mix), ("packing", pack)]
+STAGES = [("toxicity", toxicity), ("exact dedup", dedup), ("n-gram Jaccard join", near_dup), ("mixing", mix), ("packing", pack)]
 
 #: No stage but the second can be said in SQL.
 ORACLE_SQL = None

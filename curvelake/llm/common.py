@@ -102,11 +102,11 @@ class Words:
         return mix((self._sums[end] - self._sums[start]) * self._down[start] + (end - start).astype(np.uint64))
 
 
-def slices(texts: list[bytes], limit: int = 2 << 20):
-    """Ranges of a batch whose texts have about limit bytes: arrays over them stay small, whatever the batch."""
+def slices(texts: list[bytes], limit: int = 2 << 20, most: int = 1000):
+    """Ranges of a batch, of at most `most` texts of about limit bytes: arrays over them stay small, whatever the batch."""
     begin = size = 0
     for i, x in enumerate(texts):
-        if size and size + len(x) > limit:
+        if i > begin and (size + len(x) > limit or i - begin >= most):
             yield begin, i
             begin, size = i, 0
         size += len(x)

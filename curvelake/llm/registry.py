@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, media_columns, mixing, packing, secret_scan, text_models, token_counts, url_filter
+from . import exact_dedup, media_columns, mixing, near_dup_join, packing, secret_scan, text_models, token_counts, url_filter
 from .common import shared_dir, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -47,6 +47,10 @@ def op4_quality(spark: SparkSession, sf_dir: str, threshold: float = 0.3) -> Dat
     return got.select("doc_id", (remainder == 0).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
+def op5_near_dup_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup_join.components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source")
     return mixing.mix(docs).select("doc_id", "source", "block", "slot", "position")
@@ -93,7 +97,7 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_packing, op2_exact_dedup, op3_url_filter, op4_quality, op6_mixing, op7_token_counts, op8_secret_scan, op9_toxicity, op10_media_columns)}
+    return {f.__name__: f for f in (op1_packing, op2_exact_dedup, op3_url_filter, op4_quality, op5_near_dup_join, op6_mixing, op7_token_counts, op8_secret_scan, op9_toxicity, op10_media_columns)}
 
 
 def oracle_sql() -> dict[str, str]:
