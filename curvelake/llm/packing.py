@@ -13,6 +13,7 @@ Very long texts give many full windows. Extra columns are not read; an empty tab
 
 from __future__ import annotations
 
+import functools
 import json
 
 import numpy as np
@@ -114,7 +115,10 @@ class WordIds:
         return b"".join(map(kept.__getitem__, chunks))
 
 
-_IDS: dict[str, WordIds] = {}
+@functools.cache
+def word_ids(path: str) -> WordIds:
+    """One for each worker process, so that later tasks find what earlier ones kept."""
+    return WordIds(path)
 
 
 def pieces(df: DataFrame, path: str, id: str = "doc_id", text: str = "text", window: int = WINDOW, closing_id: int = CLOSING_ID) -> DataFrame:
@@ -122,9 +126,7 @@ def pieces(df: DataFrame, path: str, id: str = "doc_id", text: str = "text", win
     close = np.array([closing_id], "<u4").tobytes()
 
     def run(batches):
-        if path not in _IDS:
-            _IDS[path] = WordIds(path)
-        ids = _IDS[path]
+        ids = word_ids(path)
         for b in batches:
             for s in range(0, len(b), 256):
                 part, rows = b.slice(s, 256), []

@@ -15,6 +15,7 @@ gives an empty result and appends nothing. Special strings inside texts are ordi
 
 from __future__ import annotations
 
+import functools
 import hashlib
 
 import pyarrow as pa
@@ -76,16 +77,17 @@ class Counter:
         return out
 
 
-_COUNTERS: dict[str, Counter] = {}
+@functools.cache
+def counter(path: str) -> Counter:
+    """One for each worker process, so that later tasks find what earlier ones kept."""
+    return Counter(path)
 
 
 def encode_counts(path: str):
     """digest, _text -> digest, n_tokens."""
 
     def run(batches):
-        if path not in _COUNTERS:
-            _COUNTERS[path] = Counter(path)
-        count = _COUNTERS[path]
+        count = counter(path)
         for b in batches:
             for s in range(0, len(b), 512):
                 part = b.slice(s, 512)
