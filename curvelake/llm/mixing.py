@@ -83,6 +83,7 @@ def ranked(df: DataFrame, source: str, id: str) -> tuple[DataFrame, dict]:
 
 def mix(df: DataFrame, weights: dict | None = None, source: str = "source", id: str = "doc_id", block: int = 16, max_blocks: int = MAX_BLOCKS) -> DataFrame:
     """df with block (in its source, from 0), slot (of the block, from 0) and position (of the row in the mix, from 0, gapless). block grows so that there are at most max_blocks."""
+    df = df.drop(*({"block", "slot", "position"} - {source, id}))
     rows, counts = ranked(df, source, id)
     weights = dict(weights or tempered(counts))
     least = min((Fraction(x) for x in weights.values() if x), default=Fraction(1))
@@ -98,4 +99,4 @@ def mix(df: DataFrame, weights: dict | None = None, source: str = "source", id:
     slots = df.sparkSession.createDataFrame(plan, f"_mix_s {dict(df.dtypes)[source]}, _mix_b long, slot long, _mix_at long")
     rows = rows.withColumn("block", F.floor(F.col("_mix_rank") / size))
     rows = rows.join(F.broadcast(slots) if len(plan) <= 2 * MAX_BLOCKS else slots, rows["_mix_source"].eqNullSafe(slots["_mix_s"]) & (rows["block"] == slots["_mix_b"]))
-    return rows.select(*[c for c in df.columns if c not in ("block", "slot", "position")], "block", "slot", (F.col("_mix_at") + F.col("_mix_rank") % size).alias("position"))
+    return rows.select(*df.columns, "block", "slot", (F.col("_mix_at") + F.col("_mix_rank") % size).alias("position"))

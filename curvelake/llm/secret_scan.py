@@ -97,6 +97,10 @@ def matches(text: Column, pattern: str, group: int = 0) -> Column:
     return F.aggregate(zipped, F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda acc: acc["out"])
 
 
+def _long_enough(found: Column, least: int) -> Column:
+    return F.filter(found, lambda m: F.length(m["value"]) >= least)
+
+
 def scan(df: DataFrame, id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """id and for each row: spans, an array of struct<start, end, kind> (of all kinds, by start, then kind as listed) and base, those of the base patterns."""
     ratios = log_ratios(*samples())
@@ -106,7 +110,7 @@ def scan(df: DataFrame, id: str = "doc_id", text: str = "text", threshold: float
     as_spans = lambda found, kind: F.transform(found, lambda m: F.struct(m["start"].alias("start"), F.lit(order[kind]).alias("kind"), m["end"].alias("end")))
     for kind, (pattern, group, least) in BASE.items():
         t = F.col("_text")
-        got = F.when(t.rlike(MAY[kind]), F.filter(matches(t, pattern, group), lambda m, least=least: F.length(m["value"]) >= least)).otherwise(none)
+        got = F.when(t.rlike(MAY[kind]), _long_enough(matches(t, pattern, group), least)).otherwise(none)
         out = out.withColumn(f"_{kind}", as_spans(got, kind))
     out = out.withColumn("_base", F.array_sort(F.concat(*(F.col(f"_{k}") for k in BASE))))
     t = F.col("_text")

@@ -63,20 +63,15 @@ def rule_of(host: Column, path: Column, rules=RULES) -> Column:
     return found
 
 
-def _grams(s: Column, mark: str) -> list[Column]:
-    """For each size the array of the buckets of s's n-grams; the mark keeps host and path apart."""
+def _grams(s: Column, mark: str, n: int) -> Column:
+    """The buckets of s's n-grams; the mark keeps host and path apart."""
     framed = F.concat(F.lit("^"), s, F.lit("$"))
-    return [
-        F.transform(
-            F.sequence(F.lit(1), F.greatest(F.length(framed) - n + 1, F.lit(1))),
-            lambda i, n=n: F.pmod(F.xxhash64(F.lit(mark), F.substring(framed, i, F.lit(n))), F.lit(BUCKETS)).cast("int"),
-        )
-        for n in SIZES
-    ]
+    starts = F.sequence(F.lit(1), F.greatest(F.length(framed) - n + 1, F.lit(1)))
+    return F.transform(starts, lambda i: F.pmod(F.xxhash64(F.lit(mark), F.substring(framed, i, F.lit(n))), F.lit(BUCKETS)).cast("int"))
 
 
 def features(host: Column, path: Column) -> Column:
-    return F.concat(*_grams(host, "h"), *_grams(path, "p"))
+    return F.concat(*(_grams(s, mark, n) for s, mark in ((host, "h"), (path, "p")) for n in SIZES))
 
 
 def labelled(spark: SparkSession) -> DataFrame:
