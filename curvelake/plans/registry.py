@@ -330,8 +330,8 @@ _GROUPS_SQL = f"{XZ_SQL}, g AS (SELECT id // 100 AS row_group, count(*) AS n, mi
 
 
 @query(f"""WITH {_GROUPS_SQL}, d AS (SELECT *, ln(n / (6371008.8*6371008.8 * radians(least(abs(xmax-xmin), 360)) * abs(sin(radians(least(ymax, 90))) - sin(radians(greatest(ymin, -90)))))) AS ld FROM g),
-m AS (SELECT median(ld) AS mid, count(*) AS total FROM d), k AS (SELECT d.*, ld >= mid - ln(10) AS dense, total FROM d, m), e AS (SELECT count(*) FILTER (dense) >= greatest(ceil(max(total) * 0.25), 1) AS enough FROM k)
-SELECT min(xmin) AS xmin, min(ymin) AS ymin, max(xmax) AS xmax, max(ymax) AS ymax, sum(n)::BIGINT AS n FROM k, e WHERE dense OR NOT enough""")
+m AS (SELECT median(ld) AS mid, count(*) AS total FROM d), kk AS (SELECT d.*, ld >= mid - ln(10) AS dense, total FROM d, m), e AS (SELECT count(*) FILTER (dense) >= greatest(ceil(max(total) * 0.25), 1) AS enough FROM kk)
+SELECT min(xmin) AS xmin, min(ymin) AS ymin, max(xmax) AS xmax, max(ymax) AS ymax, sum(n)::BIGINT AS n FROM kk, e WHERE dense OR NOT enough""")
 def row_group_focus_extent(spark, sf_dir):
     return analytics.focus_extent(row_groups(spark, sf_dir))
 
