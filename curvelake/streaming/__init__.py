@@ -1 +1 @@
-
+"""The engine has batch operators only: nothing that it rewrites, checks or queries is a stream. A stream of files is handled by calling plans.convert in foreachBatch."""
