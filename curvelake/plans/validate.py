@@ -258,7 +258,10 @@ def _payload_check(family: str, resolution: float, has_z: bool, has_m: bool):
             return "SOP-PBF-001"
         if geometry is None:
             return ""
-        g = W.decode(geometry)
+        try:
+            g = W.decode(geometry)
+        except W.WkbError:
+            return ""  # another rule's matter
         try:
             q = L.pbf_decode(payload, stride)
         except L.PbfError:
