@@ -155,7 +155,7 @@ def xz_ranges(full: Extent, query: Extent, g: int, finer: int = 4) -> list[tuple
     return merge_ranges(found)
 
 
-def z_ranges(full: Extent, query: Extent, depth: int, most: int = 256) -> list[tuple[int, int]]:
+def z_ranges(full: Extent, query: Extent, depth: int, most: int = 64) -> list[tuple[int, int]]:
     """Inclusive ranges of the codes of points that may lie in the query (edges included). Cells are split level by level while there are at most `most` of them."""
     lo = [int(z_cells(np.array([v]), a, b, depth)[0]) for v, a, b in ((query.xmin, full.xmin, full.xmax), (query.ymin, full.ymin, full.ymax))]
     hi = [int(z_cells(np.array([v]), a, b, depth)[0]) for v, a, b in ((query.xmax, full.xmin, full.xmax), (query.ymax, full.ymin, full.ymax))]
