@@ -10,7 +10,10 @@ that link differ in at most d = floor((a + b) / 7) features, which touch at most
 signature with every partner. `slack` is the number of non-empty ranges less the largest d. Sets with slack <= 0 ("weak") and those that lose
 their slack to hot signatures ("unsafe") are joined with each other by a prefix filter instead: by their rarest features, as many as two linked sets cannot all miss.
 
-Hot signatures. Equal sets are made one before they are compared. A signature of up to SMALL sets gives all pairs. A larger one gives pairs of its
+Counting. That bound also tells how many signatures a document shares with each partner: at least its slack. Pairs are counted over all buckets, and those
+that share too few are dropped before any set is read; this loses nothing.
+
+Hot signatures. Equal sets are made one before they are compared. A signature of up to SMALL sets gives all pairs whose sizes allow a link. A larger one gives pairs of its
 members with its smallest one where an 8-byte sketch says that they are alike: these only join groups early. Once groups are known, a
 signature whose members are all of one group needs nothing more; if few members (CROSS at most) are outside its largest group, all pairs of
 members of different groups are compared; else it is hot, and each member's slack falls by one. So nothing is dropped, and pairs within a group of near copies are never listed.
@@ -35,7 +38,7 @@ from pyspark.sql import functions as F
 from .common import Words, mix, slices, text_or_empty, written
 
 WIDTH = 5
-SMALL, CROSS = 8, 64
+SMALL, CROSS = 8, 8
 #: Signatures in a bucket, about; records in a flush, at most; documents in a flush, at most.
 BUCKET, FLUSH, FLUSH_DOCS = 3_000_000, 1_500_000, 30_000
 STRETCH, RANGES = 2.4, 0.42
@@ -129,6 +132,7 @@ class Flush:
             self.entry.append(number[d[starts]].astype(np.uint16))
             table = np.zeros(len(which), ENTRY)
             table["doc"], table["digest"], table["sketch"], table["cls"] = ids[which], digests[which], sketch[which].copy().view(np.uint64)[:, 0], c
+            table["n"] = size[which]
             table["slack"] = np.clip(slack, -30_000, 30_000)
             self.parts.append(table)
             self.entries += len(which)
@@ -138,7 +142,7 @@ class Flush:
         return weak
 
 
-ENTRY = np.dtype([("doc", "<i8"), ("digest", "<u8"), ("sketch", "<u8"), ("cls", "u1"), ("slack", "<i2")])
+ENTRY = np.dtype([("doc", "<i8"), ("digest", "<u8"), ("sketch", "<u8"), ("n", "<u4"), ("cls", "u1"), ("slack", "<i2")])
 FLAG = 0x8000
 
 
@@ -188,7 +192,7 @@ def _key(sig: np.ndarray, bucket, width: int) -> np.ndarray:
 
 
 def signatures(buckets: int, width: int):
-    """doc_id, _text -> blobs of signatures by bucket, and rows that pass through: D (a document's set: size and digest), W (weak), M (a member of a large signature), P (a pair)."""
+    """doc_id, _text -> blobs of signatures by bucket, and rows that pass through: D (a document's set: size and digest), W (weak), M (a member of a large signature), S (a pair that looks alike)."""
 
     def passing(cols):
         at = [(hash(x) if x is not None else 0) % buckets for x in cols["a"]]
@@ -206,15 +210,15 @@ def signatures(buckets: int, width: int):
             a, b = starts[g], starts[g] + counts[g]
             e = np.sort(table[entry[a:b]], order="doc")
             k = int(_key(sig[a : a + 1], bucket[a], width)[0])
-            member += [(k, int(x["doc"]), int(x["cls"]), int(x["slack"])) for x in e]
+            member += [(k, int(x["doc"]), int(x["cls"]), int(x["slack"]), int(x["n"])) for x in e]
             pairs.update(_star(e))
             ship[a:b] = False
             lead = a + int(np.argmin(table["doc"][entry[a:b]]))
             ship[lead], flags[lead] = True, FLAG
         if member:
-            yield passing(_rows("M", member, ("sig", "a", "cls", "slack")))
+            yield passing(_rows("M", member, ("sig", "a", "cls", "slack", "n")))
         if pairs:
-            yield passing(_rows("P", sorted(pairs), ("a", "b")))
+            yield passing(_rows("S", sorted(pairs), ("a", "b")))
         sig, entry, bucket = sig[ship], entry[ship] | flags[ship], bucket[ship]
         order = np.argsort(bucket, kind="stable")
         sig, entry, bucket = sig[order], entry[order], bucket[order]
@@ -261,8 +265,18 @@ def signatures(buckets: int, width: int):
     return run
 
 
+def _pairs(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """a, b, class, slack of a and slack of b of pairs of entries with different sets whose sizes allow a link; a < b."""
+    good = (x["digest"] != y["digest"]) & (x["doc"] != y["doc"])
+    good &= 4 * np.minimum(x["n"], y["n"]).astype(np.int64) >= 3 * np.maximum(x["n"], y["n"]).astype(np.int64)
+    x, y = x[good], y[good]
+    swap = x["doc"] > y["doc"]
+    a, b = np.where(swap, y, x), np.where(swap, x, y)
+    return np.column_stack([a["doc"], b["doc"], a["cls"].astype(np.int64), a["slack"].astype(np.int64), b["slack"].astype(np.int64)])
+
+
 def matches(width: int):
-    """A bucket's blobs -> P and M rows; rows that pass through are passed."""
+    """A bucket's blobs -> P rows (a, b, class, slack of a, in sig that of b, and in n how many signatures they share here), S rows (pairs that look alike) and M rows; rows that pass through are passed."""
 
     def run(batches):
         bucket, tables, entries, sigs, total = TaskContext.get().partitionId(), [], [], [], 0
@@ -292,16 +306,14 @@ def matches(width: int):
         order = np.argsort(sig, kind="stable")
         sig, entry, flagged = sig[order], entry[order], flagged[order]
         starts, counts = _groups(sig)
-        pairs = set()
+        stars, some = set(), []
         two = starts[counts == 2]
         plain = two[~flagged[two] & ~flagged[two + 1]]
-        x, y = table[entry[plain]], table[entry[plain + 1]]
-        differ = (x["digest"] != y["digest"]) & (x["doc"] != y["doc"])
-        a, b = np.minimum(x["doc"], y["doc"])[differ], np.maximum(x["doc"], y["doc"])[differ]
-        if len(a):
-            pairs.update(map(tuple, np.unique(np.column_stack([a, b]), axis=0).tolist()))
+        some.append(_pairs(table[entry[plain]], table[entry[plain + 1]]))
         member = []
         more = (counts > 2) | (np.logical_or.reduceat(flagged, starts) & (counts > 1)) if len(starts) else np.zeros(0, bool)
+        upper = {k: np.triu_indices(k, 1) for k in range(2, SMALL + 1)}
+        left, right = [], []
         for g in np.flatnonzero(more):
             s, t = starts[g], starts[g] + counts[g]
             e, mark = table[entry[s:t]], flagged[s:t]
@@ -310,18 +322,26 @@ def matches(width: int):
             first = np.append(True, e["digest"][1:] != e["digest"][:-1])
             if mark.any() or first.sum() > SMALL:
                 k = int(_key(sig[s : s + 1], bucket, width)[0])
-                member += [(k, int(r["doc"]), int(r["cls"]), int(r["slack"])) for r in e[~mark]]
-                pairs.update(_star(np.sort(e[first], order="doc")))
-            else:
-                docs = sorted(e["doc"][first].tolist())
-                pairs.update((p, q) for i, p in enumerate(docs) for q in docs[i + 1 :])
+                member += [(k, int(r["doc"]), int(r["cls"]), int(r["slack"]), int(r["n"])) for r in e[~mark]]
+                stars.update(_star(np.sort(e[first], order="doc")))
+            elif first.sum() > 1:
+                e = e[first]
+                i, j = upper[len(e)]
+                left.append(e[i])
+                right.append(e[j])
             if len(member) > 200_000:
-                yield _batch(_rows("M", member, ("sig", "a", "cls", "slack")))
+                yield _batch(_rows("M", member, ("sig", "a", "cls", "slack", "n")))
                 member = []
+        if left:
+            some.append(_pairs(np.concatenate(left), np.concatenate(right)))
         if member:
-            yield _batch(_rows("M", member, ("sig", "a", "cls", "slack")))
-        if pairs:
-            yield _batch(_rows("P", sorted(pairs), ("a", "b")))
+            yield _batch(_rows("M", member, ("sig", "a", "cls", "slack", "n")))
+        if stars:
+            yield _batch(_rows("S", sorted(stars), ("a", "b")))
+        found, often = np.unique(np.concatenate(some), axis=0, return_counts=True)
+        if len(found):
+            cols = dict(zip(("a", "b", "cls", "slack", "sig"), found.T.tolist()))
+            yield _batch({"kind": ["P"] * len(found), "n": often.tolist()} | cols)
 
     return run
 
@@ -395,13 +415,13 @@ def connected(links: DataFrame) -> DataFrame:
 
 
 def across(rows: DataFrame, most: int | None) -> tuple[DataFrame, DataFrame]:
-    """rows: key, doc, component (distinct). Pairs of documents of a key and different components, for keys with at most `most` documents outside their largest component; and the other keys."""
+    """rows: key, doc, component, n (distinct; n the size of its set). Pairs of documents of a key and different components, for keys with at most `most` documents outside their largest component; and the other keys."""
     by = rows.groupBy("key", "component").agg(F.count("*").alias("n"))
     top = by.groupBy("key").agg(F.count("*").alias("k"), F.sum("n").alias("n"), F.max(F.struct("n", "component")).alias("top")).where("k > 1")
     top = top.withColumn("outside", F.col("n") - F.col("top.n"))
     good, hot = (top, top.limit(0)) if most is None else (top.where(F.col("outside") <= most), top.where(F.col("outside") > most))
-    few = rows.join(good.select("key", F.col("top.component").alias("largest")), "key").where("component <> largest").select("key", F.col("doc").alias("p"), F.col("component").alias("c"))
-    pairs = few.join(rows, "key").where("component <> c").select(F.least("p", "doc").alias("a"), F.greatest("p", "doc").alias("b")).distinct()
+    few = rows.join(good.select("key", F.col("top.component").alias("largest")), "key").where("component <> largest").select("key", F.col("doc").alias("p"), F.col("component").alias("c"), F.col("n").alias("pn"))
+    pairs = few.join(rows, "key").where("component <> c and 4 * least(n, pn) >= 3 * greatest(n, pn)").select(F.least("p", "doc").alias("a"), F.greatest("p", "doc").alias("b")).distinct()
     return pairs, hot.select("key")
 
 
@@ -422,7 +442,7 @@ def prefixes(sets: DataFrame) -> DataFrame:
     often = rows.groupBy("key").agg(F.count("*").alias("df")).where("df > 1")
     # A feature of one set only can take a place in the prefix but never finds a partner.
     ranked = rows.join(often, "key", "left").withColumn("r", F.row_number().over(Window.partitionBy("doc").orderBy(F.coalesce("df", F.lit(1)), "key")))
-    return ranked.where("r <= n - ceil(3 * n / 4) + 1 and df > 1").select("key", "doc").distinct()
+    return ranked.where("r <= n - ceil(3 * n / 4) + 1 and df > 1").select("key", "doc", "n").distinct()
 
 
 def components(df: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -432,15 +452,22 @@ def components(df: DataFrame, id: str = "doc_id", text: str = "text") -> DataFra
     first = sets.where("digest is not null").groupBy("digest").agg(F.min("doc").alias("rep"))
     reps = written(sets.join(first, "digest", "left").select("doc", "n", F.coalesce("rep", "doc").alias("rep")), "representatives")
     of = reps.select("doc", "rep").distinct()
-    pairs = found.where("kind = 'P'").select("a", "b").distinct()
+    # A document shares at least `slack` signatures with each partner; those that are large aren't counted in pairs.
+    large = written(found.where("kind = 'M'").select("sig", F.col("a").alias("doc"), "cls", "slack", "n").distinct(), "large")
+    lost = large.groupBy("doc", "cls").agg(F.count("*").alias("lost"))
+    shared = found.where("kind = 'P'").groupBy("a", "b", "cls").agg(F.sum("n").alias("n"), F.max("slack").alias("sa"), F.max("sig").alias("sb"))
+    shared = shared.join(lost.select(F.col("doc").alias("a"), "cls", F.col("lost").alias("la")), ["a", "cls"], "left")
+    shared = shared.join(lost.select(F.col("doc").alias("b"), "cls", F.col("lost").alias("lb")), ["b", "cls"], "left")
+    enough = F.col("n") >= F.greatest(F.col("sa") - F.coalesce("la", F.lit(0)), F.col("sb") - F.coalesce("lb", F.lit(0)))
+    pairs = shared.where(enough).select("a", "b").union(found.where("kind = 'S'").select("a", "b")).distinct()
     same = of.select(F.col("doc").alias("a"), F.col("rep").alias("ra")), of.select(F.col("doc").alias("b"), F.col("rep").alias("rb"))
     pairs = pairs.join(same[0], "a").join(same[1], "b").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).where("a < b").distinct()
     links = verified(written(pairs, "pairs"), df, id, text)
     groups = connected(links)
-    large = found.where("kind = 'M'").select("sig", F.col("a").alias("doc"), "cls", "slack").join(of, "doc").select("sig", F.col("rep").alias("doc"), "cls", "slack").distinct()
+    large = large.join(of, "doc").select("sig", F.col("rep").alias("doc"), "cls", "slack", "n").distinct()
     large = large.join(groups, "doc", "left").withColumn("component", F.coalesce("component", "doc"))
     large = written(large, "members")
-    more, hot = across(large.select(F.col("sig").alias("key"), "doc", "component").distinct(), CROSS)
+    more, hot = across(large.select(F.col("sig").alias("key"), "doc", "component", "n").distinct(), CROSS)
     lost = large.join(hot.withColumnRenamed("key", "sig"), "sig").groupBy("doc", "cls").agg(F.count("*").alias("h"), F.min("slack").alias("slack"))
     unsafe = lost.where("h >= slack").select("doc").union(found.where("kind = 'W'").select(F.col("a").alias("doc")).join(of, "doc").select(F.col("rep").alias("doc"))).distinct()
     unsafe = written(unsafe, "unsafe")

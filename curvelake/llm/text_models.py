@@ -140,7 +140,8 @@ def sample(docs: DataFrame, labels: DataFrame, columns: list[str], where: Column
     kinds = dict(found.dtypes)
     got = found.select(id, "_text", *(f"_y{i}" for i in range(n))).mapInArrow(run, ", ".join([f"id {kinds[id]}", *(f"y{i} {kinds[f'_y{i}']}" for i in range(n)), "at binary, value binary"]))
     rows = sorted(got.collect(), key=lambda r: (r["id"], bytes(r["at"])))
-    feats = [(np.frombuffer(r["at"], "<i4").astype(np.int64), np.frombuffer(r["value"], "<f4").astype(float)) for r in rows]
+    # Views of the bytes that came: the sample is held once.
+    feats = [(np.frombuffer(r["at"], "<i4"), np.frombuffer(r["value"], "<f4")) for r in rows]
     return np.array([[float(r[f"y{i}"]) for i in range(n)] for r in rows]).reshape(len(rows), n), feats
 
 
@@ -200,7 +201,7 @@ def _odds(p):
     return np.log(p / (1 - p)) / 4
 
 
-def train_chain(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], most: int = 8000, bits: int = 20, folds: int = 3, rounds: int = 4, id: str = "doc_id", text: str = "text") -> Chain:
+def train_chain(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], most: int = 5000, bits: int = 20, folds: int = 3, rounds: int = 4, id: str = "doc_id", text: str = "text") -> Chain:
     """categories: name -> 0/1 expression over labels, in the order of the chain."""
     names = list(categories)
     lab = labels.select(id, *(c.cast("int").alias(n) for n, c in categories.items()))
@@ -208,7 +209,7 @@ def train_chain(docs: DataFrame, labels: DataFrame, categories: dict[str, Column
     size, chain, earlier = 2**bits, Chain(names, bits, []), np.zeros((len(feats), 0))
     fold = np.arange(len(feats)) % folds
     for k in range(len(names)):
-        rows = [(np.append(a, [*range(size, size + k), size + k]), np.append(v, [*earlier[i], 1.0])) for i, (a, v) in enumerate(feats)]
+        rows = [(np.append(a, np.arange(size, size + k + 1, dtype=np.int32)), np.append(v, np.array([*earlier[i], 1.0], np.float32))) for i, (a, v) in enumerate(feats)]
         # Few features matter, so l1 keeps the rest at zero.
         fit = lambda part, k=k, rows=rows: Ftrl(size + k + 1, alpha=0.3, l1=3.0, l2=0.1).fit([rows[i] for i in part], y[part, k], rounds, 4.0).weights(slice(None))
         if not len(feats):
