@@ -68,7 +68,7 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers 0..n of the base and of its inverse, kept between batches."""
     global _POWERS, _INVERSES
     if len(_POWERS) <= n:
-        m = max(2 * n, 1 << 20)
+        m = max(n + (n >> 2), 1 << 20)
         up, down = np.full(m, _BASE, np.uint64), np.full(m, _INVERSE, np.uint64)
         up[0] = down[0] = 1
         _POWERS, _INVERSES = np.multiply.accumulate(up), np.multiply.accumulate(down)

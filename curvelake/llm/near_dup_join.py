@@ -40,7 +40,9 @@ from .common import Words, mix, slices, text_or_empty, written
 WIDTH = 5
 SMALL, CROSS = 8, 8
 #: Signatures in a bucket, about; records in a flush, at most; documents in a flush, at most.
-BUCKET, FLUSH, FLUSH_DOCS = 3_000_000, 1_500_000, 30_000
+BUCKET, FLUSH, FLUSH_DOCS = 2_000_000, 1_500_000, 30_000
+#: Rows of a batch and bytes of text that are worked on at once.
+ROWS, SLICE = 500, 1 << 20
 STRETCH, RANGES = 2.4, 0.42
 #: Up to so many ids a candidates' table is broadcast (8 bytes each); beyond, texts are shuffled to their ids.
 BROADCAST_IDS = 2_000_000
@@ -191,6 +193,13 @@ def _key(sig: np.ndarray, bucket, width: int) -> np.ndarray:
     return mix(low + np.uint64(bucket) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
 
 
+def _cut(batches):
+    """Batches of few rows, so that texts are copied to Python a few at a time."""
+    for b in batches:
+        for s in range(0, len(b), ROWS):
+            yield b.slice(s, ROWS)
+
+
 def signatures(buckets: int, width: int):
     """doc_id, _text -> blobs of signatures by bucket, and rows that pass through: D (a document's set: size and digest), W (weak), M (a member of a large signature), S (a pair that looks alike)."""
 
@@ -232,10 +241,10 @@ def signatures(buckets: int, width: int):
 
     def run(batches):
         f, seen = Flush(), set()
-        for b in batches:
+        for b in _cut(batches):
             ids = b.column(0).to_pylist()
             texts = [x.encode("utf-8", "surrogatepass") for x in b.column(1).to_pylist()]
-            for lo, hi in slices(texts):
+            for lo, hi in slices(texts, SLICE):
                 h, begins = shingle_sets(texts[lo:hi])
                 size = np.diff(begins)
                 doc = ids[lo:hi]
@@ -302,9 +311,11 @@ def matches(width: int):
         if not tables:
             return
         table, entry, sig = np.concatenate(tables), np.concatenate(entries), np.concatenate(sigs)
+        del tables, entries, sigs
         flagged, entry = entry >> np.uint32(31) == 1, entry & np.uint32(0x7FFFFFFF)
         order = np.argsort(sig, kind="stable")
         sig, entry, flagged = sig[order], entry[order], flagged[order]
+        del order
         starts, counts = _groups(sig)
         stars, some = set(), []
         two = starts[counts == 2]
@@ -365,9 +376,9 @@ def sets_of(docs: DataFrame, ids: DataFrame, id: str, text: str) -> DataFrame:
     rows = docs.select(F.col(id).cast("long").alias("doc"), text_or_empty(text).alias("_text")).join(F.broadcast(ids) if few else ids, "doc", "left_semi")
 
     def run(batches):
-        for b in batches:
+        for b in _cut(batches):
             texts = [x.encode("utf-8", "surrogatepass") for x in b.column(1).to_pylist()]
-            for lo, hi in slices(texts):
+            for lo, hi in slices(texts, SLICE):
                 h, begins = shingle_sets(texts[lo:hi])
                 packed = [h[x:y].tobytes() for x, y in zip(begins[:-1], begins[1:])]
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array(packed, pa.binary())], names=["doc", "hashes"])
