@@ -23,6 +23,7 @@ from ..sources import arrow, footers, formats, geopackage
 from ..sources.ranges import effective_rows, row_range
 from . import metadata as M
 
+#: Fixed values of the file format: the names of generated columns.
 GENERATED = {"geokey", "geolod", "geodisplay"}
 POINT_GENERATED = GENERATED | {"sop_geometry", "x", "y", "z", "m"}
 SUPPORTED = (4326, 3857)

@@ -8,6 +8,7 @@ from .. import __version__
 from ..functions.curves import Extent
 from ..functions.lod import Level
 
+#: Fixed values of the file format: versions, and the names that encodings have in it.
 VERSION, GEO_VERSION, WRITER = "0.1", "2.0.0", "curvelake"
 ENCODINGS = {"pbf": "esriPBF", "wkb": "wkb", "native": "native"}
 

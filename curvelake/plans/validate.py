@@ -23,7 +23,7 @@ from ..functions.curves import Extent
 from ..operators import clustering
 from ..sources import footers, formats
 
-#: Rule ids that only warn.
+#: Ids of the rules, here and below; these only warn.
 WARNINGS = {"SOP-META-006", "SOP-PARQUET-002", "SOP-GEOMETRY-006", "SOP-PBF-003", "SOP-PBF-004", "SOP-RANGE-001"}
 SAMPLE_GEOMETRIES, SAMPLE_PAYLOADS = 4, 512
 
