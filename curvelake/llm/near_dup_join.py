@@ -9,6 +9,8 @@ the enumerated subsets are single ranges. A signature is the digest of the featu
 that link differ in at most d = floor((a + b) / 7) features, which touch at most d ranges; a set with more than d non-empty ranges therefore shares a
 signature with every partner. `slack` is the number of non-empty ranges less the largest d. Sets with slack <= 0 ("weak") and those that lose
 their slack to hot signatures ("unsafe") are joined with each other by a prefix filter instead: by their rarest features, as many as two linked sets cannot all miss.
+All sets list their features in one order, so a pair's first shared feature also bounds what they share: no more than what either has from there on. A pair for which that is too little is
+not compared; a passage that many documents share so makes pairs of those only in which little else stands.
 
 Counting. That bound also tells how many signatures a document shares with each partner: at least its slack. Pairs are counted over all buckets, and those
 that share too few are dropped before any set is read; this loses nothing.
@@ -426,18 +428,19 @@ def connected(links: DataFrame) -> DataFrame:
 
 
 def across(rows: DataFrame, most: int | None) -> tuple[DataFrame, DataFrame]:
-    """rows: key, doc, component, n (distinct; n the size of its set). Pairs of documents of a key and different components, for keys with at most `most` documents outside their largest component; and the other keys."""
+    """rows: key, doc, component, n (distinct; n the size of its set), rest (how many of its features the key and those after it are; n where keys have no order).
+    Pairs of documents of a key and different components that can share enough, for keys with at most `most` documents outside their largest component; and the other keys."""
     by = rows.groupBy("key", "component").agg(F.count("*").alias("n"))
     top = by.groupBy("key").agg(F.count("*").alias("k"), F.sum("n").alias("n"), F.max(F.struct("n", "component")).alias("top")).where("k > 1")
     top = top.withColumn("outside", F.col("n") - F.col("top.n"))
     good, hot = (top, top.limit(0)) if most is None else (top.where(F.col("outside") <= most), top.where(F.col("outside") > most))
-    few = rows.join(good.select("key", F.col("top.component").alias("largest")), "key").where("component <> largest").select("key", F.col("doc").alias("p"), F.col("component").alias("c"), F.col("n").alias("pn"))
-    pairs = few.join(rows, "key").where("component <> c and 4 * least(n, pn) >= 3 * greatest(n, pn)").select(F.least("p", "doc").alias("a"), F.greatest("p", "doc").alias("b")).distinct()
+    few = rows.join(good.select("key", F.col("top.component").alias("largest")), "key").where("component <> largest").select("key", F.col("doc").alias("p"), F.col("component").alias("c"), F.col("n").alias("pn"), F.col("rest").alias("prest"))
+    pairs = few.join(rows, "key").where("component <> c and 4 * least(n, pn) >= 3 * greatest(n, pn) and 7 * least(rest, prest) >= 3 * (n + pn)").select(F.least("p", "doc").alias("a"), F.greatest("p", "doc").alias("b")).distinct()
     return pairs, hot.select("key")
 
 
 def prefixes(sets: DataFrame) -> DataFrame:
-    """key, doc: of each set the rarest features, one more than two linked sets can differ in on one side."""
+    """key, doc, n, rest: of each set the rarest features, one more than two linked sets can differ in on one side, and how many of its features are no rarer."""
 
     def run(batches):
         for b in batches:
@@ -453,7 +456,7 @@ def prefixes(sets: DataFrame) -> DataFrame:
     often = rows.groupBy("key").agg(F.count("*").alias("df")).where("df > 1")
     # A feature of one set only can take a place in the prefix but never finds a partner.
     ranked = rows.join(often, "key", "left").withColumn("r", F.row_number().over(Window.partitionBy("doc").orderBy(F.coalesce("df", F.lit(1)), "key")))
-    return ranked.where("r <= n - ceil(3 * n / 4) + 1 and df > 1").select("key", "doc", "n").distinct()
+    return ranked.where("r <= n - ceil(3 * n / 4) + 1 and df > 1").select("key", "doc", "n", (F.col("n") - F.col("r") + 1).alias("rest"))
 
 
 def components(df: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -478,7 +481,7 @@ def components(df: DataFrame, id: str = "doc_id", text: str = "text") -> DataFra
     large = large.join(of, "doc").select("sig", F.col("rep").alias("doc"), "cls", "slack", "n").distinct()
     large = large.join(groups, "doc", "left").withColumn("component", F.coalesce("component", "doc"))
     large = written(large, "members")
-    more, hot = across(large.select(F.col("sig").alias("key"), "doc", "component", "n").distinct(), CROSS)
+    more, hot = across(large.select(F.col("sig").alias("key"), "doc", "component", "n", F.col("n").alias("rest")).distinct(), CROSS)
     lost = large.join(hot.withColumnRenamed("key", "sig"), "sig").groupBy("doc", "cls").agg(F.count("*").alias("h"), F.min("slack").alias("slack"))
     unsafe = lost.where("h >= slack").select("doc").union(found.where("kind = 'W'").select(F.col("a").alias("doc")).join(of, "doc").select(F.col("rep").alias("doc"))).distinct()
     unsafe = written(unsafe, "unsafe")
