@@ -150,10 +150,11 @@ ENTRY = np.dtype([("doc", "<i8"), ("digest", "<u8"), ("sketch", "<u8"), ("n", "<
 FLAG = 0x8000
 
 
-def _alike(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Whether sketches agree in 5 of 8 bytes."""
-    x = (a ^ b).view(np.uint8).reshape(-1, 8)
-    return (x == 0).sum(axis=1) >= 5
+def _alike(first: np.void, rest: np.ndarray) -> np.ndarray:
+    """Whether sketches agree in 5 of 8 bytes and sizes allow a link."""
+    x = (rest["sketch"] ^ first["sketch"]).view(np.uint8).reshape(-1, 8)
+    n, least = rest["n"].astype(np.int64), int(first["n"])
+    return ((x == 0).sum(axis=1) >= 5) & (4 * np.minimum(n, least) >= 3 * np.maximum(n, least))
 
 
 def _star(e: np.ndarray) -> list[tuple[int, int]]:
@@ -162,7 +163,7 @@ def _star(e: np.ndarray) -> list[tuple[int, int]]:
     for _ in range(3):
         if len(rest) < 2:
             break
-        like = _alike(rest["sketch"][1:].copy(), np.repeat(rest["sketch"][:1], len(rest) - 1))
+        like = _alike(rest[0], rest[1:])
         out += [(int(rest["doc"][0]), int(x)) for x in rest["doc"][1:][like]]
         rest = rest[1:][~like]
     return out
