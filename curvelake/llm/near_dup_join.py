@@ -37,7 +37,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, mix, slices, text_or_empty, written
+from .common import Words, mix, released, slices, text_or_empty, written
 
 WIDTH = 5
 SMALL, CROSS = 8, 8
@@ -227,6 +227,9 @@ def signatures(buckets: int, width: int):
             ship[a:b] = False
             lead = a + int(np.argmin(table["doc"][entry[a:b]]))
             ship[lead], flags[lead] = True, FLAG
+            if len(member) > 50_000:
+                yield passing(_rows("M", member, ("sig", "a", "cls", "slack", "n")))
+                member = []
         if member:
             yield passing(_rows("M", member, ("sig", "a", "cls", "slack", "n")))
         if pairs:
@@ -343,7 +346,7 @@ def matches(width: int):
                 i, j = upper[len(e)]
                 left.append(e[i])
                 right.append(e[j])
-            if len(member) > 200_000:
+            if len(member) > 50_000:
                 yield _batch(_rows("M", member, ("sig", "a", "cls", "slack", "n")))
                 member = []
         if left:
@@ -369,8 +372,8 @@ def signed(docs: DataFrame, id: str, text: str) -> DataFrame:
     # So many bits that among all pairs of signatures fewer than one in a hundred agree by chance.
     width = int(min(8, max(5, -(-(2 * total.bit_length() + 6 - buckets.bit_length()) // 8))))
     rows = docs.select(F.col(id).cast("long").alias("doc_id"), t.alias("_text"))
-    blobs = rows.mapInArrow(signatures(buckets, width), "bucket int, blob binary, " + RESULT)
-    return written(blobs.repartitionById(buckets, "bucket").mapInArrow(matches(width), RESULT), "signatures")
+    blobs = rows.mapInArrow(released(signatures(buckets, width)), "bucket int, blob binary, " + RESULT)
+    return written(blobs.repartitionById(buckets, "bucket").mapInArrow(released(matches(width)), RESULT), "signatures")
 
 
 def sets_of(docs: DataFrame, ids: DataFrame, id: str, text: str) -> DataFrame:
@@ -386,7 +389,7 @@ def sets_of(docs: DataFrame, ids: DataFrame, id: str, text: str) -> DataFrame:
                 packed = [h[x:y].tobytes() for x, y in zip(begins[:-1], begins[1:])]
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array(packed, pa.binary())], names=["doc", "hashes"])
 
-    return rows.mapInArrow(run, "doc long, hashes binary")
+    return rows.mapInArrow(released(run), "doc long, hashes binary")
 
 
 def _linked(batches):
@@ -408,7 +411,7 @@ def verified(pairs: DataFrame, docs: DataFrame, id: str, text: str) -> DataFrame
     sets = written(sets_of(docs, ids, id, text), "sets")
     x = sets.select(F.col("doc").alias("a"), F.col("hashes").alias("x"))
     y = sets.select(F.col("doc").alias("b"), F.col("hashes").alias("y"))
-    return written(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_linked, "a long, b long"), "links")
+    return written(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(released(_linked), "a long, b long"), "links")
 
 
 def connected(links: DataFrame) -> DataFrame:
