@@ -28,14 +28,15 @@ def near_dup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, in files and rows in the order of the mix."""
+    """All documents, in files and rows in the order of the mix, with their position in it for the stage that packs."""
     mixed = mixing.mix(docs)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return mixed.repartitionByRange(parts, "position").sortWithinPartitions("position").select(*COLUMNS)
+    return mixed.repartitionByRange(parts, "position").sortWithinPartitions("position").select(*COLUMNS, "position")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    got = packing.pack(docs, registry.tokenizer("word_bpe_49k.json"))
+    """Sequences in the order of the mix (of documents that have no position, in any order)."""
+    got = packing.pack(docs, registry.tokenizer("word_bpe_49k.json"), position="position" if "position" in docs.columns else None)
     return got.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 

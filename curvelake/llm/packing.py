@@ -7,6 +7,10 @@ sort delivers pieces in decreasing order, placing is a stream: memory holds one
 
 Shards have SHARD pieces or more on average where the input has as many, so that the last windows of a shard, which stay partly empty, are few.
 
+Where documents have a position in an order that is to be kept (that of a mix), shards are contiguous ranges of positions instead, and a sequence
+takes its place from the piece that opened it, its longest: sequence ids rise with that piece's position, then its start. So sequences follow the order, and
+what a sequence holds besides is of the same shard; shards then have ORDERED documents, which is as far as a document can be from its place.
+
 Cases: a null text counts as empty; an empty text is the closing id alone, one piece of one token. Repeated rows are packed as often as they occur.
 Very long texts give many full windows. Extra columns are not read; an empty table gives an empty result.
 """
@@ -27,6 +31,8 @@ WINDOW = 2048
 CLOSING_ID = 1
 #: Pieces in a shard, about.
 SHARD = 8192
+#: Documents in a shard that keeps an order, about; and for how many windows of a document sequence ids have room.
+ORDERED, STARTS = 1024, 1 << 21
 #: Chunks whose ids a worker keeps.
 KEPT = 800_000
 
@@ -121,8 +127,8 @@ def word_ids(path: str) -> WordIds:
     return WordIds(path)
 
 
-def pieces(df: DataFrame, path: str, id: str = "doc_id", text: str = "text", window: int = WINDOW, closing_id: int = CLOSING_ID) -> DataFrame:
-    """doc_id, start, length, doc_tokens and ids (little-endian 32-bit, binary) of each document's full windows and rest."""
+def pieces(df: DataFrame, path: str, id: str = "doc_id", text: str = "text", window: int = WINDOW, closing_id: int = CLOSING_ID, position: str | None = None) -> DataFrame:
+    """doc_id, start, length, doc_tokens and ids (little-endian 32-bit, binary) of each document's full windows and rest; and position, where there is one."""
     close = np.array([closing_id], "<u4").tobytes()
 
     def run(batches):
@@ -130,16 +136,19 @@ def pieces(df: DataFrame, path: str, id: str = "doc_id", text: str = "text", win
         for b in batches:
             for s in range(0, len(b), 256):
                 part, rows = b.slice(s, 256), []
-                for doc, x in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+                for doc, x, *at in zip(*(c.to_pylist() for c in part.columns)):
                     got = ids(x) + close
                     n = len(got) // 4
-                    rows += [(doc, i, min(window, n - i), n, got[4 * i : 4 * (i + window)]) for i in range(0, n, window)]
-                cols = list(zip(*rows)) if rows else [[]] * 5
-                kinds = (part.schema.types[0], pa.int64(), pa.int64(), pa.int64(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["doc_id", "start", "length", "doc_tokens", "ids"])
+                    rows += [(doc, i, min(window, n - i), n, got[4 * i : 4 * (i + window)], *at) for i in range(0, n, window)]
+                cols = list(zip(*rows)) if rows else [[]] * len(names)
+                kinds = (part.schema.types[0], pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=names)
 
     kind = dict(df.dtypes)[id]
-    return df.select(F.col(id).alias("doc_id"), text_or_empty(text).alias("_text")).mapInArrow(run, f"doc_id {kind}, start long, length long, doc_tokens long, ids binary")
+    names = ["doc_id", "start", "length", "doc_tokens", "ids", *(["position"] if position else [])]
+    order = [F.col(position).cast("long").alias("position")] if position else []
+    rows = df.select(F.col(id).alias("doc_id"), text_or_empty(text).alias("_text"), *order)
+    return rows.mapInArrow(run, f"doc_id {kind}, start long, length long, doc_tokens long, ids binary" + ", position long" * bool(position))
 
 
 class Windows:
@@ -173,11 +182,11 @@ class Windows:
             i = 2 * i if tree[2 * i] else 2 * i + 1
         return i - self.size
 
-    def place(self, length: int) -> tuple[int, int]:
-        """Window and offset in it of a piece."""
+    def place(self, length: int, name: int | None = None) -> tuple[int, int]:
+        """Window and offset in it of a piece. A window that it opens is called name, by default the number of those before."""
         c = self.tightest(length) if length < self.window else -1
         if c < 0:
-            w, c = self.made, self.window
+            w, c = self.made if name is None else name, self.window
             self.made += 1
         else:
             w = self.open[c].pop()
@@ -188,33 +197,39 @@ class Windows:
         return w, self.window - c
 
 
-def best_fit(window: int):
-    """Pieces sorted by shard and falling length -> the same with sequence_id and offset. A sequence's id has its shard in the high bits."""
+def best_fit(window: int, ordered: bool = False):
+    """Pieces sorted by shard and falling length -> the same with sequence_id and offset. A sequence's id has its shard in the high bits; if ordered, the position (the last column, which is dropped) and start of the piece that opened it."""
 
     def run(batches):
         shard, state = None, None
         for b in batches:
             seq, off = np.empty(len(b), np.int64), np.empty(len(b), np.int64)
-            for i, (s, n) in enumerate(zip(b.column(0).to_pylist(), b.column(3).to_pylist())):
+            names = [p * STARTS + k // window for p, k in zip(b.column(6).to_pylist(), b.column(2).to_pylist())] if ordered else [None] * len(b)
+            for i, (s, n, name) in enumerate(zip(b.column(0).to_pylist(), b.column(3).to_pylist(), names)):
                 if s != shard:
                     shard, state = s, Windows(window)
-                w, off[i] = state.place(n)
-                seq[i] = (s << 40) + w
-            yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(seq), pa.array(off)], names=[*b.schema.names[1:], "sequence_id", "offset"])
+                w, off[i] = state.place(n, name)
+                seq[i] = w if ordered else (s << 40) + w
+            yield pa.RecordBatch.from_arrays([*b.columns[1:6], pa.array(seq), pa.array(off)], names=[*b.schema.names[1:6], "sequence_id", "offset"])
 
     return run
 
 
-def pack(df: DataFrame, path: str, id: str = "doc_id", text: str = "text", window: int = WINDOW, closing_id: int = CLOSING_ID) -> DataFrame:
-    """Each piece: doc_id, start, length, doc_tokens, ids, sequence_id and its offset there."""
+def pack(df: DataFrame, path: str, id: str = "doc_id", text: str = "text", window: int = WINDOW, closing_id: int = CLOSING_ID, position: str | None = None, ordered: int = ORDERED) -> DataFrame:
+    """Each piece: doc_id, start, length, doc_tokens, ids, sequence_id and its offset there. position: a column of distinct whole numbers from 0, whose order sequences keep; ordered: documents in a shard then."""
     spark = df.sparkSession
     # Counting reads no text. There are as many rests as documents, so shards follow the documents, up to what the cluster runs at once many times over.
-    shards = max(1, min(df.count() // SHARD, 8 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    got = pieces(df, path, id, text, window, closing_id)
-    shard = F.pmod(F.xxhash64("doc_id", "start"), F.lit(shards)).cast("int")
-    dealt = got.select(shard.alias("shard"), *got.columns).repartitionById(shards, "shard").sortWithinPartitions("shard", F.desc("length"), "doc_id", "start")
+    n, last = df.agg(F.count("*"), F.max(position) if position else F.lit(0)).first()
+    shards = max(1, min(n // (ordered if position else SHARD), 8 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    got = pieces(df, path, id, text, window, closing_id, position)
+    if position:
+        shard = F.least(F.floor(F.col("position") / F.lit(((last or 0) + 1) / shards)), F.lit(shards - 1)).cast("int")
+    else:
+        shard = F.pmod(F.xxhash64("doc_id", "start"), F.lit(shards)).cast("int")
+    ties = ("position", "start") if position else ("doc_id", "start")
+    dealt = got.select(shard.alias("shard"), *got.columns).repartitionById(shards, "shard").sortWithinPartitions("shard", F.desc("length"), *ties)
     kind = dict(df.dtypes)[id]
-    return dealt.mapInArrow(best_fit(window), f"doc_id {kind}, start long, length long, doc_tokens long, ids binary, sequence_id long, offset long")
+    return dealt.mapInArrow(best_fit(window, bool(position)), f"doc_id {kind}, start long, length long, doc_tokens long, ids binary, sequence_id long, offset long")
 
 
 def sequences(packed: DataFrame, window: int = WINDOW, pad_id: int = 0) -> DataFrame:

@@ -432,3 +432,38 @@ def test_pipeline(spark):
     unique = {d: t for d, t in clean.items() if last[t] == d}
     want = {d for d, (_, c) in brute_components(list(unique.items())).items() if c == d}
     assert {r["doc_id"] for r in corpus_pipeline.run(spark, SF).collect()} == want
+
+
+def test_pipeline_packs_in_the_order_of_the_mix(spark):
+    """A small source runs out early in the mix, and its sequences come as early."""
+    import corpus_pipeline
+
+    hot, n = F.col("id") % 10 > 0, 3000
+    text = F.concat_ws(" ", F.transform(F.sequence(F.lit(0), F.pmod(F.xxhash64("id"), F.lit(900))), lambda i: F.concat(F.lit("w"), i)))
+    docs = spark.range(n).select(F.col("id").alias("doc_id"), text.alias("text"), F.lit("en").alias("lang"), F.when(hot, "hot").otherwise("rare").alias("source"), F.length(text).alias("n_chars")).repartition(3)
+    mixed = common.written(corpus_pipeline.mix(spark, docs, ""), "test-mix")
+    of = {r["doc_id"]: r["source"] for r in docs.select("doc_id", "source").collect()}
+    at = {r["doc_id"]: r["position"] for r in mixed.select("doc_id", "position").collect()}
+    assert sorted(at.values()) == list(range(n))
+    rows = corpus_pipeline.pack(spark, mixed, "").collect()
+    tokens = {r["doc_id"]: r["doc_tokens"] for r in rows}
+    seq, shard = {}, n // (n // packing.ORDERED)
+    for r in rows:
+        seq.setdefault(r["sequence_id"], []).append(r)
+    firsts = [at[min(seq[s], key=lambda r: r["offset"])["doc_id"]] for s in sorted(seq)]
+    assert firsts == sorted(firsts)
+    assert all(len({at[r["doc_id"]] // shard for r in rs}) == 1 for rs in seq.values())
+    # Shares of the rare source by tenths of the tokens, as packed and as mixed.
+    def shares(order):
+        total, run, got = sum(tokens.values()), 0, [[0, 0] for _ in range(10)]
+        for d, k in order:
+            got[min(9, 10 * run // total)][of[d] == "rare"] += k
+            run += k
+        return np.array([b / (a + b) for a, b in got])
+    packed = shares([(r["doc_id"], r["length"]) for s in sorted(seq) for r in seq[s]])
+    want = shares([(d, tokens[d]) for d in sorted(at, key=at.get)])
+    assert want[:3].min() > 0.15 and want[5:].max() == 0 and np.abs(packed - want).max() < 0.1, (packed, want)
+    assert packed[6:].max() == 0
+    # Without the mix the same stage packs the same pieces in another order.
+    rest = corpus_pipeline.pack(spark, docs, "").collect()
+    assert len(rest) == len(rows) and {(r["doc_id"], r["start"], r["ids_crc32"]) for r in rest} == {(r["doc_id"], r["start"], r["ids_crc32"]) for r in rows}
