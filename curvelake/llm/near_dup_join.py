@@ -443,23 +443,25 @@ def across(rows: DataFrame, most: int | None) -> tuple[DataFrame, DataFrame]:
     return pairs, hot.select("key")
 
 
-def prefixes(sets: DataFrame) -> DataFrame:
-    """key, doc, n, rest: of each set the rarest features, one more than two linked sets can differ in on one side, and how many of its features are no rarer."""
+def prefixes(sets: DataFrame, repeated: bool = True) -> DataFrame:
+    """key, doc, n, rest: of each set the rarest features, one more than two linked sets can differ in on one side, and how many of its features are no rarer.
+    repeated: whether a document can be there more than once; its equal sets then count as one, and others each for itself."""
+    sets = sets.distinct().withColumn("own", F.xxhash64("hashes")) if repeated else sets.withColumn("own", F.lit(0).cast("long"))
 
     def run(batches):
         for b in batches:
-            for doc, x in zip(b.column(0).to_pylist(), b.column(1)):
+            for doc, x, own in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist()):
                 h = np.frombuffer(x.as_py(), "<i8")
                 for s in range(0, len(h), 10_000):
                     part = h[s : s + 10_000]
-                    yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(np.full(len(part), doc)), pa.array(np.full(len(part), len(h)))], names=["key", "doc", "n"])
+                    yield pa.RecordBatch.from_arrays([pa.array(part), *(pa.array(np.full(len(part), v, np.int64)) for v in (doc, len(h), own))], names=["key", "doc", "n", "own"])
 
     from pyspark.sql import Window
 
-    rows = sets.mapInArrow(run, "key long, doc long, n long")
+    rows = sets.mapInArrow(run, "key long, doc long, n long, own long")
     often = rows.groupBy("key").agg(F.count("*").alias("df")).where("df > 1")
     # A feature of one set only can take a place in the prefix but never finds a partner.
-    ranked = rows.join(often, "key", "left").withColumn("r", F.row_number().over(Window.partitionBy("doc").orderBy(F.coalesce("df", F.lit(1)), "key")))
+    ranked = rows.join(often, "key", "left").withColumn("r", F.row_number().over(Window.partitionBy("doc", "own").orderBy(F.coalesce("df", F.lit(1)), "key")))
     return ranked.where("r <= n - ceil(3 * n / 4) + 1 and df > 1").select("key", "doc", "n", (F.col("n") - F.col("r") + 1).alias("rest"))
 
 
@@ -490,7 +492,8 @@ def components(df: DataFrame, id: str = "doc_id", text: str = "text") -> DataFra
     unsafe = lost.where("h >= slack").select("doc").union(found.where("kind = 'W'").select(F.col("a").alias("doc")).join(of, "doc").select(F.col("rep").alias("doc"))).distinct()
     unsafe = written(unsafe, "unsafe")
     rest = written(sets_of(df, unsafe, id, text), "unsafe-sets")
-    rare = prefixes(rest).join(groups, "doc", "left").withColumn("component", F.coalesce("component", "doc"))
+    again = reps.groupBy("doc").agg(F.count("*").alias("rows")).where("rows > 1").join(unsafe, "doc", "left_semi")
+    rare = prefixes(rest, again.limit(1).count() > 0).join(groups, "doc", "left").withColumn("component", F.coalesce("component", "doc"))
     others, _ = across(written(rare, "prefixes"), None)
     more = written(more.union(others).distinct(), "more-pairs")
     if more.limit(1).count():

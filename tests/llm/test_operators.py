@@ -257,6 +257,37 @@ def test_near_dup_join(spark, monkeypatch, limits):
         assert {r["doc_id"] for r in near_dup_join.kept(df).collect()} == {d for d, (_, c) in want.items() if d == c}
 
 
+def test_near_dup_join_of_repeated_rows(spark, monkeypatch):
+    """A, stored twice, has a fifth of its features for itself; the rest is B, and a passage of many others makes their signatures hot."""
+    monkeypatch.setattr(near_dup_join, "SMALL", 2)
+    monkeypatch.setattr(near_dup_join, "CROSS", 1)
+    rnd = random.Random(6)
+    doc = lambda n: ["v%d" % rnd.randrange(5000) for _ in range(n)]
+    rows, at, passage = [], 0, doc(60)
+    for n in [*range(6, 60), *range(6, 60)]:
+        b = passage[: n // 2] + doc(n - n // 2) if n > 20 else doc(n)
+        a = b + doc((n - 4) // 4)
+        rows += [(at, " ".join(a))] * 2 + [(at + 1, " ".join(b))]
+        at += 2
+    rows += [(at + i, " ".join(passage + doc(rnd.randrange(5, 40)))) for i in range(40)]
+    rnd.shuffle(rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = near_dup_join.components(df).collect()
+    assert len(got) == len(rows)
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == brute_components(rows)
+
+
+def test_prefixes_of_repeated_sets(spark):
+    """A set that is there twice has the prefix of one, and two sets of one document each have theirs."""
+    a, b, c = (np.arange(*x, dtype="<i8") for x in ((0, 40), (8, 40), (100, 120)))
+    once = [(1, a.tobytes()), (2, b.tobytes()), (3, c.tobytes()), (4, c.tobytes())]
+    df = lambda rows: spark.createDataFrame([(d, bytearray(h)) for d, h in rows], "doc long, hashes binary")
+    want = sorted(map(tuple, near_dup_join.prefixes(df(once)).collect()))
+    assert {d for _, d, _, _ in want} == {1, 2, 3, 4} and sorted(map(tuple, near_dup_join.prefixes(df(once + once[:1])).collect())) == want
+    two = near_dup_join.prefixes(df([*once, (1, c.tobytes())])).where("doc = 1").groupBy("n").count()
+    assert {r["n"]: r["count"] for r in two.collect()} == {40: 3, 20: 6}
+
+
 def test_near_dup_join_of_few(spark, docs):
     assert near_dup_join.components(empty(docs)).count() == 0
     one = near_dup_join.components(docs).collect()
