@@ -64,12 +64,13 @@ def z_query(df: DataFrame, code: str, x: str, y: str, extents: list[Extent], ful
     return filter_ranges(df, code, ranges).where(intersects({"xmin": F.col(x), "xmax": F.col(x), "ymin": F.col(y), "ymax": F.col(y)}, extents))
 
 
-def features(df: DataFrame, code: str, lod: str, family: str, extents: list[Extent], resolution: float, full: Extent, wkid: int = 4326, depth: int = 20, limit: int = FEATURE_LIMIT) -> DataFrame:
-    """The query of a viewer: ranges, one leaf of the level struct, decoding, the exact test on what is shown. At most limit + 1 rows come out; more than limit means that the limit was met."""
+def features(df: DataFrame, code: str, lod: str, family: str, extents: list[Extent], resolution: float, full: Extent, wkid: int = 4326, depth: int = 20, limit: int | None = FEATURE_LIMIT) -> DataFrame:
+    """The query of a viewer: ranges, one leaf of the level struct, decoding, the exact test on what is shown. At most limit + 1 rows come out; more than limit means that the limit was met. Without a limit (None) all come out."""
     level = level_for(resolution, wkid)
     ranges = merge_ranges([r for e in extents for r in xz_ranges(full, _grown(e, full), depth)])
     shown = filter_ranges(df, code, ranges).withColumn("_shown", C.lod_decode(f"{lod}.{level.column}", family, level.resolution))
-    return shown.where(F.col("_shown").isNotNull()).where(intersects("_shown", extents)).limit(limit + 1)
+    found = shown.where(F.col("_shown").isNotNull()).where(intersects("_shown", extents))
+    return found if limit is None else found.limit(limit + 1)
 
 
 def limited(df: DataFrame, limit: int = FEATURE_LIMIT) -> DataFrame:

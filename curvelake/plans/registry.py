@@ -220,7 +220,7 @@ def viewport_z_query(spark, sf_dir):
 def viewport_lod_features(spark, sf_dir):
     """Features that a viewer gets at its finest level, through level payloads. Every box here is wider than the level's grid, whose error at the edges no box of these tables meets."""
     df = keyed_boxes(spark, sf_dir).withColumn("geolod", C.lod_struct(C.make_box(*box_columns().values()), "polygon", stored=levels()[-1:]))
-    return viewport.features(df, "code", "geolod", "polygon", [VIEW], zoom_resolution(16), FULL, depth=DEPTH).agg(F.count("*").alias("n"))
+    return viewport.features(df, "code", "geolod", "polygon", [VIEW], zoom_resolution(16), FULL, depth=DEPTH, limit=None).agg(F.count("*").alias("n"))
 
 
 @query(f"WITH {BOXES_SQL} SELECT least(count(*), 100) AS features, count(*) > 100 AS limited FROM b WHERE {_IN_VIEW}")

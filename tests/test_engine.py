@@ -16,7 +16,7 @@ from curvelake import cli
 from curvelake.functions import columns as C
 from curvelake.functions import wkb as W
 from curvelake.functions.curves import Extent
-from curvelake.operators import analytics, query
+from curvelake.operators import analytics, query, viewport
 from curvelake.plans import convert as V
 from curvelake.plans import registry, validate
 from curvelake.sinks import parquet as sink
@@ -274,3 +274,12 @@ def test_entry_without_the_optional_part():
 
     assert set(e.oracle_sql()) <= set(e.queries()) and "viewport_xz_query" in e.queries()
     assert F is not None
+
+
+def test_lod_features_are_all_counted(spark, monkeypatch):
+    """The registered query counts, whatever a viewer's limit is."""
+    limited = viewport.features
+    monkeypatch.setattr(limited, "__defaults__", tuple(3 if v == viewport.FEATURE_LIMIT else v for v in limited.__defaults__))
+    at = SF.replace("sf0.001", "sf0.01")  # the small table has none in the view
+    want = registry.queries()["viewport_xz_query"](spark, at).count()
+    assert want > 4 and registry.queries()["viewport_lod_features"](spark, at).first()["n"] == want
