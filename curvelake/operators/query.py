@@ -80,5 +80,5 @@ def viewport(spark: SparkSession, location: str, bounds: tuple[float, float, flo
     if not extents:
         return spark.createDataFrame([], "geojson string, xmin double, ymin double, xmax double, ymax double"), False
     rows = plan(data, extents, zoom_resolution(zoom)).select(C.as_geojson("shown.wkb").alias("geojson"), "shown.xmin", "shown.ymin", "shown.xmax", "shown.ymax")
-    more = limit < V.FEATURE_LIMIT and rows.limit(limit + 1).count() > limit
-    return rows.limit(limit), bool(more)
+    # Up to one row beyond the limit is counted, without what is only shown.
+    return rows.limit(limit), rows.limit(limit + 1).count() > limit

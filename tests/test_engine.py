@@ -283,3 +283,13 @@ def test_lod_features_are_all_counted(spark, monkeypatch):
     at = SF.replace("sf0.001", "sf0.01")  # the small table has none in the view
     want = registry.queries()["viewport_xz_query"](spark, at).count()
     assert want > 4 and registry.queries()["viewport_lod_features"](spark, at).first()["n"] == want
+
+
+def test_viewport_says_that_the_feature_limit_was_met(spark, tmp_path, monkeypatch):
+    out, world = str(tmp_path / "a.parquet"), (-180.0, -90.0, 180.0, 90.0)
+    rewrite(spark, shapes(60), "polygon", out)
+    n = query.viewport(spark, out, world, 14)[0].count()
+    for limit, flag in ((5, True), (n - 1, True), (n, False), (n + 1, False)):
+        monkeypatch.setattr(viewport, "FEATURE_LIMIT", limit)
+        rows, limited = query.viewport(spark, out, world, 14, limit)
+        assert (rows.count(), limited) == (min(n, limit), flag)
