@@ -1,8 +1,10 @@
 """Secret scan: three base patterns, and character Markov models that tell random strings from ordinary identifiers.
 
 Method: two first-order Markov chains over character classes' letters (ALPHABET), one trained on labelled random strings, one on labelled
-ordinary identifiers. A candidate is a run of at least MIN_CANDIDATE characters of ALPHABET with a digit in it; its score is the mean
-log-likelihood ratio of the two chains per transition. Candidates over the threshold that touch no base span are added as kind "markov".
+ordinary identifiers. A candidate is a run of at least MIN_CANDIDATE characters of ALPHABET; its score is the mean log-likelihood ratio of the two
+chains per transition. Candidates over the threshold that touch no base span are added as kind "markov". Of a candidate that is not over it as a whole,
+as where a key is glued to a path or a name, those parts between separators are that are; where none is, its best window (of the largest sum of ratios
+less the threshold, from where it first reaches zero), if that is as long as a candidate must be.
 Both training sets are made by rule (digests of counters; words joined in the ways of identifiers), with their labels known by construction,
 and the table of ratios is fitted on the driver: its size is fixed. Everything on the executors is SQL functions.
 
@@ -24,7 +26,7 @@ from pyspark.sql import functions as F
 from .common import text_or_empty
 
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
-MIN_CANDIDATE = 20
+MIN_CANDIDATE = 16
 THRESHOLD = 0.6
 
 #: kind -> (pattern, group that is measured, characters it needs)
@@ -37,6 +39,8 @@ BASE = {
 #: A cheap test that a text can match at all.
 MAY = {"assign": r"(?i:passw|secret|token|api_?key)", "access": "AKIA", "hex": r"[0-9a-f]{24}"}
 CANDIDATE = rf"[A-Za-z0-9+/_=-]{{{MIN_CANDIDATE},}}"
+#: What lies between separators.
+PART = rf"[A-Za-z0-9+]{{{MIN_CANDIDATE},}}"
 KINDS = [*BASE, "markov"]
 
 WORDS = "get set user name value count index list item file path read write open close buffer size data text line word page host port time date start end first last next node tree map key table column row query result error message handler service client server request response config option default parse format print load store cache queue stack thread process event state model view test case build version number string array object class method field type".split()
@@ -81,6 +85,35 @@ def llr(s: Column, ratios: list[float]) -> Column:
     return total / F.greatest(F.length(s) - 1, F.lit(1))
 
 
+def best_window(s: Column, ratios: list[float], threshold: float) -> Column:
+    """struct<from, to>, in characters from 0, of the stretch of a string whose transitions' ratios, less the threshold each, have the largest sum; the first such, empty where all are negative."""
+    table, k = F.lit(ratios), len(ALPHABET)
+    at = lambda i: F.instr(F.lit(ALPHABET), F.substring(s, i, F.lit(1))) - 1
+    zero = F.struct(F.lit(0.0).alias("run"), F.lit(0).alias("begin"), F.lit(0.0).alias("best"), F.lit(0).alias("from"), F.lit(0).alias("to"))
+
+    def step(a: Column, i: Column) -> Column:
+        gain = F.element_at(table, at(i) * k + at(i + 1) + 1) - threshold
+        run = F.greatest(a["run"], F.lit(0.0)) + gain
+        begin = F.when(a["run"] > 0, a["begin"]).otherwise(i - 1)
+        return F.struct(
+            run.alias("run"), begin.alias("begin"), F.greatest(a["best"], run).alias("best"),
+            F.when(run > a["best"], begin).otherwise(a["from"]).alias("from"), F.when(run > a["best"], i + 1).otherwise(a["to"]).alias("to"),
+        )
+
+    return F.aggregate(F.sequence(F.lit(1), F.length(s) - 1), zero, step, lambda a: F.struct(a["from"], a["to"]))
+
+
+def random_in(m: Column, ratios: list[float], threshold: float) -> Column:
+    """What of a candidate (struct<start, end, value>) looks random: the whole; or else parts between separators; or else its best window."""
+    none = F.array().cast("array<struct<start:int,end:int,value:string>>")
+    found = F.filter(matches(m["value"], PART), lambda p: llr(p["value"], ratios) > threshold)
+    parts = F.transform(found, lambda p: F.struct((m["start"] + p["start"]).alias("start"), (m["start"] + p["end"]).alias("end"), p["value"].alias("value")))
+    window = F.filter(F.array(best_window(m["value"], ratios, threshold)), lambda w: w["to"] - w["from"] >= MIN_CANDIDATE)
+    window = F.transform(window, lambda w: F.struct((m["start"] + w["from"]).alias("start"), (m["start"] + w["to"]).alias("end"), F.substring(m["value"], w["from"] + 1, w["to"] - w["from"]).alias("value")))
+    glued = F.when(m["value"].rlike(PART), parts).otherwise(none)
+    return F.when(llr(m["value"], ratios) > threshold, F.array(m)).otherwise(F.when(F.size(glued) > 0, glued).otherwise(window))
+
+
 def matches(text: Column, pattern: str, group: int = 0) -> Column:
     """All matches, leftmost and non-overlapping, as an array of struct<start, end, value>: code points, end exclusive; value is the group's text."""
     p = F.lit(pattern)
@@ -114,9 +147,9 @@ def scan(df: DataFrame, id: str = "doc_id", text: str = "text", threshold: float
         out = out.withColumn(f"_{kind}", as_spans(got, kind))
     out = out.withColumn("_base", F.array_sort(F.concat(*(F.col(f"_{k}") for k in BASE))))
     t = F.col("_text")
-    cand = F.when(t.rlike(CANDIDATE), F.filter(matches(t, CANDIDATE), lambda m: m["value"].rlike("[0-9]"))).otherwise(none)
+    cand = F.when(t.rlike(CANDIDATE), matches(t, CANDIDATE)).otherwise(none)
     free = F.filter(cand, lambda m: ~F.exists(F.col("_base"), lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"])))
-    out = out.withColumn("_free", free).withColumn("_markov", as_spans(F.filter(F.col("_free"), lambda m: llr(m["value"], ratios) > threshold), "markov"))
+    out = out.withColumn("_free", free).withColumn("_markov", as_spans(F.flatten(F.transform(F.col("_free"), lambda m: random_in(m, ratios, threshold))), "markov"))
     name = F.lit(KINDS)
     named = lambda spans: F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.element_at(name, s["kind"] + 1).alias("kind")))
     return out.select(id, named(F.array_sort(F.concat("_base", "_markov"))).alias("spans"), named(F.col("_base")).alias("base"))

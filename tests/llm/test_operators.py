@@ -398,6 +398,30 @@ def test_markov_models_on_fresh_samples(spark):
     assert bad / df.count() < 0.02
 
 
+def test_markov_finds_letters_and_glued_keys(spark):
+    """Random strings without digits, of 16 characters, and glued to paths and names; and what is found of ordinary identifiers."""
+    import string
+
+    rnd, rows = random.Random(8), []
+    kinds = {"letters": string.ascii_letters, "upper": string.ascii_uppercase, "mixed": string.ascii_letters + string.digits, "base64": string.ascii_letters + string.digits + "+/"}
+    for kind, chars in kinds.items():
+        for glue in ("", "long/path/of/words/", "long_setting_name="):
+            for n in (16, 20, 32):
+                rows += [(f"{kind} {'glued' if glue else 'alone'} {n}", "see " + glue + "".join(rnd.choice(chars) for _ in range(n)) + " there", 4 + len(glue)) for _ in range(40)]
+    plain = [p for p in secret_scan.samples(2600)[1][2000:] if len(p) >= 16]
+    rows += [("plain", f"see {p} there", 0) for p in plain] + [("plain", f"see {a}/{b} there", 0) for a, b in zip(plain, plain[1:])]
+    df = spark.createDataFrame([(i, t) for i, (_, t, _) in enumerate(rows)], "doc_id long, text string")
+    hit = Counter()
+    for r in secret_scan.scan(df).collect():
+        kind, text, at = rows[r["doc_id"]]
+        # A find of a glued key reaches over most of it and not over all that is before.
+        hit[kind] += any(s["kind"] == "markov" and (kind == "plain" or min(s["end"], len(text) - 6) - max(s["start"], at) >= 8) for s in r["spans"])
+    size = Counter(k for k, _, _ in rows)
+    rate = {k: hit[k] / n for k, n in size.items()}
+    assert rate.pop("plain") < 0.01
+    assert all(v >= (0.6 if k.startswith("base64") else 0.8) for k, v in rate.items()), rate
+
+
 # 10
 
 
