@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import functools
+import gc
 import tempfile
 import uuid
 
@@ -47,6 +48,49 @@ def remove(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+class Tables:
+    """Intermediate tables of one operator in the shared folder, deleted when they have been used."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, {}
+
+    def add(self, df: DataFrame, name: str) -> DataFrame:
+        """df as a table: cuts the lineage, and survives the loss of executors."""
+        path = f"{shared_dir(self.spark)}/{name}-{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self.paths[id(out)] = (out, path)
+        return out
+
+    def drop(self, *tables: DataFrame) -> None:
+        """Deletes tables that no later step reads. Other DataFrames are passed over."""
+        for t in tables:
+            if (found := self.paths.pop(id(t), None)) is not None:
+                remove(self.spark, found[1])
+
+    def last(self, df: DataFrame, name: str) -> DataFrame:
+        """df as the one table that stays, for the caller. All others go, and shuffles that nothing refers to any more are given back."""
+        path = f"{shared_dir(self.spark)}/{name}-{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self.drop(*(t for t, _ in list(self.paths.values())))
+        reclaim(self.spark)
+        return out
+
+
+def reclaim(spark: SparkSession) -> None:
+    """Lets Spark's cleaner delete shuffle files of plans that nobody holds: it acts after a collection in the driver's JVM."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
+def spread_join(rows: DataFrame, few: DataFrame, key: str, by: str, salts: int) -> DataFrame:
+    """rows, left-joined with few (one row a key at most). The rows of one key are spread over `salts` tasks by a hash of `by`; few is repeated as often."""
+    salt = F.pmod(F.xxhash64(by, F.lit(3)), F.lit(salts)).cast("int")
+    each = few.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return rows.withColumn("_salt", salt).join(each, [key, "_salt"], "left").drop("_salt")
+
+
 def released(run):
     """A function over batches that, when it has read them, gives memory back that Arrow and the C library hold: workers live on beside the next stages."""
 
@@ -60,6 +104,13 @@ def released(run):
     return wrapped
 
 
+def cut(batches, rows: int = 500):
+    """Batches of few rows, so that texts are copied to Python a few at a time."""
+    for b in batches:
+        for s in range(0, len(b), rows):
+            yield b.slice(s, rows)
+
+
 def text_or_empty(text: str | Column = "text") -> Column:
     return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
 

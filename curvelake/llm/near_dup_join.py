@@ -3,25 +3,31 @@
 A document's set is the 64-bit hashes of its distinct five-word shingles (fewer words: the whole sequence as one; none: empty). Documents link
 when 4 * intersection >= 3 * union. The join is exact up to collisions of 64-bit hashes.
 
-Method. Sizes are cut into overlapping classes such that both sizes of any pair that can link lie in one class [s, t]. In a class the feature domain
-(the range of hashes) is partitioned into m ranges, taken as first-level partitions of two with one of two to be chosen from each (n2 = 2, k2 = 1), so
-the enumerated subsets are single ranges. A signature is the digest of the features in one range that is not empty. Sets of sizes a and b
-that link differ in at most d = floor((a + b) / 7) features, which touch at most d ranges; a set with more than d non-empty ranges therefore shares a
-signature with every partner. `slack` is the number of non-empty ranges less the largest d. Sets with slack <= 0 ("weak") and those that lose
-their slack to hot signatures ("unsafe") are joined with each other by a prefix filter instead: by their rarest features, as many as two linked sets cannot all miss.
-All sets list their features in one order, so a pair's first shared feature also bounds what they share: no more than what either has from there on. A pair for which that is too little is
-not compared; a passage that many documents share so makes pairs of those only in which little else stands.
-
-Counting. That bound also tells how many signatures a document shares with each partner: at least its slack. Pairs are counted over all buckets, and those
-that share too few are dropped before any set is read; this loses nothing.
+Method. Sizes are cut into overlapping classes such that both sizes of any pair that can link lie in one class [s, t]. In a class the feature domain (the range of hashes)
+is partitioned into n1 first-level partitions of three second-level ranges each (n2 = 3), and of each first-level partition the subsets of two ranges are enumerated (k2 = 1): a signature is
+the digest of a set's features in one such subset that is not empty. Sets of sizes a and b that link differ in at most d = floor((a + b) / 7) features. The first difference in a first-level
+partition spoils at most two of its three signatures, a second one the third, so d differences spoil at most min(2 d, d + n1) signatures, and a set with more than those shares
+the others ("slack") with every partner. Sets without slack ("weak") and those that lose it to hot signatures ("unsafe") are joined with each other by a prefix filter instead: by their
+rarest features, as many as two linked sets cannot all miss. All sets list their features in one order, so a pair's first shared feature also bounds what they share: no more than what
+either has from there on. A pair for which that is too little is not compared; a passage that many documents share so makes pairs of those only in which little else stands.
+
+Which signatures travel. All sets list their signatures in one order (of the hash range), and those that a pair shares are at least the slack, so each set can leave the last of them
+away and still share as many of the first: it sends those that can be spoilt and `sent(n)` more. A pair then shares at least `need` of them: the smaller of the slack and of sent() for the
+smallest size that can link.
+
+Counting. Pairs are counted over all buckets, and those that share fewer signatures than they need to are dropped before any set is read; this loses nothing. (Two of
+a set's signatures can agree in the bytes that travel, and then count once; need is lowered by more than the number of those.) Pairs that are left are tested by
+parity bitmaps: a bit is the parity of the features that fall on it, so two bitmaps differ in no more bits than the sets differ in features. A bitmap has two to
+four bits a feature, and a larger one folds to the size of a smaller one. Only pairs that pass are compared by their sets.
 
 Hot signatures. Equal sets are made one before they are compared. A signature of up to SMALL sets gives all pairs whose sizes allow a link. A larger one gives pairs of its
-members with its smallest one where an 8-byte sketch says that they are alike: these only join groups early. Once groups are known, a
+members with its smallest one where a 16-bit sketch says that they are alike: these only join groups early. Once groups are known, a
 signature whose members are all of one group needs nothing more; if few members (CROSS at most) are outside its largest group, all pairs of
 members of different groups are compared; else it is hot, and each member's slack falls by one. So nothing is dropped, and pairs within a group of near copies are never listed.
 
 Signatures travel as packed blobs, one for each bucket and flush of a task (a fixed number of records), not as rows; in a flush, a signature with more than
-SMALL members is already made one record. Buckets follow the size of the corpus, so a bucket's arrays are bounded.
+SMALL members is already made one record. Buckets follow the size of the corpus, so a bucket's arrays are bounded; a record never needs more than its own bytes and one entry's (ENTRY), however many buckets there are.
+Intermediate tables are deleted when they have been used.
 
 Cases: null and empty texts have empty sets, link with nothing and are their own component. Repeated rows with one id are returned each; a row with a null id
 takes the component of its copies, or none. Texts of any length are read whole. Extra columns are not read (`kept` passes them through). An empty table gives an empty result.
@@ -37,31 +43,37 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, mix, released, slices, text_or_empty, written
+from .common import Tables, Words, cut, mix, released, slices, spread_join, text_or_empty
 
 WIDTH = 5
 SMALL, CROSS = 8, 8
+#: Members that are paired with one leader, about.
+LED = 1024
 #: Signatures in a bucket, about; records in a flush, at most; documents in a flush, at most.
 BUCKET, FLUSH, FLUSH_DOCS = 2_000_000, 1_500_000, 30_000
-#: Rows of a batch and bytes of text that are worked on at once.
-ROWS, SLICE = 500, 1 << 20
-STRETCH, RANGES = 2.4, 0.42
+#: Bytes of text that are worked on at once.
+SLICE = 1 << 20
+#: Sizes of a class, from largest to smallest; first-level partitions for each that two differences in each would take.
+STRETCH, MARGIN = 3.0, 1.3
+#: Bytes of a signature that travel, besides its bucket.
+KEY = 5
 #: Up to so many ids a candidates' table is broadcast (8 bytes each); beyond, texts are shuffled to their ids.
 BROADCAST_IDS = 2_000_000
+#: Tasks over which the rows of one key are spread in joins with a table that has few rows a key.
+SALTS = 16
 
 RESULT = "kind string, a long, b long, sig long, cls int, slack int, n long, digest binary"
 _ASCII_LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
-_SKETCH = np.random.Generator(np.random.PCG64(5)).integers(1, 1 << 62, 8, np.uint64) * np.uint64(2) + np.uint64(1)
 _PLACE = np.random.Generator(np.random.PCG64(6)).integers(1, 1 << 62, WIDTH, np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 @functools.cache
 def classes() -> tuple[tuple[int, int, int], ...]:
-    """(s, t, m) of each class: sizes s..t, m ranges."""
+    """(s, t, n1) of each class: sizes s..t, n1 first-level partitions."""
     out, s = [], 1
     while s < 1 << 32:
         t = max(int(STRETCH * s), s + 3)
-        out.append((s, t, int(RANGES * t) + 8))
+        out.append((s, t, int(MARGIN * (2 * t // 7 + 1) / 2) + 2))
         s = (3 * t + 2) // 4 + 1  # the smallest for which sizes below it have all their partners up to t
         while 4 * (s - 1) // 3 > t:
             s -= 1
@@ -100,6 +112,47 @@ def _sums(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return np.add.reduceat(values, starts) if len(starts) else np.zeros(0, values.dtype)
 
 
+def sent(n):
+    """How many signatures beyond those that can be spoilt a set of size n sends, where it has as many."""
+    return 3 + n // 12
+
+
+def bitmaps(mixed: np.ndarray, begins: np.ndarray) -> list[bytes]:
+    """Each set's parity bitmap, of 64 bits or the power of two from twice its size."""
+    size = np.diff(begins)
+    bits = np.int64(1) << np.maximum(6, np.ceil(np.log2(np.maximum(2 * size, 1)))).astype(np.int64)
+    offset = np.append(0, np.cumsum(bits))
+    at = (mixed & np.repeat((bits - 1).astype(np.uint64), size)).astype(np.int64) + np.repeat(offset[:-1], size)
+    packed = np.packbits((np.bincount(at, minlength=offset[-1]) & 1).astype(np.uint8), bitorder="little")
+    return [packed[x:y].tobytes() for x, y in zip(offset[:-1] // 8, offset[1:] // 8)]
+
+
+def apart(x: bytes, y: bytes) -> int:
+    """Bits in which two bitmaps differ, the larger one folded to the size of the smaller."""
+    p, q = (np.frombuffer(z, "<u8") for z in (x, y))
+    while len(p) > len(q):
+        p = p[: len(p) // 2] ^ p[len(p) // 2 :]
+    while len(q) > len(p):
+        q = q[: len(q) // 2] ^ q[len(q) // 2 :]
+    return int(np.bitwise_count(p ^ q).sum())
+
+
+def enumerated(mixed: np.ndarray, h: np.ndarray, doc: np.ndarray, c: int, n1: int) -> tuple[np.ndarray, np.ndarray]:
+    """Signatures of sets (features by document, ascending) in class c, by document and in the order of the hash range; and each one's document."""
+    part = ((h >> np.uint64(32)) * np.uint64(3 * n1)) >> np.uint64(32)
+    starts = np.flatnonzero((np.diff(part, prepend=part[:1] + np.uint64(1)) != 0) | (np.diff(doc, prepend=-1) != 0))
+    value, part, doc = _sums(mixed, starts), part[starts], doc[starts]
+    first, second = part // np.uint64(3), (part % np.uint64(3)).astype(np.int64)
+    new = np.flatnonzero((np.diff(first, prepend=first[:1] + np.uint64(1)) != 0) | (np.diff(doc, prepend=-1) != 0))
+    group = np.repeat(np.arange(len(new)), np.diff(np.append(new, len(first))))
+    sums, has = np.zeros((len(new), 3), np.uint64), np.zeros((len(new), 3), bool)
+    sums[group, second], has[group, second] = value, True
+    name = first[new][:, None] * np.uint64(256) + (np.arange(3, dtype=np.uint64) * np.uint64(64) + np.uint64(c))
+    left, right = [0, 0, 1], [1, 2, 2]
+    live = (has[:, left] | has[:, right]).ravel()
+    return mix(sums[:, left] + sums[:, right] + mix(name)).ravel()[live], np.repeat(doc[new], 3)[live]
+
+
 class Flush:
     """Signatures of a number of documents. An entry is a document in a class."""
 
@@ -111,33 +164,40 @@ class Flush:
         """Documents with non-empty, different sets. Returns the weak ones' ids and classes."""
         size = np.diff(begins)
         mixed = mix(h ^ np.uint64(0x5851F42D4C957F2D))
-        sketch = np.zeros((len(ids), 8), np.uint8)
-        for j, k in enumerate(_SKETCH):
-            sketch[:, j] = mix(np.minimum.reduceat(h * k, begins[:-1])).view(np.uint8).reshape(-1, 8)[:, 0]
         doc_of = np.repeat(np.arange(len(ids)), size)
+        # Of the features in each sixteenth of the hash range, one bit of the least.
+        bins = (h >> np.uint64(60)).astype(np.int64)
+        starts = np.flatnonzero((np.diff(bins, prepend=-1) != 0) | (np.diff(doc_of, prepend=-1) != 0))
+        least = np.minimum.reduceat(mixed, starts)
+        sketch = np.bincount(doc_of[starts], (least & np.uint64(1)).astype(np.int64) << bins[starts], minlength=len(ids)).astype(np.uint16)
         weak = []
-        for c, (s, t, m) in enumerate(classes()):
+        for c, (s, t, n1) in enumerate(classes()):
             if s > size.max():
                 break
             inside = (size >= s) & (size <= t)
             if not inside.any():
                 continue
             elements = np.flatnonzero(inside[doc_of])
-            part = ((h[elements] >> np.uint64(32)) * np.uint64(m)) >> np.uint64(32)
-            d = doc_of[elements]
-            starts = np.flatnonzero((np.diff(part, prepend=part[:1] + np.uint64(1)) != 0) | (np.diff(d, prepend=-1) != 0))
-            sig = mix(_sums(mixed[elements], starts) + mix(part[starts] * np.uint64(64) + np.uint64(c)))
-            used = np.bincount(d[starts], minlength=len(ids))
+            sig, owner = enumerated(mixed[elements], h[elements], doc_of[elements], c, n1)
+            used = np.bincount(owner, minlength=len(ids))
             which = np.flatnonzero(inside)
-            slack = used[which] - (size[which] + np.minimum(t, 4 * size[which] // 3)) // 7
+            d = (size[which] + np.minimum(t, 4 * size[which] // 3)) // 7
+            spoilt = np.minimum(2 * d, d + n1)
+            slack = used[which] - spoilt
+            goes = np.zeros(len(ids), np.int64)
+            goes[which] = np.where(slack > 0, spoilt + np.minimum(slack, sent(size[which])), used[which])
+            keep = np.arange(len(owner)) - (np.cumsum(used) - used)[owner] < goes[owner]
+            sig, owner = sig[keep], owner[keep]
+            need = np.minimum(slack, sent((3 * size[which] + 3) // 4))
+            need = np.where(need > 1, need - 1 - need // 64, need)
             number = np.full(len(ids), -1)
             number[which] = self.entries + np.arange(len(which))
             self.sig.append(sig)
-            self.entry.append(number[d[starts]].astype(np.uint16))
+            self.entry.append(number[owner].astype(np.uint16))
             table = np.zeros(len(which), ENTRY)
-            table["doc"], table["digest"], table["sketch"], table["cls"] = ids[which], digests[which], sketch[which].copy().view(np.uint64)[:, 0], c
+            table["doc"], table["digest"], table["sketch"], table["cls"] = ids[which], digests[which], sketch[which], c
             table["n"] = size[which]
-            table["slack"] = np.clip(slack, -30_000, 30_000)
+            table["slack"] = np.clip(need, -30_000, 30_000)
             self.parts.append(table)
             self.entries += len(which)
             self.n += len(sig)
@@ -146,19 +206,58 @@ class Flush:
         return weak
 
 
-ENTRY = np.dtype([("doc", "<i8"), ("digest", "<u8"), ("sketch", "<u8"), ("n", "<u4"), ("cls", "u1"), ("slack", "<i2")])
-FLAG = 0x8000
+ENTRY = np.dtype([("doc", "<i8"), ("digest", "<u8"), ("n", "<u4"), ("sketch", "<u2"), ("slack", "<i2"), ("cls", "u1")])
+
+
+def pack_blob(table: np.ndarray, entry: np.ndarray, sig: np.ndarray, flagged: np.ndarray) -> bytes:
+    """Signatures by entry as bytes: entries' columns and signatures, all by byte place, so that bytes that are alike stand side by side when Spark compresses them."""
+    used, count = np.unique(entry, return_counts=True)
+    t = table[used]
+    base = int(t["doc"].min())
+    offset = (t["doc"] - base).astype(np.uint64)
+    wide = 8 if int(offset.max()) >> 32 else 4
+    columns = [
+        (offset.astype(f"<u{wide}"), wide), (t["digest"], 8), (t["n"], 4), (t["sketch"], 2), (t["slack"], 2), (t["cls"], 1), (count.astype("<u4"), 4), (sig, KEY),
+    ]
+    flags = np.flatnonzero(flagged).astype("<u4")
+    head = np.array([base, wide, len(used), len(sig), len(flags)], "<i8")
+    return b"".join([head.tobytes(), *(np.ascontiguousarray(x).view(np.uint8).reshape(len(x), -1)[:, :w].T.tobytes() for x, w in columns), flags.tobytes()])
+
+
+def unpack_blob(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The table of entries, and each signature's entry, bytes and flag."""
+    base, wide, n, k, flags = np.frombuffer(raw[:40], "<i8").tolist()
+    at = 40
+
+    def column(count, width, kind):
+        nonlocal at
+        out = np.zeros((count, np.dtype(kind).itemsize), np.uint8)
+        out[:, :width] = np.frombuffer(raw, np.uint8, count * width, at).reshape(width, count).T
+        at += count * width
+        return out.view(kind)[:, 0]
+
+    table = np.zeros(n, ENTRY)
+    table["doc"] = column(n, wide, "<u8").astype(np.int64) + base
+    for name in ("digest", "n", "sketch", "slack", "cls"):
+        table[name] = column(n, ENTRY[name].itemsize, ENTRY[name])
+    count, sig = column(n, 4, "<u4"), column(k, KEY, "<u8")
+    flagged = np.zeros(k, bool)
+    flagged[np.frombuffer(raw, "<u4", flags, at)] = True
+    return table, np.repeat(np.arange(n, dtype=np.uint32), count), sig, flagged
 
 
 def _alike(first: np.void, rest: np.ndarray) -> np.ndarray:
-    """Whether sketches agree in 5 of 8 bytes and sizes allow a link."""
-    x = (rest["sketch"] ^ first["sketch"]).view(np.uint8).reshape(-1, 8)
+    """Whether sketches agree in 13 of 16 bits and sizes allow a link."""
     n, least = rest["n"].astype(np.int64), int(first["n"])
-    return ((x == 0).sum(axis=1) >= 5) & (4 * np.minimum(n, least) >= 3 * np.maximum(n, least))
+    return (np.bitwise_count(rest["sketch"] ^ first["sketch"]) <= 3) & (4 * np.minimum(n, least) >= 3 * np.maximum(n, least))
 
 
 def _star(e: np.ndarray) -> list[tuple[int, int]]:
-    """Pairs of an entry with the first of a few leaders that it is like. e: by document."""
+    """Pairs of an entry with the first of a few leaders that it is like. e: by document. Of very many, parts by a hash of the id have their own leaders, so that none has more than about LED pairs."""
+    if len(e) > LED:
+        part = mix(e["doc"].astype(np.uint64)) >> np.uint64(64 - (2 * len(e) // LED).bit_length())
+        parts = [e[part == p] for p in np.unique(part)]
+        return [x for p in parts for x in _star(p)] + _star(np.sort(np.concatenate([p[:1] for p in parts]), order="doc"))
     out, rest = [], e
     for _ in range(3):
         if len(rest) < 2:
@@ -190,21 +289,13 @@ def _groups(sig: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return starts, np.diff(np.append(starts, len(sig)))
 
 
-def _key(sig: np.ndarray, bucket, width: int) -> np.ndarray:
+def _key(sig: np.ndarray, bucket) -> np.ndarray:
     """A signature's number from what a blob has of it."""
-    low = sig & np.uint64((1 << (8 * width)) - 1) if width < 8 else sig
-    return mix(low + np.uint64(bucket) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
+    return mix((sig & np.uint64((1 << (8 * KEY)) - 1)) + np.uint64(int(bucket) * 0x9E3779B97F4A7C15 % (1 << 64))).view(np.int64)
 
 
-def _cut(batches):
-    """Batches of few rows, so that texts are copied to Python a few at a time."""
-    for b in batches:
-        for s in range(0, len(b), ROWS):
-            yield b.slice(s, ROWS)
-
-
-def signatures(buckets: int, width: int):
-    """doc_id, _text -> blobs of signatures by bucket, and rows that pass through: D (a document's set: size and digest), W (weak), M (a member of a large signature), S (a pair that looks alike)."""
+def signatures(buckets: int):
+    """doc_id, _text -> blobs of signatures by bucket, and rows that pass through: D (a document's set: size, digest and bitmap), W (weak), M (a member of a large signature), S (a pair that looks alike)."""
 
     def passing(cols):
         at = [(hash(x) if x is not None else 0) % buckets for x in cols["a"]]
@@ -215,18 +306,18 @@ def signatures(buckets: int, width: int):
         order = np.argsort(sig, kind="stable")
         sig, entry = sig[order], entry[order]
         starts, counts = _groups(sig)
-        ship, flags = np.ones(len(sig), bool), np.zeros(len(sig), np.uint16)
+        ship, flagged = np.ones(len(sig), bool), np.zeros(len(sig), bool)
         bucket = (((sig >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)).astype(np.int64)
         member, pairs = [], set()
         for g in np.flatnonzero(counts > SMALL):
             a, b = starts[g], starts[g] + counts[g]
             e = np.sort(table[entry[a:b]], order="doc")
-            k = int(_key(sig[a : a + 1], bucket[a], width)[0])
+            k = int(_key(sig[a : a + 1], bucket[a])[0])
             member += [(k, int(x["doc"]), int(x["cls"]), int(x["slack"]), int(x["n"])) for x in e]
             pairs.update(_star(e))
             ship[a:b] = False
             lead = a + int(np.argmin(table["doc"][entry[a:b]]))
-            ship[lead], flags[lead] = True, FLAG
+            ship[lead] = flagged[lead] = True
             if len(member) > 50_000:
                 yield passing(_rows("M", member, ("sig", "a", "cls", "slack", "n")))
                 member = []
@@ -234,20 +325,17 @@ def signatures(buckets: int, width: int):
             yield passing(_rows("M", member, ("sig", "a", "cls", "slack", "n")))
         if pairs:
             yield passing(_rows("S", sorted(pairs), ("a", "b")))
-        sig, entry, bucket = sig[ship], entry[ship] | flags[ship], bucket[ship]
-        order = np.argsort(bucket, kind="stable")
-        sig, entry, bucket = sig[order], entry[order], bucket[order]
+        order = np.flatnonzero(ship)
+        order = order[np.lexsort((entry[order], bucket[order]))]
+        sig, entry, bucket, flagged = sig[order], entry[order], bucket[order], flagged[order]
         cut = np.searchsorted(bucket, np.arange(buckets + 1))
         for p in np.flatnonzero(np.diff(cut)):
-            s, e = sig[cut[p] : cut[p + 1]], entry[cut[p] : cut[p + 1]]
-            used = np.unique(e & (FLAG - 1))
-            e = (np.searchsorted(used, e & (FLAG - 1)).astype(np.uint16)) | (e & FLAG)
-            blob = np.int64(len(used)).tobytes() + table[used].tobytes() + e.tobytes() + s.view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
-            yield _batch({"kind": ["B"]}, {"bucket": ([int(p)], pa.int32()), "blob": ([blob], pa.binary())})
+            x = slice(cut[p], cut[p + 1])
+            yield _batch({"kind": ["B"]}, {"bucket": ([int(p)], pa.int32()), "blob": ([pack_blob(table, entry[x], sig[x], flagged[x])], pa.binary())})
 
     def run(batches):
         f, seen = Flush(), set()
-        for b in _cut(batches):
+        for b in cut(batches):
             ids = b.column(0).to_pylist()
             texts = [x.encode("utf-8", "surrogatepass") for x in b.column(1).to_pylist()]
             for lo, hi in slices(texts, SLICE):
@@ -259,8 +347,9 @@ def signatures(buckets: int, width: int):
                 if len(some):
                     at = begins[:-1][some]
                     one[some, 0], one[some, 1] = mix(_sums(mix(h), at) + size[some].astype(np.uint64)), _sums(mix(h + np.uint64(1)), at)
+                bits = bitmaps(mix(h + np.uint64(2)), begins)
                 digest = [one[i].tobytes() if size[i] else None for i in range(len(doc))]
-                yield passing({"kind": ["D"] * len(doc), "a": doc, "n": size.tolist(), "digest": digest})
+                yield passing({"kind": ["D"] * len(doc), "a": doc, "n": size.tolist(), "digest": [x and x + y for x, y in zip(digest, bits)]})
                 # Of equal sets in a flush the smallest id is enough.
                 new = [i for i in sorted(some, key=lambda i: (doc[i] is None, doc[i])) if doc[i] is not None and not (digest[i] in seen or seen.add(digest[i]))]
                 new = np.array(sorted(new), np.int64)
@@ -290,11 +379,11 @@ def _pairs(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.column_stack([a["doc"], b["doc"], a["cls"].astype(np.int64), a["slack"].astype(np.int64), b["slack"].astype(np.int64)])
 
 
-def matches(width: int):
-    """A bucket's blobs -> P rows (a, b, class, slack of a, in sig that of b, and in n how many signatures they share here), S rows (pairs that look alike) and M rows; rows that pass through are passed."""
+def matches():
+    """A bucket's blobs -> P rows (a, b, class, need of a, in sig that of b, and in n how many signatures they share here), S rows (pairs that look alike) and M rows; rows that pass through are passed."""
 
     def run(batches):
-        bucket, tables, entries, sigs, total = TaskContext.get().partitionId(), [], [], [], 0
+        bucket, tables, entries, sigs, flags, total = TaskContext.get().partitionId(), [], [], [], [], 0
         for b in batches:
             blobs = b.column(1)
             rest = b.filter(blobs.is_null())
@@ -303,22 +392,16 @@ def matches(width: int):
             for x in blobs:
                 if not x.is_valid:
                     continue
-                raw = memoryview(x.as_py())
-                n = int(np.frombuffer(raw[:8], "<i8")[0])
-                at = 8 + n * ENTRY.itemsize
-                k = (len(raw) - at) // (2 + width)
-                tables.append(np.frombuffer(raw[8:at], ENTRY))
-                e = np.frombuffer(raw[at : at + 2 * k], "<u2")
-                entries.append(((e & (FLAG - 1)).astype(np.uint32) + np.uint32(total)) | ((e & FLAG).astype(np.uint32) << np.uint32(16)))
-                s = np.zeros((k, 8), np.uint8)
-                s[:, :width] = np.frombuffer(raw[at + 2 * k :], np.uint8).reshape(k, width)
-                sigs.append(s.view("<u8")[:, 0])
-                total += n
+                table, entry, sig, flagged = unpack_blob(x.as_py())
+                tables.append(table)
+                entries.append(entry + np.uint32(total))
+                sigs.append(sig)
+                flags.append(flagged)
+                total += len(table)
         if not tables:
             return
-        table, entry, sig = np.concatenate(tables), np.concatenate(entries), np.concatenate(sigs)
-        del tables, entries, sigs
-        flagged, entry = entry >> np.uint32(31) == 1, entry & np.uint32(0x7FFFFFFF)
+        table, entry, sig, flagged = np.concatenate(tables), np.concatenate(entries), np.concatenate(sigs), np.concatenate(flags)
+        del tables, entries, sigs, flags
         order = np.argsort(sig, kind="stable")
         sig, entry, flagged = sig[order], entry[order], flagged[order]
         del order
@@ -338,7 +421,7 @@ def matches(width: int):
             e, mark = e[by], mark[by]
             first = np.append(True, e["digest"][1:] != e["digest"][:-1])
             if mark.any() or first.sum() > SMALL:
-                k = int(_key(sig[s : s + 1], bucket, width)[0])
+                k = int(_key(sig[s : s + 1], bucket)[0])
                 member += [(k, int(r["doc"]), int(r["cls"]), int(r["slack"]), int(r["n"])) for r in e[~mark]]
                 stars.update(_star(np.sort(e[first], order="doc")))
             elif first.sum() > 1:
@@ -363,17 +446,14 @@ def matches(width: int):
     return run
 
 
-def signed(docs: DataFrame, id: str, text: str) -> DataFrame:
+def signed(docs: DataFrame, id: str, text: str, tables: Tables) -> DataFrame:
     """All that signatures tell, as a table in the shared folder (RESULT)."""
     t = text_or_empty(text)
     size = docs.agg(F.sum(F.octet_length(t))).first()[0] or 0
-    total = max(1, size // 8)
-    buckets = int(min(max(1, -(-total // BUCKET)), 1 << 20))
-    # So many bits that among all pairs of signatures fewer than one in a hundred agree by chance.
-    width = int(min(8, max(5, -(-(2 * total.bit_length() + 6 - buckets.bit_length()) // 8))))
+    buckets = int(min(max(1, -(-size // 8 // BUCKET)), 1 << 20))
     rows = docs.select(F.col(id).cast("long").alias("doc_id"), t.alias("_text"))
-    blobs = rows.mapInArrow(released(signatures(buckets, width)), "bucket int, blob binary, " + RESULT)
-    return written(blobs.repartitionById(buckets, "bucket").mapInArrow(released(matches(width)), RESULT), "signatures")
+    blobs = rows.mapInArrow(released(signatures(buckets)), "bucket int, blob binary, " + RESULT)
+    return tables.add(blobs.repartitionById(buckets, "bucket").mapInArrow(released(matches()), RESULT), "signatures")
 
 
 def sets_of(docs: DataFrame, ids: DataFrame, id: str, text: str) -> DataFrame:
@@ -382,7 +462,7 @@ def sets_of(docs: DataFrame, ids: DataFrame, id: str, text: str) -> DataFrame:
     rows = docs.select(F.col(id).cast("long").alias("doc"), text_or_empty(text).alias("_text")).join(F.broadcast(ids) if few else ids, "doc", "left_semi")
 
     def run(batches):
-        for b in _cut(batches):
+        for b in cut(batches):
             texts = [x.encode("utf-8", "surrogatepass") for x in b.column(1).to_pylist()]
             for lo, hi in slices(texts, SLICE):
                 h, begins = shingle_sets(texts[lo:hi])
@@ -405,29 +485,48 @@ def _linked(batches):
             yield pa.RecordBatch.from_arrays(part.columns[:2], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
 
 
-def verified(pairs: DataFrame, docs: DataFrame, id: str, text: str) -> DataFrame:
-    """The pairs (a < b, distinct) that link, as a table."""
-    ids = written(pairs.select(F.col("a").alias("doc")).union(pairs.select("b")).distinct(), "candidates")
-    sets = written(sets_of(docs, ids, id, text), "sets")
+def _near(batches):
+    """a, b, x, y, nx, ny -> a, b of the pairs whose bitmaps x and y allow a link of sets of those sizes."""
+    for b in batches:
+        x, y, n = b.column(2).to_pylist(), b.column(3).to_pylist(), np.add(b.column(4), b.column(5)) // 7
+        good = np.fromiter((apart(p, q) <= d for p, q, d in zip(x, y, n.tolist())), bool, len(b))
+        yield pa.RecordBatch.from_arrays(b.columns[:2], names=["a", "b"]).filter(pa.array(good))
+
+
+def verified(pairs: DataFrame, maps: DataFrame, docs: DataFrame, id: str, text: str, tables: Tables) -> DataFrame:
+    """The pairs (a < b, distinct) that link, as a table. maps: doc, n, bitmap."""
+    x = maps.select(F.col("doc").alias("a"), F.col("n").alias("nx"), F.col("bitmap").alias("x"))
+    y = maps.select(F.col("doc").alias("b"), F.col("n").alias("ny"), F.col("bitmap").alias("y"))
+    near = tables.add(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y", "nx", "ny").mapInArrow(released(_near), "a long, b long"), "near")
+    ids = tables.add(near.select(F.col("a").alias("doc")).union(near.select("b")).distinct(), "candidates")
+    sets = tables.add(sets_of(docs, ids, id, text), "sets")
     x = sets.select(F.col("doc").alias("a"), F.col("hashes").alias("x"))
     y = sets.select(F.col("doc").alias("b"), F.col("hashes").alias("y"))
-    return written(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(released(_linked), "a long, b long"), "links")
+    links = tables.add(near.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(released(_linked), "a long, b long"), "links")
+    tables.drop(near, ids, sets)
+    return links
 
 
-def connected(links: DataFrame) -> DataFrame:
-    """doc, component (the smallest id that links reach) of every document with a link: alternating large and small stars until nothing changes."""
+def connected(links: DataFrame, tables: Tables) -> DataFrame:
+    """doc, component (the smallest id that links reach) of every document with a link, as a table: alternating large and small stars until nothing changes. A hub's edges are
+    spread over SALTS tasks."""
     edges, before = links.select("a", "b").distinct(), None
+    salt = lambda c: F.pmod(F.xxhash64(c), F.lit(SALTS)).cast("int")
     while True:
         both = edges.union(edges.select("b", "a")).toDF("u", "v")
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("m").alias("a"), F.col("v").alias("b")).where("a < b").distinct()
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        large = both.where("v > u").withColumn("salt", salt("v")).join(least, ["u", "salt"]).select(F.col("m").alias("a"), F.col("v").alias("b")).where("a < b").distinct()
         low = large.groupBy("b").agg(F.min("a").alias("m"))
         small = large.join(low, "b").select(F.col("m"), "a", "b")
-        edges = small.select(F.col("m").alias("a"), F.col("a").alias("b")).union(small.select(F.col("m").alias("a"), "b")).where("a < b").distinct()
-        edges = written(edges, "stars")
+        old, edges = edges, small.select(F.col("m").alias("a"), F.col("a").alias("b")).union(small.select(F.col("m").alias("a"), "b")).where("a < b").distinct()
+        edges = tables.add(edges, "stars")
+        tables.drop(old)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
         if now == before:
-            return edges.select(F.col("b").alias("doc"), F.col("a").alias("component")).union(edges.select(F.col("a").alias("doc"), "a").distinct())
+            out = edges.select(F.col("b").alias("doc"), F.col("a").alias("component")).union(edges.select(F.col("a").alias("doc"), "a").distinct())
+            out = tables.add(out, "groups")
+            tables.drop(edges)
+            return out
         before = now
 
 
@@ -458,7 +557,7 @@ def prefixes(sets: DataFrame, repeated: bool = True) -> DataFrame:
 
     from pyspark.sql import Window
 
-    rows = sets.mapInArrow(run, "key long, doc long, n long, own long")
+    rows = sets.mapInArrow(released(run), "key long, doc long, n long, own long")
     often = rows.groupBy("key").agg(F.count("*").alias("df")).where("df > 1")
     # A feature of one set only can take a place in the prefix but never finds a partner.
     ranked = rows.join(often, "key", "left").withColumn("r", F.row_number().over(Window.partitionBy("doc", "own").orderBy(F.coalesce("df", F.lit(1)), "key")))
@@ -467,13 +566,16 @@ def prefixes(sets: DataFrame, repeated: bool = True) -> DataFrame:
 
 def components(df: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     """id, n_shingles, component_id of each row."""
-    found = signed(df, id, text)
-    sets = found.where("kind = 'D'").select(F.col("a").alias("doc"), "n", "digest")
-    first = sets.where("digest is not null").groupBy("digest").agg(F.min("doc").alias("rep"))
-    reps = written(sets.join(first, "digest", "left").select("doc", "n", F.coalesce("rep", "doc").alias("rep")), "representatives")
+    tables = Tables(df.sparkSession)
+    found = signed(df, id, text, tables)
+    sets = found.where("kind = 'D'").select(F.col("a").alias("doc"), "n", F.substring("digest", 1, 16).alias("digest"))
+    # Only digests of several rows are joined; the rows of a hot one are spread.
+    first = sets.where("digest is not null").groupBy("digest").agg(F.min("doc").alias("rep"), F.count("*").alias("rows")).where("rows > 1").select("digest", "rep")
+    reps = tables.add(spread_join(sets, first, "digest", "doc", SALTS).select("doc", "n", F.coalesce("rep", "doc").alias("rep")), "representatives")
     of = reps.select("doc", "rep").distinct()
-    # A document shares at least `slack` signatures with each partner; those that are large aren't counted in pairs.
-    large = written(found.where("kind = 'M'").select("sig", F.col("a").alias("doc"), "cls", "slack", "n").distinct(), "large")
+    maps = found.where("kind = 'D' and digest is not null").select(F.col("a").alias("doc"), "n", F.expr("substring(digest, 17)").alias("bitmap")).distinct()
+    # A document shares at least `need` signatures with each partner; those that are large aren't counted in pairs.
+    large = tables.add(found.where("kind = 'M'").select("sig", F.col("a").alias("doc"), "cls", "slack", "n").distinct(), "large")
     lost = large.groupBy("doc", "cls").agg(F.count("*").alias("lost"))
     shared = found.where("kind = 'P'").groupBy("a", "b", "cls").agg(F.sum("n").alias("n"), F.max("slack").alias("sa"), F.max("sig").alias("sb"))
     shared = shared.join(lost.select(F.col("doc").alias("a"), "cls", F.col("lost").alias("la")), ["a", "cls"], "left")
@@ -482,27 +584,36 @@ def components(df: DataFrame, id: str = "doc_id", text: str = "text") -> DataFra
     pairs = shared.where(enough).select("a", "b").union(found.where("kind = 'S'").select("a", "b")).distinct()
     same = of.select(F.col("doc").alias("a"), F.col("rep").alias("ra")), of.select(F.col("doc").alias("b"), F.col("rep").alias("rb"))
     pairs = pairs.join(same[0], "a").join(same[1], "b").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).where("a < b").distinct()
-    links = verified(written(pairs, "pairs"), df, id, text)
-    groups = connected(links)
-    large = large.join(of, "doc").select("sig", F.col("rep").alias("doc"), "cls", "slack", "n").distinct()
-    large = large.join(groups, "doc", "left").withColumn("component", F.coalesce("component", "doc"))
-    large = written(large, "members")
-    more, hot = across(large.select(F.col("sig").alias("key"), "doc", "component", "n", F.col("n").alias("rest")).distinct(), CROSS)
-    lost = large.join(hot.withColumnRenamed("key", "sig"), "sig").groupBy("doc", "cls").agg(F.count("*").alias("h"), F.min("slack").alias("slack"))
+    pairs = tables.add(pairs, "pairs")
+    links = verified(pairs, maps, df, id, text, tables)
+    tables.drop(pairs)
+    groups = connected(links, tables)
+    members = large.join(of, "doc").select("sig", F.col("rep").alias("doc"), "cls", "slack", "n").distinct()
+    members = tables.add(members.join(groups, "doc", "left").withColumn("component", F.coalesce("component", "doc")), "members")
+    tables.drop(large)
+    more, hot = across(members.select(F.col("sig").alias("key"), "doc", "component", "n", F.col("n").alias("rest")).distinct(), CROSS)
+    lost = members.join(hot.withColumnRenamed("key", "sig"), "sig").groupBy("doc", "cls").agg(F.count("*").alias("h"), F.min("slack").alias("slack"))
     unsafe = lost.where("h >= slack").select("doc").union(found.where("kind = 'W'").select(F.col("a").alias("doc")).join(of, "doc").select(F.col("rep").alias("doc"))).distinct()
-    unsafe = written(unsafe, "unsafe")
-    rest = written(sets_of(df, unsafe, id, text), "unsafe-sets")
+    unsafe = tables.add(unsafe, "unsafe")
+    rest = tables.add(sets_of(df, unsafe, id, text), "unsafe-sets")
     again = reps.groupBy("doc").agg(F.count("*").alias("rows")).where("rows > 1").join(unsafe, "doc", "left_semi")
     rare = prefixes(rest, again.limit(1).count() > 0).join(groups, "doc", "left").withColumn("component", F.coalesce("component", "doc"))
-    others, _ = across(written(rare, "prefixes"), None)
-    more = written(more.union(others).distinct(), "more-pairs")
+    rare = tables.add(rare, "prefixes")
+    others, _ = across(rare, None)
+    more = tables.add(more.union(others).distinct(), "more-pairs")
+    tables.drop(rest, rare, members, unsafe)
     if more.limit(1).count():
-        groups = connected(links.union(verified(more, df, id, text)))
+        new = verified(more, maps, df, id, text, tables)
+        old, groups = groups, connected(links.union(new), tables)
+        tables.drop(old, new)
     out = reps.join(groups.withColumnRenamed("doc", "rep"), "rep", "left")
-    return out.select(F.col("doc").alias(id), F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))
+    out = out.select(F.col("doc").alias(id), F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))
+    return tables.last(out, "components")
 
 
 def kept(df: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """df's rows that are the smallest of their component, with df's columns (ids are taken as unique)."""
-    gone = components(df, id, text).where(F.col("component_id") != F.col(id)).select(F.col(id).alias("_gone")).distinct()
+    """df's rows that are the smallest of their component, with df's columns. Rows of one id stand and fall together, so of different texts under one id none is lost alone: an id goes only if all
+    its rows are in components of smaller ids. Rows with a null id have no place in the order and stay."""
+    places = components(df, id, text).where(F.col(id).isNotNull())
+    gone = places.groupBy(id).agg(F.max("component_id").alias("_last")).where(F.col("_last") != F.col(id)).select(F.col(id).alias("_gone"))
     return df.join(gone, df[id] == F.col("_gone"), "left_anti")

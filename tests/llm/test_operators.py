@@ -319,6 +319,56 @@ def test_signatures_of_all_hash_parts():
         assert found[0][0] & found[1][0] or (found[0][1] and found[1][1])
 
 
+def test_blobs_round_trip():
+    rnd = np.random.Generator(np.random.PCG64(9))
+    for ids in (rnd.integers(-(1 << 62), 1 << 62, 50), np.arange(50) + 10**12):
+        table = np.zeros(50, near_dup_join.ENTRY)
+        for name in near_dup_join.ENTRY.names:
+            table[name] = rnd.integers(0, 100, 50)
+        table["doc"] = ids
+        entry, sig, flagged = np.sort(rnd.integers(0, 50, 300)), rnd.integers(0, 1 << 63, 300, np.uint64), rnd.integers(0, 9, 300) == 0
+        t, e, s, f = near_dup_join.unpack_blob(near_dup_join.pack_blob(table, entry.astype(np.uint16), sig, flagged))
+        assert (t[e] == table[entry]).all() and (s == sig % (1 << 8 * near_dup_join.KEY)).all() and (f == flagged).all()
+
+
+def test_bitmaps_never_part_sets_that_link():
+    rnd = np.random.Generator(np.random.PCG64(10))
+    for _ in range(300):
+        a = np.unique(rnd.integers(0, 1 << 63, int(rnd.integers(1, 300)), np.uint64))
+        b = np.unique(np.concatenate([a[int(rnd.integers(0, len(a))) :], rnd.integers(0, 1 << 63, int(rnd.integers(0, 80)), np.uint64)]))
+        x, y = near_dup_join.bitmaps(np.concatenate([a, b]), np.array([0, len(a), len(a) + len(b)]))
+        assert near_dup_join.apart(x, y) <= len(a) + len(b) - 2 * len(np.intersect1d(a, b))
+    far = near_dup_join.bitmaps(rnd.integers(0, 1 << 63, 1000, np.uint64), np.array([0, 500, 1000]))
+    assert near_dup_join.apart(*far) > 1000 // 7
+
+
+def test_stars_have_no_hubs(monkeypatch):
+    monkeypatch.setattr(near_dup_join, "LED", 32)
+    e = np.zeros(1000, near_dup_join.ENTRY)
+    e["doc"], e["n"] = np.arange(1000), 100
+    pairs = near_dup_join._star(e)
+    assert max(Counter(a for a, _ in pairs).values()) < 120
+    root = {i: i for i in range(1000)}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in pairs:
+        root[max(find(a), find(b))] = min(find(a), find(b))
+    assert {find(i) for i in range(1000)} == {0}
+
+
+def test_near_dup_join_keeps_texts_of_clashing_ids(spark):
+    """Copies under ids that another text has too, and under no id: a text is never lost."""
+    w = [" ".join(f"{k}{i}" for i in range(30)) for k in "abc"]
+    rows = [(5, w[0]), (5, w[1]), (9, w[1]), (9, w[1]), (None, w[2]), (None, w[2]), (7, None), (8, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = near_dup_join.kept(df).collect()
+    assert {r["text"] for r in kept} == {t for _, t in rows} and {r["doc_id"] for r in kept} == {5, None, 7, 8}
+
+
 # 6
 
 
