@@ -84,11 +84,11 @@ def reclaim(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
-def spread_join(rows: DataFrame, few: DataFrame, key: str, by: str, salts: int) -> DataFrame:
+def spread_join(rows: DataFrame, few: DataFrame, key: str | list[str], by: str, salts: int) -> DataFrame:
     """rows, left-joined with few (one row a key at most). The rows of one key are spread over `salts` tasks by a hash of `by`; few is repeated as often."""
     salt = F.pmod(F.xxhash64(by, F.lit(3)), F.lit(salts)).cast("int")
     each = few.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return rows.withColumn("_salt", salt).join(each, [key, "_salt"], "left").drop("_salt")
+    return rows.withColumn("_salt", salt).join(each, [*([key] if isinstance(key, str) else key), "_salt"], "left").drop("_salt")
 
 
 def released(run):
@@ -115,6 +115,16 @@ def text_or_empty(text: str | Column = "text") -> Column:
     return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
 
 
+def let(value: Column, use) -> Column:
+    """use(value), with value computed once: an expression that a lambda names is computed again for every element."""
+    return F.transform(F.array(value), use)[0]
+
+
+def numbers(values) -> Column:
+    """A constant array of doubles, as one small expression that Spark folds (a literal of a list has an expression for each element)."""
+    return F.split(F.lit(",".join(repr(float(x)) for x in values)), ",").cast("array<double>")
+
+
 #: An odd base, its inverse mod 2^64, and the multipliers of the finaliser.
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)

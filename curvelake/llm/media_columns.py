@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_or_empty
+from .common import cut, released, text_or_empty
 
 WIDTH = 576
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
@@ -139,16 +139,14 @@ def encode(df: DataFrame, id: str = "doc_id", text: str = "text", width: int = W
     """id, n_bytes (unpadded) and png, the stored form."""
 
     def run(batches):
-        for b in batches:
-            for s in range(0, len(b), 256):
-                part = b.slice(s, 256)
-                data = [x.as_py() for x in part.column(1)]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(list(map(len, data)), pa.int64()), pa.array([encode_png(padded(x, width), width) for x in data], pa.binary())], names=[id, "n_bytes", "png"]
-                )
+        for part in cut(batches, 128):
+            data = [x.as_py() for x in part.column(1)]
+            yield pa.RecordBatch.from_arrays(
+                [part.column(0), pa.array(list(map(len, data)), pa.int64()), pa.array([encode_png(padded(x, width), width) for x in data], pa.binary())], names=[id, "n_bytes", "png"]
+            )
 
     kind = dict(df.dtypes)[id]
-    return df.select(F.col(id), F.encode(text_or_empty(text), "UTF-8").alias("_bytes")).mapInArrow(run, f"`{id}` {kind}, n_bytes long, png binary")
+    return df.select(F.col(id), F.encode(text_or_empty(text), "UTF-8").alias("_bytes")).mapInArrow(released(run), f"`{id}` {kind}, n_bytes long, png binary")
 
 
 def decode(df: DataFrame, png: str = "png") -> DataFrame:
@@ -156,11 +154,9 @@ def decode(df: DataFrame, png: str = "png") -> DataFrame:
     fields = df.schema.fields
 
     def run(batches):
-        for b in batches:
-            for s in range(0, len(b), 256):
-                part = b.slice(s, 256)
-                images = [decode_png(x.as_py()) for x in part.column(png)]
-                arrays = [*part.columns, pa.array([x.tobytes() for x in images], pa.binary()), pa.array([dct_hash(x) for x in images], pa.binary())]
-                yield pa.RecordBatch.from_arrays(arrays, names=[*part.schema.names, "payload", "dct_hash"])
-
-    return df.mapInArrow(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), "payload binary", "dct_hash binary"]))
+        for part in cut(batches, 128):
+            images = [decode_png(x.as_py()) for x in part.column(png)]
+            arrays = [*part.columns, pa.array([x.tobytes() for x in images], pa.binary()), pa.array([dct_hash(x) for x in images], pa.binary())]
+            yield pa.RecordBatch.from_arrays(arrays, names=[*part.schema.names, "payload", "dct_hash"])
+
+    return df.mapInArrow(released(run), ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), "payload binary", "dct_hash binary"]))

@@ -1,102 +1,173 @@
 """Mixing sources to target weights by Pfair scheduling.
 
-Method: the rows of each source are ordered by a hash and cut into blocks of equal size. With w the source's share of the target weight, its j-th
-block (from 1) may not run before slot floor((j - 1) / w) and must have run by slot ceil(j / w). In each slot earliest-deadline-first takes
-among the released blocks the one that is due first, so at any time each source has had its weight's share of the slots to within less than one
-block. Where a source has no more blocks, the rest share the weight anew from that slot on. No row is dropped, capped or repeated.
+Method: the rows of each source are ordered by a hash and cut into blocks of a fixed number of rows. Target weights become whole parts k of about PARTS in all. In the ideal, fluid
+mix all sources run together, each at k blocks a round, until it has no more; those that are left then share the slots anew. So by round u source s has had
+min(k u, its blocks) blocks, and slots count t(u), the sum of these over all sources. Its j-th block (from 1) is released at slot floor(t((j - 1) / k)) and due by
+slot ceil(t(j / k)); in each slot earliest-deadline-first takes among the released blocks the one that is due first. The fluid mix itself gives each block one slot's worth between its
+release and deadline, so earliest-deadline-first meets all deadlines, and at any slot each source has had its ideal to within less than one block: to the end, also when sources run out,
+as nothing is forgotten when they do. No row is dropped, capped or repeated.
+
+At whole rounds the ideal is a whole number of blocks of each source, so every source is even there and rounds can be scheduled each for itself: a block's round is floor((j - 1) / k), and the
+rounds are dealt to tasks, each of which reads its blocks round by round (a round has PARTS blocks and one a source at most). Nothing of the schedule is made on the driver: blocks, their
+slots and the rows before them are tables, and sums over rounds are taken in two steps.
 
 Ranks come without a global sort or a task for a whole source: each source is cut by the hash into cells of about CELL rows; the small table of
-cells (one row for CELL rows) is summed up by source in two steps, and rows are ranked within their cell. The schedule has one slot for each block,
-and blocks grow with the corpus, so their number is at most max_blocks and one for each source; it is made on the driver and goes back as a table.
+cells (one row for CELL rows) is summed up by source in two steps, and rows are ranked within their cell.
 
 Cases: a null source is a source of its own; a null id is ranked by its hash like any other. Ties and repeated rows are ranked one after the other. A
-source with no target weight gets the smallest weight that was given; weights of absent sources are ignored. Extra columns are passed through by `mix`; names starting with
+source with no target weight gets the smallest weight that was given, and one whose weight is below one part gets one part; weights of absent sources are ignored. Extra columns are passed through by `mix`; names starting with
 "_mix_" are taken. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import heapq
+from bisect import bisect_left
 from fractions import Fraction
+from itertools import groupby
 
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import released, spread_join
+
 CELL = 2048
-MAX_BLOCKS = 20_000
+BLOCK = 16
+#: Parts that all weights together come to, about: the resolution of target weights.
+PARTS = 1024
+#: Blocks of a source that one row stands for until they are dealt to tasks; tasks over which a source's rows are spread in joins.
+STRETCH, SALTS = 4096, 16
+
+
+def windows(blocks: dict, parts: dict) -> list[tuple[int, int, object, int]]:
+    """(release, deadline, source, i) of a round's blocks: blocks[s] <= parts[s] of source s, the i-th (from 1) of which the fluid mix runs from i - 1 to i parts[s]-ths of the round."""
+    # Sources with fewer blocks than parts run out within the round.
+    short = sorted((Fraction(n, parts[s]), n, parts[s]) for s, n in blocks.items() if n < parts[s])
+    ends, had, rate = [e for e, _, _ in short], [0], [sum(parts[s] for s in blocks)]
+    for _, n, k in short:
+        had.append(had[-1] + n)
+        rate.append(rate[-1] - k)
+
+    def slots(i: int, k: int) -> tuple[int, int]:
+        """t at i / k of the round, rounded down and up."""
+        gone = bisect_left(ends, Fraction(i, k)) if ends else 0
+        return had[gone] + rate[gone] * i // k, had[gone] - (-rate[gone] * i // k)
+
+    return [(slots(i - 1, parts[s])[0], slots(i, parts[s])[1], s, i) for s, n in blocks.items() for i in range(1, n + 1)]
 
 
-def pfair(blocks: dict, weights: dict) -> list:
-    """blocks: source -> number; weights: source -> positive weight. The source of each slot, in order."""
-    left = {s: n for s, n in blocks.items() if n > 0}
+def earliest_deadline_first(jobs: list[tuple]) -> list[tuple]:
+    """Jobs (release, deadline, ..) in the order in which they run, one a slot. Equal deadlines go by what follows."""
+    out, ready, at = [], [], 0
+    jobs = sorted(jobs)
+    for slot in range(len(jobs)):
+        while at < len(jobs) and jobs[at][0] <= slot:
+            heapq.heappush(ready, (jobs[at][1:], jobs[at]))
+            at += 1
+        out.append(heapq.heappop(ready)[1])
+    return out
+
+
+def pfair(blocks: dict, parts: dict) -> list:
+    """The source of each slot, for blocks[s] blocks of source s at parts[s] a round: all rounds one after the other, as `mix` deals them to tasks."""
     out: list = []
-    order = {s: i for i, s in enumerate(sorted(left, key=lambda s: (s is None, s)))}
-    while left:
-        total = sum(Fraction(weights[s]) for s in left)
-        share = {s: Fraction(weights[s]) / total for s in left}
-        start, ended = len(out), False
-        waiting = [(0, order[s], 1, s) for s in left]  # (release, .., j, source)
-        heapq.heapify(waiting)
-        ready: list = []
-        while not ended:
-            now = len(out) - start
-            while waiting and waiting[0][0] <= now:
-                _, o, j, s = heapq.heappop(waiting)
-                heapq.heappush(ready, (-(-j * share[s].denominator // share[s].numerator), o, j, s))
-            _, o, j, s = heapq.heappop(ready)
-            out.append(s)
-            left[s] -= 1
-            if left[s]:
-                heapq.heappush(waiting, (j * share[s].denominator // share[s].numerator, o, j + 1, s))
-            else:
-                del left[s]
-                ended = True
+    names = {i: s for i, s in enumerate(blocks)}
+    for u in range(max((-(-n // parts[s]) for s, n in blocks.items()), default=0)):
+        has = {i: min(parts[s], blocks[s] - parts[s] * u) for i, s in names.items() if blocks[s] > parts[s] * u}
+        out += [names[j[2]] for j in earliest_deadline_first(windows(has, {i: parts[names[i]] for i in has}))]
     return out
 
 
-def tempered(counts: dict, power: float = 0.5) -> dict:
-    """Weights by a power of the sources' sizes, between their own shares (1) and equal shares (0)."""
-    return {s: Fraction(n**power).limit_denominator(1000) for s, n in counts.items()}
+def scheduled(batches):
+    """key, round, block, parts, rows of blocks by round, key and block -> key, block, round, index in the round, rows before it there."""
+    rows = (r for b in batches for r in zip(*(c.to_pylist() for c in b.columns)))
+    for u, group in groupby(rows, key=lambda r: r[1]):
+        has, of = {}, {}
+        parts = {}
+        for key, _, block, k, n in group:
+            has[key], parts[key] = has.get(key, 0) + 1, k
+            of[(key, has[key])] = (block, n)
+        out, before = [], 0
+        for i, (_, _, key, j) in enumerate(earliest_deadline_first(windows(has, parts))):
+            block, n = of[(key, j)]
+            out.append((key, block, u, i, before))
+            before += n
+        for s in range(0, len(out), 10_000):
+            cols = list(zip(*out[s : s + 10_000]))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), *[pa.int64()] * 4))], names=["_mix_key", "block", "_mix_round", "_mix_i", "_mix_before"])
+
+
+def _before(value: str, by: list[str], order: str) -> Column:
+    """The sum of value over the rows before."""
+    return F.coalesce(F.sum(value).over(Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
 
 
-def ranked(df: DataFrame, source: str, id: str) -> tuple[DataFrame, dict]:
-    """df with _mix_rank, the row's place in its source from 0 (by a hash of the id), and the sources' sizes."""
-    counts = {r[0]: r[1] for r in df.groupBy(F.col(source)).count().collect()}  # one row a source
-    spark = df.sparkSession
-    sizes = spark.createDataFrame([(s, max(1, -(-n // CELL))) for s, n in counts.items()], f"_mix_source {dict(df.dtypes)[source]}, _mix_cells long")
+def running(rows: DataFrame, by: list[str], order: str, values: dict[str, str]) -> DataFrame:
+    """rows (one for each by and order) with, for each value, its sum over the rows before under the name it maps to: first over groups of CELL numbers, then within them."""
+    rows = rows.withColumn("_mix_group", F.floor(F.col(order) / CELL))
+    groups = rows.groupBy(*by, "_mix_group").agg(*(F.sum(v).alias(f"_mix_sum_{v}") for v in values))
+    groups = groups.select(*by, "_mix_group", *(_before(f"_mix_sum_{v}", by, "_mix_group").alias(f"_mix_base_{v}") for v in values))
+    out = rows.join(groups, [*by, "_mix_group"])
+    sums = {new: F.col(f"_mix_base_{v}") + _before(v, [*by, "_mix_group"], order) for v, new in values.items()}
+    return out.select("*", *(c.alias(n) for n, c in sums.items())).drop("_mix_group", *(f"_mix_base_{v}" for v in values))
+
+
+def _named(source: str) -> Column:
+    """A source as a string that is never null."""
+    return F.coalesce(F.concat(F.lit("="), F.col(source).cast("string")), F.lit(""))
+
+
+def sources(df: DataFrame, weights: dict | None, power: float, source: str, block: int, parts: int) -> DataFrame:
+    """_mix_key, _mix_n (rows), _mix_k (parts), _mix_blocks of each source. Without weights, a source weighs its size to the given power: 1 keeps shares, 0 makes them equal."""
+    rows = df.groupBy(_named(source).alias("_mix_key")).agg(F.count("*").alias("_mix_n"))
+    if weights:
+        given = df.sparkSession.createDataFrame([(s, float(w)) for s, w in weights.items() if w and w > 0], f"{source} {dict(df.dtypes)[source]}, _mix_w double")
+        least = given.agg(F.min("_mix_w").alias("_mix_least"))
+        rows = rows.join(given.select(_named(source).alias("_mix_key"), "_mix_w"), "_mix_key", "left").join(F.broadcast(least)).withColumn("_mix_w", F.coalesce("_mix_w", "_mix_least", F.lit(1.0))).drop("_mix_least")
+    else:
+        rows = rows.withColumn("_mix_w", F.pow("_mix_n", F.lit(power)))
+    # Shares of whole millionths of the largest weight, so that their sum doesn't depend on the order in which it is taken.
+    most = rows.agg(F.max("_mix_w").alias("_mix_most"))
+    rows = rows.join(F.broadcast(most)).withColumn("_mix_w", F.greatest(F.lit(1), F.round(F.col("_mix_w") / F.col("_mix_most") * 1e6)).cast("decimal(38,0)"))
+    total = rows.agg(F.sum("_mix_w").alias("_mix_total"))
+    k = F.greatest(F.lit(1), F.round(F.col("_mix_w").cast("double") * parts / F.col("_mix_total").cast("double"))).cast("long")
+    return rows.join(F.broadcast(total)).select("_mix_key", "_mix_n", k.alias("_mix_k"), F.ceil(F.col("_mix_n") / block).alias("_mix_blocks"))
+
+
+def ranked(df: DataFrame, known: DataFrame, source: str, id: str) -> DataFrame:
+    """df with _mix_key and _mix_rank, the row's place in its source from 0 (by a hash of the id)."""
+    cells = F.greatest(F.lit(1), F.ceil(F.col("_mix_n") / CELL)).alias("_mix_cells")
     uniform = F.shiftrightunsigned(F.xxhash64(F.col(id), F.lit(11)), 32)  # 32 bits
-    with_cell = df.join(sizes.hint("broadcast") if len(counts) <= 100_000 else sizes, df[source].eqNullSafe(F.col("_mix_source"))).withColumn("_mix_u", uniform)
-    with_cell = with_cell.withColumn("_mix_cell", F.shiftright(F.col("_mix_u") * F.col("_mix_cells"), 32)).drop("_mix_cells")
-    cells = with_cell.groupBy("_mix_source", "_mix_cell").agg(F.count("*").alias("_mix_n")).withColumn("_mix_group", F.floor(F.col("_mix_cell") / CELL))
-    groups = cells.groupBy("_mix_source", "_mix_group").agg(F.sum("_mix_n").alias("_mix_sum"))
-    before = lambda of, by, order: F.coalesce(F.sum(of).over(Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    groups = groups.select("_mix_source", "_mix_group", before("_mix_sum", ["_mix_source"], "_mix_group").alias("_mix_base"))
-    same = lambda a, b, *cols: [a["_mix_source"].eqNullSafe(b["_mix_source"]), *(a[c] == b[c] for c in cols)]
-    offsets = cells.join(groups, same(cells, groups, "_mix_group")).select(
-        cells["_mix_source"].alias("_mix_s"), cells["_mix_cell"].alias("_mix_c"), (F.col("_mix_base") + before("_mix_n", [cells["_mix_source"], cells["_mix_group"]], "_mix_cell")).alias("_mix_offset")
-    )
-    within = F.row_number().over(Window.partitionBy("_mix_source", "_mix_cell").orderBy("_mix_u", id)) - 1
-    rows = with_cell.withColumn("_mix_within", within)
-    rows = rows.join(offsets, (rows["_mix_source"].eqNullSafe(offsets["_mix_s"])) & (rows["_mix_cell"] == offsets["_mix_c"]))
-    return rows.withColumn("_mix_rank", F.col("_mix_offset") + F.col("_mix_within")).drop("_mix_u", "_mix_cell", "_mix_within", "_mix_s", "_mix_c", "_mix_offset"), counts
-
-
-def mix(df: DataFrame, weights: dict | None = None, source: str = "source", id: str = "doc_id", block: int = 16, max_blocks: int = MAX_BLOCKS) -> DataFrame:
-    """df with block (in its source, from 0), slot (of the block, from 0) and position (of the row in the mix, from 0, gapless). block grows so that there are at most max_blocks."""
+    rows = df.withColumn("_mix_key", _named(source)).withColumn("_mix_u", uniform)
+    rows = spread_join(rows, known.select("_mix_key", cells), "_mix_key", "_mix_u", SALTS)
+    rows = rows.withColumn("_mix_cell", F.shiftright(F.col("_mix_u") * F.col("_mix_cells"), 32)).drop("_mix_cells")
+    offsets = running(rows.groupBy("_mix_key", "_mix_cell").agg(F.count("*").alias("_mix_n")), ["_mix_key"], "_mix_cell", {"_mix_n": "_mix_offset"}).drop("_mix_n")
+    within = F.row_number().over(Window.partitionBy("_mix_key", "_mix_cell").orderBy("_mix_u", id)) - 1
+    rows = rows.withColumn("_mix_within", within).join(offsets, ["_mix_key", "_mix_cell"])
+    return rows.withColumn("_mix_rank", F.col("_mix_offset") + F.col("_mix_within")).drop("_mix_u", "_mix_cell", "_mix_within", "_mix_offset")
+
+
+def schedule(known: DataFrame, block: int) -> DataFrame:
+    """_mix_key, block, slot, _mix_at (rows of the mix before it) of every block."""
+    tasks = int(known.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    stretches = known.withColumn("_mix_s", F.explode(F.sequence(F.lit(0), F.floor((F.col("_mix_blocks") - 1) / STRETCH)))).repartition(tasks, "_mix_key", "_mix_s")
+    end = F.least(F.col("_mix_blocks"), (F.col("_mix_s") + 1) * STRETCH) - 1
+    blocks = stretches.withColumn("block", F.explode(F.sequence(F.col("_mix_s") * STRETCH, end)))
+    rows = F.least(F.lit(block), F.col("_mix_n") - F.col("block") * block).cast("long")
+    blocks = blocks.select("_mix_key", F.floor(F.col("block") / F.col("_mix_k")).alias("_mix_round"), "block", "_mix_k", rows.alias("_mix_rows"))
+    by_round = blocks.repartition(tasks, "_mix_round").sortWithinPartitions("_mix_round", "_mix_key", "block")
+    slots = by_round.mapInArrow(released(scheduled), "_mix_key string, block long, _mix_round long, _mix_i long, _mix_before long")
+    sizes = blocks.groupBy("_mix_round").agg(F.count("*").alias("_mix_slots"), F.sum("_mix_rows").alias("_mix_rows"))
+    starts = running(sizes, [], "_mix_round", {"_mix_slots": "_mix_slot", "_mix_rows": "_mix_row"}).select("_mix_round", "_mix_slot", "_mix_row")
+    return slots.join(starts, "_mix_round").select("_mix_key", "block", (F.col("_mix_slot") + F.col("_mix_i")).alias("slot"), (F.col("_mix_row") + F.col("_mix_before")).alias("_mix_at"))
+
+
+def mix(df: DataFrame, weights: dict | None = None, source: str = "source", id: str = "doc_id", block: int = BLOCK, power: float = 0.5, parts: int = PARTS) -> DataFrame:
+    """df with block (in its source, from 0), slot (of the block, from 0) and position (of the row in the mix, from 0, gapless)."""
     df = df.drop(*({"block", "slot", "position"} - {source, id}))
-    rows, counts = ranked(df, source, id)
-    weights = dict(weights or tempered(counts))
-    least = min((Fraction(x) for x in weights.values() if x), default=Fraction(1))
-    weights = {s: Fraction(weights.get(s) or least) for s in counts}
-    size = max(block, -(-sum(counts.values()) // max_blocks))
-    order = pfair({s: -(-n // size) for s, n in counts.items()}, weights)
-    done: dict = dict.fromkeys(counts, 0)
-    plan, at = [], 0
-    for slot, s in enumerate(order):
-        plan.append((s, done[s], slot, at))
-        at += min(size, counts[s] - done[s] * size)
-        done[s] += 1
-    slots = df.sparkSession.createDataFrame(plan, f"_mix_s {dict(df.dtypes)[source]}, _mix_b long, slot long, _mix_at long")
-    rows = rows.withColumn("block", F.floor(F.col("_mix_rank") / size))
-    rows = rows.join(F.broadcast(slots) if len(plan) <= 2 * MAX_BLOCKS else slots, rows["_mix_source"].eqNullSafe(slots["_mix_s"]) & (rows["block"] == slots["_mix_b"]))
-    return rows.select(*df.columns, "block", "slot", (F.col("_mix_at") + F.col("_mix_rank") % size).alias("position"))
+    known = sources(df, weights, power, source, block, parts)
+    rows = ranked(df, known, source, id).withColumn("_mix_block", F.floor(F.col("_mix_rank") / block))
+    slots = schedule(known, block).withColumnRenamed("block", "_mix_block")
+    out = rows.join(slots, ["_mix_key", "_mix_block"])
+    return out.select(*df.columns, F.col("_mix_block").alias("block"), "slot", (F.col("_mix_at") + F.col("_mix_rank") % block).alias("position"))

@@ -61,6 +61,8 @@ KEY = 5
 BROADCAST_IDS = 2_000_000
 #: Tasks over which the rows of one key are spread in joins with a table that has few rows a key.
 SALTS = 16
+#: The same where both sides can have many rows.
+SPREAD = 6
 
 RESULT = "kind string, a long, b long, sig long, cls int, slack int, n long, digest binary"
 _ASCII_LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -537,8 +539,12 @@ def across(rows: DataFrame, most: int | None) -> tuple[DataFrame, DataFrame]:
     top = by.groupBy("key").agg(F.count("*").alias("k"), F.sum("n").alias("n"), F.max(F.struct("n", "component")).alias("top")).where("k > 1")
     top = top.withColumn("outside", F.col("n") - F.col("top.n"))
     good, hot = (top, top.limit(0)) if most is None else (top.where(F.col("outside") <= most), top.where(F.col("outside") > most))
-    few = rows.join(good.select("key", F.col("top.component").alias("largest")), "key").where("component <> largest").select("key", F.col("doc").alias("p"), F.col("component").alias("c"), F.col("n").alias("pn"), F.col("rest").alias("prest"))
-    pairs = few.join(rows, "key").where("component <> c and 4 * least(n, pn) >= 3 * greatest(n, pn) and 7 * least(rest, prest) >= 3 * (n + pn)").select(F.least("p", "doc").alias("a"), F.greatest("p", "doc").alias("b")).distinct()
+    # The rows of a frequent key are spread over several tasks, its few ones go to each of them.
+    spread = rows.withColumn("_salt", F.pmod(F.xxhash64("doc", F.lit(5)), F.lit(SPREAD)).cast("int"))
+    each = lambda x: x.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))
+    few = spread.join(each(good.select("key", F.col("top.component").alias("largest"))), ["key", "_salt"]).where("component <> largest")
+    few = each(few.select("key", F.col("doc").alias("p"), F.col("component").alias("c"), F.col("n").alias("pn"), F.col("rest").alias("prest")))
+    pairs = few.join(spread, ["key", "_salt"]).where("component <> c and 4 * least(n, pn) >= 3 * greatest(n, pn) and 7 * least(rest, prest) >= 3 * (n + pn)").select(F.least("p", "doc").alias("a"), F.greatest("p", "doc").alias("b")).distinct()
     return pairs, hot.select("key")
 
 

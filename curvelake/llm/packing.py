@@ -11,7 +11,7 @@ Where documents have a position in an order that is to be kept (that of a mix),
 takes its place from the piece that opened it, its longest: sequence ids rise with that piece's position, then its start. So sequences follow the order, and
 what a sequence holds besides is of the same shard; shards then have ORDERED documents, which is as far as a document can be from its place.
 
-Cases: a null text counts as empty; an empty text is the closing id alone, one piece of one token. Repeated rows are packed as often as they occur.
+Cases: a null text counts as empty; an empty text is the closing id alone, one piece of one token. Documents with a null id are packed like others. Repeated rows are packed as often as they occur.
 Very long texts give many full windows. Extra columns are not read; an empty table gives an empty result.
 """
 
@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_or_empty
+from .common import cut, released, text_or_empty
 
 WINDOW = 2048
 CLOSING_ID = 1
@@ -33,8 +33,8 @@ CLOSING_ID = 1
 SHARD = 8192
 #: Documents in a shard that keeps an order, about; and for how many windows of a document sequence ids have room.
 ORDERED, STARTS = 1024, 1 << 21
-#: Chunks whose ids a worker keeps.
-KEPT = 800_000
+#: Chunks whose ids a worker keeps, of at most so many characters each: about 64 MB.
+KEPT, LONGEST = 250_000, 48
 
 
 class WordIds:
@@ -81,7 +81,10 @@ class WordIds:
             self.exact = False
         self.id_bytes = [int(max(i, 0)).to_bytes(4, "little") for i in self.ids]
         self.pattern = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
-        self.bpe = tiktoken.Encoding("words", pat_str=r".", mergeable_ranks=ranks, special_tokens={})._core_bpe if self.exact else None
+        # The library's own entry point for one pre-token; without it the tokenizer does all.
+        bpe = getattr(tiktoken.Encoding("words", pat_str=r".", mergeable_ranks=ranks, special_tokens={}), "_core_bpe", None) if self.exact else None
+        self.piece = getattr(bpe, "encode_single_piece", None)
+        self.exact = self.piece is not None
         self.kept: dict[str, bytes] = {}
 
     def _by_tokenizer(self, text: str) -> bytes:
@@ -97,7 +100,7 @@ class WordIds:
             parts = (chunk[:-1], chunk[-1])
         else:
             parts = self.pattern.findall(chunk)
-        piece, ids = self.bpe.encode_single_piece, self.id_bytes
+        piece, ids = self.piece, self.id_bytes
         return b"".join([ids[r] for p in parts for r in piece(p.encode() + self.END)])
 
     def __call__(self, text: str) -> bytes:
@@ -113,12 +116,13 @@ class WordIds:
             return b"".join(map(kept.__getitem__, chunks))
         except KeyError:
             pass
-        if len(kept) > KEPT:
+        if len(kept) >= KEPT:
             kept.clear()
+        rest: dict[str, bytes] = {}
         for c in chunks:
-            if c not in kept:
-                kept[c] = self._chunk(c) if c else b""
-        return b"".join(map(kept.__getitem__, chunks))
+            if c not in kept and c not in rest:
+                (kept if len(c) <= LONGEST and len(kept) < KEPT else rest)[c] = self._chunk(c) if c else b""
+        return b"".join([kept[c] if c in kept else rest[c] for c in chunks])
 
 
 @functools.cache
@@ -133,22 +137,21 @@ def pieces(df: DataFrame, path: str, id: str = "doc_id", text: str = "text", win
 
     def run(batches):
         ids = word_ids(path)
-        for b in batches:
-            for s in range(0, len(b), 256):
-                part, rows = b.slice(s, 256), []
-                for doc, x, *at in zip(*(c.to_pylist() for c in part.columns)):
-                    got = ids(x) + close
-                    n = len(got) // 4
-                    rows += [(doc, i, min(window, n - i), n, got[4 * i : 4 * (i + window)], *at) for i in range(0, n, window)]
-                cols = list(zip(*rows)) if rows else [[]] * len(names)
-                kinds = (part.schema.types[0], pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=names)
+        for part in cut(batches, 128):
+            rows = []
+            for doc, x, *at in zip(*(c.to_pylist() for c in part.columns)):
+                got = ids(x) + close
+                n = len(got) // 4
+                rows += [(doc, i, min(window, n - i), n, got[4 * i : 4 * (i + window)], *at) for i in range(0, n, window)]
+            cols = list(zip(*rows)) if rows else [[]] * len(names)
+            kinds = (part.schema.types[0], pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=names)
 
     kind = dict(df.dtypes)[id]
     names = ["doc_id", "start", "length", "doc_tokens", "ids", *(["position"] if position else [])]
     order = [F.col(position).cast("long").alias("position")] if position else []
     rows = df.select(F.col(id).alias("doc_id"), text_or_empty(text).alias("_text"), *order)
-    return rows.mapInArrow(run, f"doc_id {kind}, start long, length long, doc_tokens long, ids binary" + ", position long" * bool(position))
+    return rows.mapInArrow(released(run), f"doc_id {kind}, start long, length long, doc_tokens long, ids binary" + ", position long" * bool(position))
 
 
 class Windows:
@@ -202,7 +205,7 @@ def best_fit(window: int, ordered: bool = False):
 
     def run(batches):
         shard, state = None, None
-        for b in batches:
+        for b in cut(batches):
             seq, off = np.empty(len(b), np.int64), np.empty(len(b), np.int64)
             names = [p * STARTS + k // window for p, k in zip(b.column(6).to_pylist(), b.column(2).to_pylist())] if ordered else [None] * len(b)
             for i, (s, n, name) in enumerate(zip(b.column(0).to_pylist(), b.column(3).to_pylist(), names)):
@@ -225,11 +228,13 @@ def pack(df: DataFrame, path: str, id: str = "doc_id", text: str = "text", windo
     if position:
         shard = F.least(F.floor(F.col("position") / F.lit(((last or 0) + 1) / shards)), F.lit(shards - 1)).cast("int")
     else:
-        shard = F.pmod(F.xxhash64("doc_id", "start"), F.lit(shards)).cast("int")
+        # Rows without an id are dealt by their place in the input.
+        name = F.when(F.col("doc_id").isNull(), F.xxhash64(F.monotonically_increasing_id())).otherwise(F.xxhash64("doc_id", "start"))
+        shard = F.pmod(name, F.lit(shards)).cast("int")
     ties = ("position", "start") if position else ("doc_id", "start")
     dealt = got.select(shard.alias("shard"), *got.columns).repartitionById(shards, "shard").sortWithinPartitions("shard", F.desc("length"), *ties)
     kind = dict(df.dtypes)[id]
-    return dealt.mapInArrow(best_fit(window, bool(position)), f"doc_id {kind}, start long, length long, doc_tokens long, ids binary, sequence_id long, offset long")
+    return dealt.mapInArrow(released(best_fit(window, bool(position))), f"doc_id {kind}, start long, length long, doc_tokens long, ids binary, sequence_id long, offset long")
 
 
 def sequences(packed: DataFrame, window: int = WINDOW, pad_id: int = 0) -> DataFrame:

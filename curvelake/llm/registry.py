@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import exact_dedup, media_columns, mixing, near_dup_join, packing, secret_scan, text_models, token_counts, url_filter
-from .common import shared_dir, table
+from .common import Tables, remove, shared_dir, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -57,10 +57,12 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str, limit: int = 4096) -> DataFrame:
-    # A cache of its own for each call: what a call costs is the cost of a corpus not seen before.
+    # A cache of its own for each call, which goes with it: what a call costs is the cost of a corpus not seen before.
     cache = f"{shared_dir(spark)}/token-counts-{uuid.uuid4().hex}"
     got = token_counts.count(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"), cache)
-    return got.withColumn("over_limit", F.col("n_tokens") > limit)
+    out = Tables(spark).last(got.withColumn("over_limit", F.col("n_tokens") > limit), "counted")
+    remove(spark, cache)
+    return out
 
 
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

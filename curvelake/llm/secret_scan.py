@@ -9,7 +9,8 @@ Both training sets are made by rule (digests of counters; words joined in the wa
 and the table of ratios is fitted on the driver: its size is fixed. Everything on the executors is SQL functions.
 
 Positions come from splitting the text at the pattern: the parts between the matches and the matches alternate, so their lengths add up to
-code-point offsets. Split and extract use the same matcher, leftmost and non-overlapping.
+code-point offsets. Split and extract use the same matcher, leftmost and non-overlapping. The work grows with the text's length, and with the logarithm of the number of its matches:
+characters are split once and looked up by index, offsets are summed in chunks, and what touches a base span is found by halving.
 
 Cases: a null text counts as empty; an empty text has no spans, an empty string of spans and the digest of the empty string. Texts of any
 length are scanned whole. Repeated rows give repeated results; extra columns are not read; an empty table gives an empty result.
@@ -17,17 +18,20 @@ length are scanned whole. Repeated rows give repeated results; extra columns are
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_or_empty
+from .common import let, numbers, text_or_empty
 
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
 MIN_CANDIDATE = 16
 THRESHOLD = 0.6
+#: Matches that a fold gathers at once.
+CHUNK = 64
 
 #: kind -> (pattern, group that is measured, characters it needs)
 BASE = {
@@ -76,31 +80,31 @@ def log_ratios(random: list[str], plain: list[str], smooth: float = 0.5) -> list
     return [round(a - b, 4) for a, b in zip(chain(random), chain(plain))]
 
 
+def _gains(s: Column, ratios: list[float]) -> Column:
+    """The log-likelihood ratio of each transition of a string over ALPHABET."""
+    table, k = numbers(ratios), len(ALPHABET)
+    codes = F.transform(F.split(s, ""), lambda c: F.instr(F.lit(ALPHABET), c) - 1)
+    return let(codes, lambda c: F.transform(F.sequence(F.lit(1), F.size(c) - 1), lambda i: F.element_at(table, F.element_at(c, i) * k + F.element_at(c, i + 1) + 1)))
+
+
 def llr(s: Column, ratios: list[float]) -> Column:
-    """Mean log-likelihood ratio per transition of a string over ALPHABET."""
-    table, k = F.lit(ratios), len(ALPHABET)
-    at = lambda i: F.instr(F.lit(ALPHABET), F.substring(s, i, F.lit(1))) - 1
-    steps = F.sequence(F.lit(1), F.greatest(F.length(s) - 1, F.lit(1)))
-    total = F.aggregate(steps, F.lit(0.0), lambda a, i: a + F.element_at(table, at(i) * k + at(i + 1) + 1))
-    return total / F.greatest(F.length(s) - 1, F.lit(1))
+    """Mean log-likelihood ratio per transition of a string over ALPHABET, of two characters or more."""
+    return F.aggregate(_gains(s, ratios), F.lit(0.0), lambda a, x: a + x) / (F.length(s) - 1)
 
 
 def best_window(s: Column, ratios: list[float], threshold: float) -> Column:
     """struct<from, to>, in characters from 0, of the stretch of a string whose transitions' ratios, less the threshold each, have the largest sum; the first such, empty where all are negative."""
-    table, k = F.lit(ratios), len(ALPHABET)
-    at = lambda i: F.instr(F.lit(ALPHABET), F.substring(s, i, F.lit(1))) - 1
-    zero = F.struct(F.lit(0.0).alias("run"), F.lit(0).alias("begin"), F.lit(0.0).alias("best"), F.lit(0).alias("from"), F.lit(0).alias("to"))
-
-    def step(a: Column, i: Column) -> Column:
-        gain = F.element_at(table, at(i) * k + at(i + 1) + 1) - threshold
-        run = F.greatest(a["run"], F.lit(0.0)) + gain
-        begin = F.when(a["run"] > 0, a["begin"]).otherwise(i - 1)
+    zero = F.struct(F.lit(0).alias("i"), F.lit(0.0).alias("run"), F.lit(0).alias("begin"), F.lit(0.0).alias("best"), F.lit(0).alias("from"), F.lit(0).alias("to"))
+
+    def step(a: Column, gain: Column) -> Column:
+        run = F.greatest(a["run"], F.lit(0.0)) + gain - threshold
+        begin = F.when(a["run"] > 0, a["begin"]).otherwise(a["i"])
         return F.struct(
-            run.alias("run"), begin.alias("begin"), F.greatest(a["best"], run).alias("best"),
-            F.when(run > a["best"], begin).otherwise(a["from"]).alias("from"), F.when(run > a["best"], i + 1).otherwise(a["to"]).alias("to"),
+            (a["i"] + 1).alias("i"), run.alias("run"), begin.alias("begin"), F.greatest(a["best"], run).alias("best"),
+            F.when(run > a["best"], begin).otherwise(a["from"]).alias("from"), F.when(run > a["best"], a["i"] + 2).otherwise(a["to"]).alias("to"),
         )
 
-    return F.aggregate(F.sequence(F.lit(1), F.length(s) - 1), zero, step, lambda a: F.struct(a["from"], a["to"]))
+    return F.aggregate(_gains(s, ratios), zero, step, lambda a: F.struct(a["from"], a["to"]))
 
 
 def random_in(m: Column, ratios: list[float], threshold: float) -> Column:
@@ -126,8 +130,35 @@ def matches(text: Column, pattern: str, group: int = 0) -> Column:
         end = start + F.length(x["found"])
         return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(start.alias("start"), end.alias("end"), x["value"].alias("value")))).alias("out"))
 
+    def part(z: Column, c: Column) -> Column:
+        """The c-th CHUNK matches, with positions from the end of the match before them."""
+        these = F.transform(F.sequence(c * CHUNK + 1, F.least((c + 1) * CHUNK, F.size(z))), lambda i: F.element_at(z, i))
+        return F.aggregate(these, F.struct(F.lit(0).alias("at"), none.alias("out")), step)
+
+    # A fold copies what it has gathered at each step, so it gathers few at a time, and then the chunks.
+    def gather(acc: Column, p: Column) -> Column:
+        return F.struct((acc["at"] + p["at"]).alias("at"), F.concat(acc["out"], F.array(F.struct(acc["at"].alias("at"), p["out"].alias("out")))).alias("out"))
+
+    empty = F.array().cast("array<struct<at:int,out:array<struct<start:int,end:int,value:string>>>>")
+    shift = lambda p: F.transform(p["out"], lambda m: F.struct((p["at"] + m["start"]).alias("start"), (p["at"] + m["end"]).alias("end"), m["value"].alias("value")))
     zipped = F.arrays_zip(F.slice(parts, 1, F.size(found)).alias("part"), found.alias("found"), values.alias("value"))
-    return F.aggregate(zipped, F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda acc: acc["out"])
+    chunks = lambda z: F.transform(F.sequence(F.lit(0), F.floor((F.size(z) - 1) / CHUNK).cast("int")), lambda c: part(z, c))
+    all_ = lambda z: F.flatten(F.transform(F.aggregate(chunks(z), F.struct(F.lit(0).alias("at"), empty.alias("out")), gather, lambda acc: acc["out"]), shift))
+    return let(zipped, lambda z: F.when(F.size(z) > 0, all_(z)).otherwise(none))
+
+
+def touches(spans: Column, m: Column) -> Column:
+    """Whether one of spans (by start, none over another) has a character of m, by halving: the first that ends behind m's start is the one to look at."""
+    zero = F.struct(F.lit(1).alias("lo"), (F.size(spans) + 1).alias("hi"))
+
+    def halve(a: Column, _: Column) -> Column:
+        mid = F.shiftright(a["lo"] + a["hi"], 1)
+        below = F.when(a["lo"] < a["hi"], F.element_at(spans, F.least(mid, F.size(spans)))["end"] <= m["start"])
+        return F.struct(F.when(below, mid + 1).otherwise(a["lo"]).alias("lo"), F.when(~below, mid).otherwise(a["hi"]).alias("hi"))
+
+    steps = F.sequence(F.lit(0), F.ceil(F.log2(F.size(spans) + 1)).cast("int"))
+    first = F.aggregate(steps, zero, halve, lambda a: a["lo"])
+    return F.when(F.size(spans) == 0, False).otherwise(let(first, lambda i: F.when(i <= F.size(spans), F.element_at(spans, F.least(i, F.size(spans)))["start"] < m["end"]).otherwise(False)))
 
 
 def _long_enough(found: Column, least: int) -> Column:
@@ -148,7 +179,8 @@ def scan(df: DataFrame, id: str = "doc_id", text: str = "text", threshold: float
     out = out.withColumn("_base", F.array_sort(F.concat(*(F.col(f"_{k}") for k in BASE))))
     t = F.col("_text")
     cand = F.when(t.rlike(CANDIDATE), matches(t, CANDIDATE)).otherwise(none)
-    free = F.filter(cand, lambda m: ~F.exists(F.col("_base"), lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"])))
+    taken = lambda m: functools.reduce(lambda a, b: a | b, (touches(F.col(f"_{k}"), m) for k in BASE))
+    free = F.filter(cand, lambda m: ~taken(m))
     out = out.withColumn("_free", free).withColumn("_markov", as_spans(F.flatten(F.transform(F.col("_free"), lambda m: random_in(m, ratios, threshold))), "markov"))
     name = F.lit(KINDS)
     named = lambda spans: F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.element_at(name, s["kind"] + 1).alias("kind")))

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LETTERS, PUNCTUATED, Words, mix, slices, text_or_empty
+from .common import LETTERS, PUNCTUATED, Words, cut, mix, released, slices, text_or_empty
 
 PREFIXES = (3, 4, 5, 6)
 
@@ -128,7 +128,7 @@ def sample(docs: DataFrame, labels: DataFrame, columns: list[str], where: Column
     n = len(columns)
 
     def run(batches):
-        for b in batches:
+        for b in cut(batches):
             texts = _bytes(b.column(1))
             for s, e in slices(texts):
                 f = features(texts[s:e], bits).parts()
@@ -138,7 +138,7 @@ def sample(docs: DataFrame, labels: DataFrame, columns: list[str], where: Column
                 yield pa.RecordBatch.from_arrays([part.column(0), *(part.column(2 + i) for i in range(n)), pa.array(at, pa.binary()), pa.array(value, pa.binary())], names=["id", *(f"y{i}" for i in range(n)), "at", "value"])
 
     kinds = dict(found.dtypes)
-    got = found.select(id, "_text", *(f"_y{i}" for i in range(n))).mapInArrow(run, ", ".join([f"id {kinds[id]}", *(f"y{i} {kinds[f'_y{i}']}" for i in range(n)), "at binary, value binary"]))
+    got = found.select(id, "_text", *(f"_y{i}" for i in range(n))).mapInArrow(released(run), ", ".join([f"id {kinds[id]}", *(f"y{i} {kinds[f'_y{i}']}" for i in range(n)), "at binary, value binary"]))
     rows = sorted(got.collect(), key=lambda r: (r["id"], bytes(r["at"])))
     # Views of the bytes that came: the sample is held once.
     feats = [(np.frombuffer(r["at"], "<i4"), np.frombuffer(r["value"], "<f4")) for r in rows]
@@ -168,13 +168,13 @@ def score_quality(docs: DataFrame, weights: np.ndarray, id: str = "doc_id", text
 
     def run(batches):
         w = shared.value
-        for b in batches:
+        for b in cut(batches):
             texts, out = _bytes(b.column(1)), []
             for s, e in slices(texts):
                 out.append(sigmoid(ngram_features(texts[s:e], bits).dot(w) * _BOOST + w[-1]))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.concatenate([np.zeros(0), *out]))], names=[id, "score"])
 
-    return docs.select(F.col(id).alias(id), text_or_empty(text).alias("_text")).mapInArrow(run, f"`{id}` {dict(docs.dtypes)[id]}, score double")
+    return docs.select(F.col(id).alias(id), text_or_empty(text).alias("_text")).mapInArrow(released(run), f"`{id}` {dict(docs.dtypes)[id]}, score double")
 
 
 # Toxicity
@@ -232,13 +232,13 @@ def score_chain(docs: DataFrame, chain: Chain, id: str = "doc_id", text: str = "
 
     def run(batches):
         chain = shared.value
-        for b in batches:
+        for b in cut(batches):
             texts, out = _bytes(b.column(1)), [np.zeros((len(names), 0))]
             for s, e in slices(texts):
                 out.append(np.array(chain.probabilities(presence_features(texts[s:e], chain.bits))))
             yield pa.RecordBatch.from_arrays([b.column(0), *map(pa.array, np.concatenate(out, axis=1))], names=[id, *names])
 
-    return docs.select(F.col(id).alias(id), text_or_empty(text).alias("_text")).mapInArrow(run, ", ".join([f"`{id}` {dict(docs.dtypes)[id]}", *(f"{n} double" for n in names)]))
+    return docs.select(F.col(id).alias(id), text_or_empty(text).alias("_text")).mapInArrow(released(run), ", ".join([f"`{id}` {dict(docs.dtypes)[id]}", *(f"{n} double" for n in names)]))
 
 
 def without_toxic(docs: DataFrame, chain: Chain, threshold: float, text: str = "text") -> DataFrame:
@@ -247,10 +247,10 @@ def without_toxic(docs: DataFrame, chain: Chain, threshold: float, text: str = "
 
     def run(batches):
         chain = shared.value
-        for b in batches:
+        for b in cut(batches):
             texts = [x or b"" for x in _bytes(b.column(b.schema.get_field_index(name)))]
             for s, e in slices(texts):
                 p = chain.probabilities(presence_features(texts[s:e], chain.bits))[-1]
                 yield b.slice(s, e - s).filter(pa.array(p < threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(released(run), docs.schema)

@@ -22,11 +22,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shared_dir, text_or_empty
+from .common import cut, released, text_or_empty
 
 MARK = "▁"
-#: Chunks whose counts a worker keeps.
-KEPT = 1_000_000
+#: Chunks whose counts a worker keeps, of at most so many characters each: about 64 MB.
+KEPT, LONGEST = 400_000, 48
 
 
 def version(path: str) -> str:
@@ -62,16 +62,16 @@ class Counter:
                 whole.append(i)
             else:
                 chunks[i] = x.split(" ")
-        kept = self.kept
+        kept, rest = self.kept, {}
+        if len(kept) >= KEPT:
+            kept.clear()
         miss = list({c for cs in chunks.values() for c in cs if c not in kept})
-        if miss:
-            if len(kept) + len(miss) > KEPT:
-                kept.clear()
-                miss = list({c for cs in chunks.values() for c in cs})
-            for c, ids in zip(miss, self.model.encode(miss, num_threads=1)):
-                kept[c] = len(ids)
+        for s in range(0, len(miss), 10_000):
+            part = miss[s : s + 10_000]
+            for c, ids in zip(part, self.model.encode(part, num_threads=1)):
+                (kept if len(c) <= LONGEST and len(kept) < KEPT else rest)[c] = len(ids)
         for i, cs in chunks.items():
-            out[i] = sum(map(kept.__getitem__, cs))
+            out[i] = sum([kept[c] if c in kept else rest[c] for c in cs]) if rest else sum(map(kept.__getitem__, cs))
         for i in whole:
             out[i] = len(self.model.encode(texts[i]))
         return out
@@ -88,10 +88,8 @@ def encode_counts(path: str):
 
     def run(batches):
         count = counter(path)
-        for b in batches:
-            for s in range(0, len(b), 512):
-                part = b.slice(s, 512)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(count(part.column(1).to_pylist()), pa.int64())], names=["digest", "n_tokens"])
+        for part in cut(batches):
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(count(part.column(1).to_pylist()), pa.int64())], names=["digest", "n_tokens"])
 
     return run
 
@@ -115,6 +113,6 @@ def count(df: DataFrame, model: str, cache: str, id: str = "doc_id", text: str =
     if have is not None:
         want = want.join(have.where(F.col("version") == v).select("digest"), "digest", "left_anti")
     misses = want.groupBy("digest").agg(F.first("_text").alias("_text"))
-    misses.mapInArrow(encode_counts(model), "digest binary, n_tokens long").select(F.lit(v).alias("version"), "digest", "n_tokens").write.mode("append").parquet(cache)
+    misses.mapInArrow(released(encode_counts(model)), "digest binary, n_tokens long").select(F.lit(v).alias("version"), "digest", "n_tokens").write.mode("append").parquet(cache)
     counts = spark.read.schema("version string, digest binary, n_tokens long").parquet(cache).where(F.col("version") == v).groupBy("digest").agg(F.first("n_tokens").alias("n_tokens"))
     return rows.drop("_text").join(counts, "digest").select(id, "n_bytes", "n_tokens")

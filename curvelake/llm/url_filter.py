@@ -2,7 +2,7 @@
 
 Method: every n-gram of n = 3..5 characters of host and path (each framed by ^ and $, and marked as of the host or the
 path) is hashed to one of BUCKETS weights; the score is the logistic function of the bias and the mean-scaled sum of the weights.
-The model is trained on the driver from a small labelled URL table (LABELLED, a fixed list); its features are computed by the
+The model is trained on the driver from a small labelled URL table (labelled(), fixed lists); its features are computed by the
 same SQL expressions that score. Scoring is SQL only: there is no Python on the executors.
 
 Cases: a null url or one without "://" has an empty host and path, no rule, and the model's verdict on empty strings (that of the
@@ -16,6 +16,8 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import let, numbers
+
 BUCKETS = 4096
 SIZES = (3, 4, 5)
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -29,22 +31,34 @@ RULES = (
     ("block", "org", "/es/"),
 )
 
-#: The labelled table: every host below each of SUBDOMAINS with every one of PATHS.
-BLOCKED = (
-    "casino-online.example.com bestcasino.example.net casino-royale.example.org free-slots.example.com bets-today.example.org "
-    "sportsbets.example.com cheap-pills-shop.example.net pills-online.example.com discount-pills.example.org spam-links.example.com "
-    "spam-mail.example.net link-farm.example.net adclick-track.example.org tracker-ads.example.net ads-server.example.com "
-    "adult-video.example.org adult-cams.example.net xxx-cams.example.com free-adult.example.com poker-win.example.org win-prize.example.net "
-    "free-money.example.com"
+#: The labelled table: hosts to block with paths to block and plain paths, hosts to allow with paths to allow and plain paths, and plain hosts, whose label is that of the path
+#: (plain paths on plain hosts are allowed). So both hosts and paths tell labels apart.
+BLOCKED_HOSTS = (
+    "casino-online.example.com bestcasino.example.net casino-royale.example.org free-slots.example.com megaslots.example.net bets-today.example.org betwin.example.com "
+    "sportsbets.example.com cheap-pills-shop.example.net pills-online.example.com discount-pills.example.org rx-pills.example.net spam-links.example.com "
+    "spam-mail.example.net link-farm.example.net farm-of-links.example.org adclick-track.example.org tracker-ads.example.net ads-server.example.com clickads.example.org "
+    "adult-video.example.org adult-cams.example.net xxx-cams.example.com xxxvideo.example.net free-adult.example.com poker-win.example.org pokerstars-win.example.net win-prize.example.net "
+    "prize-winner.example.com free-money.example.com money-for-free.example.org"
+).split()
+ALLOWED_HOSTS = (
+    "news.example.com dailynews.example.net university.example.org open-university.example.com library.example.net city-library.example.org docs.example.com museum.example.org "
+    "science-museum.example.net garden.example.net gardening.example.com weather.example.com weather-service.example.org city-council.example.org science.example.net history.example.org "
+    "local-history.example.com cooking.example.com sports.example.net sports-news.example.org travel.example.org travel-guide.example.net health.example.com public-health.example.org recipes.example.net "
+    "thermal.example.com nation.example.org theatre.example.net station.example.com thread.example.org other.example.net handbook.example.com"
+).split()
+PLAIN_HOSTS = "northbay.example.com riverside.example.org alder.example.net example.com brook.example.org harbour.example.com stone.example.net meadow.example.org ledger.example.com".split()
+BLOCKED_PATHS = (
+    "/casino/bonus /play/casino-games /free-slots/play /slots/jackpot /bets/odds-today /place-bets /buy/cheap-pills /pills/discount /spam/offer /ads/banner /ads/click /track/adclick "
+    "/adult/cams /adult/video /xxx/video /live/xxx-cams /poker/jackpot /poker/win-big /win-prize/claim /claim/prize /free-money/now /get/free-money"
 ).split()
-ALLOWED = (
-    "news.example.com university.example.org library.example.net docs.example.com museum.example.org garden.example.net "
-    "weather.example.com city-council.example.org science.example.net history.example.org cooking.example.com sports.example.net "
-    "travel.example.org health.example.com recipes.example.net thermal.example.com nation.example.org theatre.example.net "
-    "station.example.com thread.example.org other.example.net handbook.example.com"
+ALLOWED_PATHS = (
+    "/news/article /news/local /research/paper /docs/manual /docs/install /library/catalogue /recipes/soup /cooking/recipes /weather/forecast /museum/exhibits /history/archive "
+    "/local/history /travel/guide /health/advice /science/journal /council/minutes /school/course /garden/plants /sports/results /theatre/programme /about/contact /library/opening-hours"
 ).split()
-SUBDOMAINS = ("", "www.", "m.", "blog.")
-PATHS = ("/en/12", "/de/345.html", "/")
+PLAIN_PATHS = ("/en/12", "/de/345.html", "/", "/fr/7/", "/es/901")
+SUBDOMAINS = ("", "www.", "m.")
+#: Every so manieth host and path can be held out, to see what the model makes of names that it hasn't met.
+FOLDS = 5
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -65,23 +79,32 @@ def rule_of(host: Column, path: Column, rules=RULES) -> Column:
 
 def _grams(s: Column, mark: str, n: int) -> Column:
     """The buckets of s's n-grams; the mark keeps host and path apart."""
-    framed = F.concat(F.lit("^"), s, F.lit("$"))
-    starts = F.sequence(F.lit(1), F.greatest(F.length(framed) - n + 1, F.lit(1)))
-    return F.transform(starts, lambda i: F.pmod(F.xxhash64(F.lit(mark), F.substring(framed, i, F.lit(n))), F.lit(BUCKETS)).cast("int"))
+    framed = F.split(F.concat(F.lit("^"), s, F.lit("$")), "")
+
+    def grams(c: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.size(c) - n + 1, F.lit(1)))
+        piece = lambda i: F.concat(*(F.coalesce(F.get(c, i + (j - 1)), F.lit("")) for j in range(n)))
+        return F.transform(starts, lambda i: F.pmod(F.xxhash64(F.lit(mark), piece(i)), F.lit(BUCKETS)).cast("int"))
+
+    return let(framed, grams)
 
 
 def features(host: Column, path: Column) -> Column:
     return F.concat(*(_grams(s, mark, n) for s, mark in ((host, "h"), (path, "p")) for n in SIZES))
 
 
-def labelled(spark: SparkSession) -> DataFrame:
-    rows = ", ".join(f"('{s}{h}', '{p}', {y})" for hosts, y in ((BLOCKED, 1), (ALLOWED, 0)) for h in hosts for s in SUBDOMAINS for p in PATHS)
-    return spark.sql(f"SELECT * FROM VALUES {rows} AS t(host, path, label)")
+def labelled(spark: SparkSession, held_out: bool | None = None) -> DataFrame:
+    """host, path, label. held_out: only names of the last fold (plain ones as they are), or all but those; none: all."""
+    pick = lambda names: [x for i, x in enumerate(names) if held_out is None or (i % FOLDS == FOLDS - 1) == held_out]
+    bad, good, bad_paths, good_paths = map(pick, (BLOCKED_HOSTS, ALLOWED_HOSTS, BLOCKED_PATHS, ALLOWED_PATHS))
+    pairs = [(bad, [*bad_paths, *PLAIN_PATHS], 1), (good, [*good_paths, *PLAIN_PATHS], 0), (PLAIN_HOSTS, bad_paths, 1), (PLAIN_HOSTS, [*good_paths, *PLAIN_PATHS], 0)]
+    rows = sorted({(s + h, p, y) for hosts, paths, y in pairs for i, h in enumerate(hosts) for j, p in enumerate(paths) for s in (SUBDOMAINS[(i + j) % len(SUBDOMAINS)],)})
+    return spark.createDataFrame(rows, "host string, path string, label int")
 
 
-def train(spark: SparkSession, rounds: int = 12, rate: float = 0.5, decay: float = 1e-4) -> list[float]:
+def train(spark: SparkSession, rounds: int = 8, rate: float = 0.5, decay: float = 1e-4, held_out: bool | None = None) -> list[float]:
     """BUCKETS weights and the bias. The labelled table is a fixed list, so what is collected here is bounded."""
-    rows = labelled(spark).select("label", features(F.col("host"), F.col("path")).alias("f")).orderBy("host", "path").collect()
+    rows = labelled(spark, held_out).select("label", features(F.col("host"), F.col("path")).alias("f")).orderBy("host", "path").collect()
     w = [0.0] * (BUCKETS + 1)
     seen = [0.0] * (BUCKETS + 1)  # squared gradients, for steps by each weight's history
     for _ in range(rounds):
@@ -98,7 +121,7 @@ def train(spark: SparkSession, rounds: int = 12, rate: float = 0.5, decay: float
 
 def score(host: Column, path: Column, weights: list[float]) -> Column:
     """Probability that the url is one to block."""
-    table = F.lit([float(x) for x in weights[:BUCKETS]])
+    table = numbers(weights[:BUCKETS])
     f = features(host, path)
     total = F.aggregate(f, F.lit(0.0), lambda a, i: a + F.element_at(table, i + 1))
     z = F.lit(weights[BUCKETS]) + total / F.sqrt(F.size(f))

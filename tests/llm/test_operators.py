@@ -123,15 +123,52 @@ def test_best_fit_is_brute_force():
 
 @pytest.mark.parametrize("keep", ["min", "max"])
 def test_exact_dedup(docs, keep):
+    more = docs.sparkSession.createDataFrame([(None, "one"), (None, "alone"), (None, "alone"), (200, "one")], "doc_id long, text string")
+    docs = docs.select("doc_id", "text").union(more)
     got = exact_dedup.dedup(docs, keep=keep).collect()
     rows = [(r["doc_id"], r["text"] or "") for r in docs.collect()]
     assert len(got) == len(rows)
     pick = min if keep == "min" else max
-    for r in got:
-        text = next(t for d, t in rows if d == r["doc_id"])
-        same = [d for d, t in rows if t == text]
-        assert (r["keep_id"], r["group_size"], r["kept"], r["text_sha256"]) == (pick(same), len(same), r["doc_id"] == pick(same), hashlib.sha256(text.encode()).hexdigest())
+    want = Counter()
+    for d, text in rows:
+        same = [x for x, t in rows if t == text]
+        keeper = pick([x for x in same if x is not None], default=None)
+        want[(d, keeper, len(same), d == keeper, hashlib.sha256(text.encode()).hexdigest())] += 1
+    assert Counter(map(tuple, got)) == want
     assert exact_dedup.dedup(empty(docs)).count() == 0
+    stay = exact_dedup.kept(docs, keep=keep).collect()
+    assert Counter((r["doc_id"], r["text"] or "") for r in stay) == Counter((d, t) for d, t in rows if d == pick([x for x, u in rows if u == t and x is not None], default=None))
+
+
+def test_exact_dedup_keeps_texts_of_clashing_ids(spark):
+    rows = [(5, "only here"), (5, "copy"), (9, "copy"), (None, "nobody's"), (9, None), (3, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {(r["doc_id"], r["text"]) for r in exact_dedup.kept(df, keep="max").collect()} == {(5, "only here"), (9, "copy"), (None, "nobody's"), (9, None)}
+
+
+def test_multiway_merge_is_brute_force():
+    """Runs of many blocks that interleave, with equal digests across runs and a digest that only the check tells apart."""
+    rnd = random.Random(4)
+    rows = [(bytes([rnd.randrange(256)]) + b"\0" * rnd.randrange(32) + bytes(40), 1, rnd.randrange(2)) for _ in range(3000)]
+    blocks = []
+    for r in range(7):
+        x = np.zeros(2000, exact_dedup.RECORD)
+        x["digest"], x["n_bytes"], x["check"] = (list(c) for c in zip(*((d[:32], n, c) for d, n, c in rnd.choices(rows, k=2000))))
+        x["keeper"], x["n"], x["named"] = [rnd.randrange(10**6) for _ in range(2000)], 1, 1
+        x = exact_dedup.merged([x[:0], x], "min")
+        blocks += [x[s : s + 50] for s in range(0, len(x), 50)]
+    blocks.sort(key=lambda b: exact_dedup._first(b[0]))
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_arrays([pa.array([0] * len(blocks)), pa.array([exact_dedup._first(b[0]) for b in blocks], pa.binary()), pa.array([b.tobytes() for b in blocks], pa.binary())], names=["node", "first", "block"])
+    got = np.concatenate(list(exact_dedup.multiway([batch.slice(i, 3) for i in range(0, len(blocks), 3)], "min")))
+    want = {}
+    for r in np.concatenate(blocks):
+        k = (bytes(r["digest"]), int(r["check"]))
+        a = want.get(k, (10**9, 0))
+        want[k] = (min(a[0], int(r["keeper"])), a[1] + int(r["n"]))
+    assert {(bytes(r["digest"]), int(r["check"])): (int(r["keeper"]), int(r["n"])) for r in got} == want and len(got) == len(want)
+    assert (got["digest"][1:] >= got["digest"][:-1]).all()
 
 
 def test_merge_tree_over_many_nodes(spark):
@@ -168,6 +205,28 @@ def test_url_model(spark):
     assert [r["verdict"] for r in url_filter.judge(df).collect()] == ["block", "allow"]
 
 
+def test_url_model_on_held_out_names(spark):
+    """Precision and recall on hosts and paths that the model hasn't met, and on those of either kind alone."""
+    weights = url_filter.train(spark, held_out=False)
+    rows = url_filter.labelled(spark, held_out=True).withColumn("p", url_filter.score(F.col("host"), F.col("path"), weights)).collect()
+    for of in (rows, [r for r in rows if r["path"] in url_filter.PLAIN_PATHS], [r for r in rows if any(r["host"].endswith(h) for h in url_filter.PLAIN_HOSTS)]):
+        hit = sum(r["label"] and r["p"] >= 0.5 for r in of)
+        precision, recall = hit / max(1, sum(r["p"] >= 0.5 for r in of)), hit / sum(r["label"] for r in of)
+        assert precision > 0.9 and recall > 0.7, (precision, recall, [(r["host"], r["path"], r["p"]) for r in of if (r["p"] >= 0.5) != r["label"]][:20])
+
+
+def test_url_score_is_brute_force(spark):
+    """The score from n-grams that Python cuts and Spark hashes one by one."""
+    weights = url_filter.train(spark)
+    urls = [("a.b", "/x"), ("", ""), ("é日.com", "/long" * 50), ("h", "/" + "y" * 3)]
+    for host, path in urls:
+        grams = [(m, ("^" + s + "$")[i : i + n]) for s, m in ((host, "h"), (path, "p")) for n in url_filter.SIZES for i in range(max(1, len(s) + 3 - n))]
+        df = spark.createDataFrame(grams, "m string, g string").select(F.pmod(F.xxhash64("m", "g"), F.lit(url_filter.BUCKETS)).alias("b"))
+        z = weights[-1] + sum(weights[r["b"]] for r in df.collect()) / np.sqrt(len(grams))
+        got = spark.createDataFrame([(host, path)], "h string, p string").select(url_filter.score(F.col("h"), F.col("p"), weights)).first()[0]
+        assert abs(got - 1 / (1 + np.exp(-z))) < 1e-9
+
+
 # 4 and 9
 
 
@@ -372,27 +431,69 @@ def test_near_dup_join_keeps_texts_of_clashing_ids(spark):
 # 6
 
 
+def ideal(blocks, parts):
+    """For each slot t what the fluid mix has given each source by then, by brute force: all run together at their parts, whoever has no more gives its share to the rest."""
+    had, out = dict.fromkeys(blocks, Fraction(0)), []
+    for _ in range(sum(blocks.values())):
+        left = Fraction(1)
+        while left:
+            alive = [s for s in blocks if had[s] < blocks[s]]
+            step = min([(blocks[s] - had[s]) / Fraction(parts[s]) for s in alive] + [left / sum(parts[s] for s in alive)])
+            for s in alive:
+                had[s] += parts[s] * step
+            left -= step * sum(parts[s] for s in alive)
+        out.append(dict(had))
+    return out
+
+
 def test_pfair_deviates_by_less_than_a_block():
-    blocks, weights = {"a": 500, "b": 300, "c": 150, None: 50}, {"a": 5, "b": 3, "c": Fraction(3, 2), None: Fraction(1, 2)}
-    order = mixing.pfair(blocks, weights)
-    assert Counter(order) == Counter(blocks)
-    total, run = sum(weights.values()), Counter()
-    for t, s in enumerate(order, 1):
-        run[s] += 1
-        if any(run[x] == blocks[x] for x in blocks):
-            break
-        assert all(abs(run[x] - t * weights[x] / total) < 1 for x in blocks), t
+    rnd = random.Random(11)
+    cases = [({"a": 500, "b": 300, "c": 150, None: 50}, {"a": 50, "b": 30, "c": 15, None: 5})]
+    for _ in range(60):
+        names = range(rnd.randrange(1, 9))
+        cases.append(({s: rnd.randrange(1, 40) for s in names}, {s: rnd.choice([1, 1, 2, 3, 7, 30]) for s in names}))
+    for blocks, parts in cases:
+        order, run = mixing.pfair(blocks, parts), Counter()
+        assert Counter(order) == Counter(blocks)
+        for s, want in zip(order, ideal(blocks, parts)):
+            run[s] += 1
+            assert all(abs(run[x] - want[x]) < 1 for x in blocks), (blocks, parts)
+
+
+def test_earliest_deadline_first_is_brute_force():
+    """All blocks run within their windows, and none while one that is due earlier waits."""
+    jobs = mixing.windows({"a": 7, "b": 3, "c": 5, "d": 1}, {"a": 7, "b": 5, "c": 5, "d": 4})
+    order = mixing.earliest_deadline_first(jobs)
+    assert sorted(order) == sorted(jobs)
+    for t, (release, deadline, *_) in enumerate(order):
+        assert release <= t < deadline
+        assert all(j[0] > t or j[1] >= deadline for j in order[t:])
 
 
 def test_mixing(spark, docs):
-    df = spark.range(5000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 < 2, "hot").otherwise(F.concat(F.lit("s"), F.col("id") % 5)).alias("source"), F.lit(1).alias("slot"))
-    got = mixing.mix(df, block=10).collect()
-    assert sorted(r["position"] for r in got) == list(range(5000)) and {r["doc_id"] for r in got} == set(range(5000))
-    sizes = Counter((r["source"], r["block"]) for r in got)
-    assert max(sizes.values()) == 10 and len({r["slot"] for r in got}) == len(sizes)
+    df = spark.range(5000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 < 2, "hot").when(F.col("id") % 5 > 0, F.concat(F.lit("s"), F.col("id") % 5)).alias("source"), F.lit(1).alias("slot"))
+    weights = {"hot": 5, "s1": 3, None: 2, "absent": 9}
+    for kw in ({"block": 10}, {"block": 1, "weights": weights, "parts": 64}):
+        got = mixing.mix(df, **kw).collect()
+        assert sorted(r["position"] for r in got) == list(range(5000)) and {r["doc_id"] for r in got} == set(range(5000))
+        sizes = Counter((r["source"], r["block"]) for r in got)
+        assert max(sizes.values()) == kw["block"] and {r["slot"] for r in got} == set(range(len(sizes)))
+        known = {r["_mix_key"]: r for r in mixing.sources(df, kw.get("weights"), 0.5, "source", kw["block"], kw.get("parts", mixing.PARTS)).collect()}
+        keys = sorted(known)
+        want = mixing.pfair({k: known[k]["_mix_blocks"] for k in keys}, {k: known[k]["_mix_k"] for k in keys})
+        order = {r["slot"]: "=" + r["source"] if r["source"] else "" for r in got}
+        assert [order[i] for i in range(len(order))] == want
+        by = sorted(got, key=lambda r: r["position"])
+        assert [r["slot"] for r in by] == sorted(r["slot"] for r in by)
+    ks = {k: r["_mix_k"] for k, r in known.items()}
+    assert ks["=hot"] > ks["=s1"] > ks[""] and ks["=s2"] == ks[""]
     assert mixing.mix(docs).count() == docs.count() and mixing.mix(empty(docs)).count() == 0
-    big = mixing.mix(df, block=1, max_blocks=50).collect()
-    assert len({(r["source"], r["block"]) for r in big}) <= 50 + 6
+
+
+def test_mixing_of_very_many_sources(spark):
+    df = spark.range(9000).select(F.col("id").alias("doc_id"), F.concat(F.lit("s"), F.pmod(F.xxhash64("id"), F.lit(4000))).alias("source"))
+    got = mixing.mix(df, block=2).collect()
+    assert sorted(r["position"] for r in got) == list(range(9000))
 
 
 # 7
@@ -472,6 +573,58 @@ def test_markov_finds_letters_and_glued_keys(spark):
     assert all(v >= (0.6 if k.startswith("base64") else 0.8) for k, v in rate.items()), rate
 
 
+def brute_random(text, ratios, threshold):
+    """Spans of kind markov, from the rule itself: characters one by one."""
+    k, taken = len(secret_scan.ALPHABET), [tuple(map(int, x.split(":")[1:])) for x in brute_spans(text).split(",") if x]
+    gain = lambda s: [ratios[secret_scan.ALPHABET.index(a) * k + secret_scan.ALPHABET.index(b)] for a, b in zip(s, s[1:])]
+    mean = lambda s: sum(gain(s)) / (len(s) - 1)
+    out = []
+    for m in re.finditer(secret_scan.CANDIDATE, text):
+        if any(s < m.end() and m.start() < e for s, e in taken):
+            continue
+        parts = [(p.start(), p.end()) for p in re.finditer(secret_scan.PART, m[0]) if mean(p[0]) > threshold]
+        if mean(m[0]) > threshold:
+            parts = [(0, len(m[0]))]
+        elif not parts:
+            run = best = 0.0
+            begin, at = 0, (0, 0)
+            for i, g in enumerate(gain(m[0])):
+                if run <= 0:
+                    run, begin = 0.0, i
+                run += g - threshold
+                if run > best:
+                    best, at = run, (begin, i + 2)
+            parts = [at] if at[1] - at[0] >= secret_scan.MIN_CANDIDATE else []
+        out += [(m.start() + s, m.start() + e) for s, e in parts]
+    return out
+
+
+def test_secret_scan_of_many_matches_is_brute_force(spark):
+    """Texts with hundreds of matches of all kinds, longer than a chunk, on characters of one to four bytes."""
+    rnd, ratios = random.Random(12), secret_scan.log_ratios(*secret_scan.samples())
+    random_, plain = secret_scan.samples(600)
+    words = ["the", "é日", "𝄞x", "token: abcdef", "secret=abc", "password=\"hunter2222\"", "AKIA" + "A1" * 9, "ab" * 20, "-", "a_b/c", "x" * 40]
+    texts = ["", "x", *(" ".join(rnd.choice((rnd.choice(words), rnd.choice(random_), rnd.choice(plain), rnd.choice(plain) + "=" + rnd.choice(random_))) for _ in range(n)) for n in (3, 64, 65, 300, 700))]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in secret_scan.scan(df).collect():
+        text = texts[r["doc_id"]]
+        base = [f"{s['kind']}:{s['start']}:{s['end']}" for s in r["base"]]
+        assert ",".join(base) == brute_spans(text)
+        assert [(s["start"], s["end"]) for s in r["spans"] if s["kind"] == "markov"] == brute_random(text, ratios, secret_scan.THRESHOLD)
+
+
+def test_secret_scan_is_linear(spark):
+    """A run of a million characters, and forty thousand keys, in seconds."""
+    import time
+
+    run = "".join(hashlib.sha256(str(i).encode()).hexdigest().upper() for i in range(16_000))
+    keys = " ".join(hashlib.md5(str(i).encode()).hexdigest() for i in range(40_000))
+    df = spark.createDataFrame([(0, run), (1, keys)], "doc_id long, text string")
+    began = time.time()
+    got = {r["doc_id"]: r["n"] for r in secret_scan.scan(df).select("doc_id", F.size("spans").alias("n")).collect()}
+    assert got[1] == 40_000 and got[0] >= 1 and time.time() - began < 90
+
+
 # 10
 
 
