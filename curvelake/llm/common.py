@@ -78,9 +78,17 @@ class Tables:
         return out
 
 
+def give_back() -> None:
+    """Returns memory to the system that Arrow and the C library hold free in this process."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def reclaim(spark: SparkSession) -> None:
-    """Lets Spark's cleaner delete shuffle files of plans that nobody holds: it acts after a collection in the driver's JVM."""
+    """Gives back what the driver holds for nothing. Spark's cleaner then also deletes shuffle files of plans that nobody refers to: it acts after a collection in the driver's JVM."""
     gc.collect()
+    give_back()
     spark._jvm.System.gc()
 
 
@@ -97,9 +105,7 @@ def released(run):
     @functools.wraps(run)
     def wrapped(batches):
         yield from run(batches)
-        pa.default_memory_pool().release_unused()
-        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
-            trim(0)
+        give_back()
 
     return wrapped
 

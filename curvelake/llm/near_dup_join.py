@@ -43,7 +43,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Tables, Words, cut, mix, released, slices, spread_join, text_or_empty
+from .common import Tables, Words, cut, mix, reclaim, released, slices, spread_join, text_or_empty
 
 WIDTH = 5
 SMALL, CROSS = 8, 8
@@ -528,6 +528,7 @@ def connected(links: DataFrame, tables: Tables) -> DataFrame:
             out = edges.select(F.col("b").alias("doc"), F.col("a").alias("component")).union(edges.select(F.col("a").alias("doc"), "a").distinct())
             out = tables.add(out, "groups")
             tables.drop(edges)
+            reclaim(tables.spark)
             return out
         before = now
 

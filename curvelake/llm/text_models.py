@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LETTERS, PUNCTUATED, Words, cut, mix, released, slices, text_or_empty
+from .common import LETTERS, PUNCTUATED, Words, cut, mix, reclaim, released, slices, text_or_empty
 
 PREFIXES = (3, 4, 5, 6)
 
@@ -154,6 +154,8 @@ def train_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", wh
     model = Ftrl(2**bits + 1)
     rows = [(np.append(a, 2**bits), np.append(v * _BOOST, 1.0)) for a, v in feats]
     model.fit(rows, y[:, 0] if len(y) else y, rounds)
+    del feats, rows
+    reclaim(docs.sparkSession)
     return model.weights(slice(None))
 
 
@@ -222,6 +224,9 @@ def train_chain(docs: DataFrame, labels: DataFrame, categories: dict[str, Column
             w = fit(np.flatnonzero(fold != f))
             held[out] = [sigmoid(w[rows[i][0]] @ rows[i][1]) for i in out]
         earlier = np.column_stack([earlier, _odds(held)])
+        del rows, fit, w
+    del feats
+    reclaim(docs.sparkSession)
     return chain
 
 
