@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import released, spread_join
+from .common import Tables, released, spread_join
 
 CELL = 2048
 BLOCK = 16
@@ -166,7 +166,8 @@ def schedule(known: DataFrame, block: int) -> DataFrame:
 def mix(df: DataFrame, weights: dict | None = None, source: str = "source", id: str = "doc_id", block: int = BLOCK, power: float = 0.5, parts: int = PARTS) -> DataFrame:
     """df with block (in its source, from 0), slot (of the block, from 0) and position (of the row in the mix, from 0, gapless)."""
     df = df.drop(*({"block", "slot", "position"} - {source, id}))
-    known = sources(df, weights, power, source, block, parts)
+    # One row a source, as a table: it is read at each step, and the input is counted once.
+    known = Tables(df.sparkSession).add(sources(df, weights, power, source, block, parts), "sources")
     rows = ranked(df, known, source, id).withColumn("_mix_block", F.floor(F.col("_mix_rank") / block))
     slots = schedule(known, block).withColumnRenamed("block", "_mix_block")
     out = rows.join(slots, ["_mix_key", "_mix_block"])
