@@ -147,6 +147,14 @@ def type_code(geometry: str | Column) -> Column:
     return F.when(F.hex(F.substring(g, 1, 1)) == "01", code.bitwiseAND(F.lit(0x0FFFFFFF)) % 1000)
 
 
+def dimensions(geometry: str | Column) -> tuple[Column, Column]:
+    """Whether little-endian WKB has Z and M, by its type code (thousands, or the two highest bits); null for other byte orders."""
+    g = _col(geometry)
+    code = F.conv(F.concat(*(F.hex(F.substring(g, i, 1)) for i in (5, 4, 3, 2))), 16, 10).cast("long")
+    thousands, little = F.floor(code.bitwiseAND(F.lit(0x0FFFFFFF)) / 1000), F.hex(F.substring(g, 1, 1)) == "01"
+    return F.when(little, thousands.isin(1, 3) | (code.bitwiseAND(F.lit(0x80000000)) != 0)), F.when(little, thousands.isin(2, 3) | (code.bitwiseAND(F.lit(0x40000000)) != 0))
+
+
 def make_point(x: Column, y: Column, z: Column | None = None, m: Column | None = None) -> Column:
     """ISO WKB points from coordinates."""
     has_z, has_m = z is not None, m is not None

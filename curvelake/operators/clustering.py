@@ -26,24 +26,29 @@ def boundaries(df: DataFrame, key: str, parts: int, accuracy: int = 10000, exact
     return [int(row["least"]), *sorted(int(c) for c in row["cuts"])]
 
 
-def range_column(key: str | Column, lower: list[int]) -> Column:
-    """The lower bound of the range that a key falls in; the first range takes all that is below the second."""
+def _by_range(key: str | Column, lower: list[int], values: list[int]) -> Column:
+    """The value of the range that a key falls in; the first range takes all that is below the second."""
     key = F.col(key) if isinstance(key, str) else key
     if not lower:
-        return F.lit(0).cast("long")
-    found = F.lit(lower[0])
+        return F.lit(0)
+    found = F.lit(values[0])
     if len(lower) > 1:
-        found = F.when(key < lower[1], lower[0])
+        found = F.when(key < lower[1], values[0])
         for k in range(2, len(lower)):
-            found = found.when(key < lower[k], lower[k - 1])
-        found = found.otherwise(lower[-1])
-    return found.cast("long")
+            found = found.when(key < lower[k], values[k - 1])
+        found = found.otherwise(values[-1])
+    return found
+
+
+def range_column(key: str | Column, lower: list[int]) -> Column:
+    """The lower bound of the range that a key falls in."""
+    return _by_range(key, lower, lower).cast("long")
 
 
 def partitioned_sort(df: DataFrame, key: str, lower: list[int], column: str) -> DataFrame:
-    """df with its range column, each range whole in one task and sorted there: one shuffle, no global sort."""
-    parts = max(2 * len(lower), 8)
-    return df.withColumn(column, range_column(key, lower)).repartition(parts, column).sortWithinPartitions(column, key)
+    """df with its range column, each range whole in a task of its own and sorted there: one shuffle, no global sort."""
+    number = _by_range(key, lower, list(range(len(lower)))).cast("int")
+    return df.withColumn(column, range_column(key, lower)).repartitionById(max(len(lower), 1), number).sortWithinPartitions(column, key)
 
 
 def order_violations(df: DataFrame, key: str, group: list[str], position: str) -> DataFrame:

@@ -50,10 +50,12 @@ def plan(data: Dataset, extents: list[Extent], resolution: float) -> DataFrame:
     """Rows that meet the extents, with `shown` (wkb and bounds). Only the code, the level chosen and what the caller keeps are read."""
     d, df = data.display, data.df
     code = _name(d["code"])
-    df = df.withColumn("_code", F.col(code).cast("long")) if dict(df.dtypes)[code] != "bigint" else df
-    column = code if dict(df.dtypes)[code] == "bigint" else "_code"
+    # Codes of 32 bits a side fill 64 bits without a sign: they are decimals, as they are stored.
+    kind = "decimal(20,0)" if d["type"] == "z" and d["coordinatePrecision"] == 32 else "bigint"
+    column = code if dict(df.dtypes)[code] == kind else "_code"
+    df = df if column == code else df.withColumn(column, F.col(code).cast(kind))
     if d["type"] == "z":
-        ranges = merge_ranges([r for e in extents for r in z_ranges(data.full, e, min(d["coordinatePrecision"], 31))])
+        ranges = merge_ranges([r for e in extents for r in z_ranges(data.full, e, d["coordinatePrecision"])])
         x, y = F.col(_name(d["xColumn"])), F.col(_name(d["yColumn"]))
         rows = V.filter_ranges(df, column, ranges, data.partition, data.lowers).where(x.isNotNull())
         shown = F.struct(F.col(data.geometry).alias("wkb"), x.alias("xmin"), y.alias("ymin"), x.alias("xmax"), y.alias("ymax"))

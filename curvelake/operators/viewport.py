@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import functools
 import operator
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,11 +17,16 @@ FEATURE_LIMIT = 650_000
 INLINE_RANGES = 500
 
 
+def code_literal(v: int) -> Column:
+    """A code as a constant: codes of 64 bits are decimals."""
+    return F.lit(v) if v < 1 << 63 else F.lit(Decimal(v))
+
+
 def in_ranges(code: str | Column, ranges: list[tuple[int, int]]) -> Column:
     code = F.col(code) if isinstance(code, str) else code
     if not ranges:
         raise ValueError("a curve filter needs at least one range")
-    return functools.reduce(operator.or_, (code.between(F.lit(s), F.lit(e)) if s < e else code == F.lit(s) for s, e in ranges))
+    return functools.reduce(operator.or_, (code.between(code_literal(s), code_literal(e)) if s < e else code == code_literal(s) for s, e in ranges))
 
 
 def filter_ranges(df: DataFrame, code: str, ranges: list[tuple[int, int]], lower: str | None = None, lowers: list[int] | None = None) -> DataFrame:
@@ -31,12 +37,14 @@ def filter_ranges(df: DataFrame, code: str, ranges: list[tuple[int, int]], lower
         ends = [*lowers[1:], None]
         # Codes below the first bound are in the first partition.
         hit = [lo for i, (lo, hi) in enumerate(zip(lowers, ends)) if any((e >= lo or i == 0) and (hi is None or s < hi) for s, e in ranges)]
-        df = df.where(F.col(lower).isin(hit))
+        df = df.where(F.col(lower).isin([Decimal(h) if h >= 1 << 63 else h for h in hit]))
     if len(ranges) <= INLINE_RANGES:
         return df.where(in_ranges(code, ranges))
-    small = df.sparkSession.createDataFrame(ranges, "_s long, _e long")
+    small = df.sparkSession.createDataFrame([(Decimal(s), Decimal(e)) for s, e in ranges], "_s decimal(20,0), _e decimal(20,0)")
+    if ranges[-1][1] < 1 << 63:
+        small = small.select(F.col("_s").cast("long").alias("_s"), F.col("_e").cast("long").alias("_e"))
     # Ranges are made on the driver, by a traversal of bounded depth, so their table is small.
-    return df.where(F.col(code).between(ranges[0][0], ranges[-1][1])).join(F.broadcast(small), F.col(code).between(F.col("_s"), F.col("_e")), "left_semi")
+    return df.where(F.col(code).between(code_literal(ranges[0][0]), code_literal(ranges[-1][1]))).join(F.broadcast(small), F.col(code).between(F.col("_s"), F.col("_e")), "left_semi")
 
 
 def intersects(box: dict[str, Column] | Column, extents: list[Extent]) -> Column:

@@ -10,7 +10,7 @@ import uuid
 from dataclasses import dataclass, field
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -236,16 +236,24 @@ def _write(spark: SparkSession, r: Resolved, meta: footers.SourceMetadata, i: In
         ordered = clustering.partitioned_sort(keyed, "geokey", lower, partition)
     else:
         ordered = keyed.repartition(1).sortWithinPartitions("geokey")
+    seen = None
     if stored:
+        # Whether all geometries have the dimensions that metadata say, noted in the same pass.
+        seen, (z, m) = Observation(), C.dimensions(g)
+        other = (z != F.lit(has_z)) | (m != F.lit(has_m))
+        ordered = ordered.observe(seen, F.count(F.when(other, 1)).alias("other"))
         ordered = ordered.withColumn("geolod", C.lod_struct(g, r.family, o.out_sr, o.encoding, has_z, has_m, stored))
     if kind == "folder":
         ordered = ordered.select(*[c for c in ordered.columns if c != partition], partition)
-    order = M.ordering("z" if point else "xz", extent, o.cluster_depth) if o.write_extensions else None
-    lod = M.lod(r.family, stored) if o.write_extensions and stored else None
+    order = M.ordering("z" if point else "xz", g, extent, o.cluster_depth) if o.write_extensions else None
+    lod = M.lod(r.family, g, stored) if o.write_extensions and stored else None
     footer = pairs | {"geo": M.dumps(M.geo(g, types, o.out_sr, bbox, o.covering, order, lod))}
     if o.write_display:
         footer["geodisplay"] = M.dumps(display)
-    return _finish(ordered, ordered.drop(partition) if kind == "folder" else ordered, staging, footer, options, partition if kind == "folder" else None, o, kind, expected, warnings)
+    got = _finish(ordered, ordered.drop(partition) if kind == "folder" else ordered, staging, footer, options, partition if kind == "folder" else None, o, kind, expected, warnings)
+    if seen is not None and got.rows_written and seen.get["other"]:
+        got.warnings.append(f"some geometries don't have the dimensions that the source's metadata say; levels are written with hasZ={has_z}, hasM={has_m}, and 0 for what is missing")
+    return got
 
 
 def _finish(df, shape, staging, footer, options, partition, o, kind, expected, warnings) -> WriteResult:

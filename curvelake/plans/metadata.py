@@ -40,11 +40,8 @@ def geo(column: str, types: list[str], wkid: int, bbox: list[float] | None, cove
         col["bbox"] = bbox
     if covering:
         col["covering"] = {"bbox": {k: ["bbox", k] for k in ("xmin", "ymin", "xmax", "ymax")}}
-    if ordering:
-        col["ordering"] = ordering
-    if lod:
-        col["lod"] = lod
-    return {"version": GEO_VERSION, "primary_column": column, "columns": {column: col}}
+    out: dict = {"version": GEO_VERSION, "primary_column": column, "columns": {column: col}}
+    return out | ({"ordering": ordering} if ordering else {}) | ({"lod": lod} if lod else {})
 
 
 def _common(kind: str, wkid: int, extent: Extent | None) -> dict:
@@ -59,20 +56,24 @@ def display_z(wkid: int, extent: Extent | None, depth: int, has_z: bool, has_m:
     return out | ({"zColumn": ["sop_geometry", "z"]} if has_z else {}) | ({"mColumn": ["sop_geometry", "m"]} if has_m else {})
 
 
+def transform(x: Level) -> dict:
+    return {"scale": [x.resolution, x.resolution, 0.0001, 0.0001], "translate": [0.0, 0.0, 0.0, 0.0]}
+
+
 def display_xz(wkid: int, extent: Extent | None, depth: int, family: str, encoding: str, levels: list[Level], has_z: bool, has_m: bool) -> dict:
     stored = [
-        {"column": ["geolod", x.column], "level": x.level, "resolution": x.resolution, "scale": x.scale, "transform": {"scale": [x.resolution, x.resolution, 0.0001, 0.0001], "translate": [0.0, 0.0, 0.0, 0.0]}} for x in levels
+        {"column": ["geolod", x.column], "level": x.level, "resolution": x.resolution, "scale": x.scale, "transform": transform(x)} for x in levels
     ]
     return _common("xz", wkid, extent) | {"encoding": ENCODINGS[encoding], "geometryType": family, "maxLevel": depth, "hasZ": has_z, "hasM": has_m, "levels": stored}
 
 
-def ordering(kind: str, extent: Extent, depth: int) -> dict:
-    return {"type": kind, "extent": extent.as_list()} | ({"bit_width": depth} if kind == "z" else {"max_level": depth})
+def ordering(kind: str, column: str, extent: Extent, depth: int) -> dict:
+    return {"type": kind, "geometry_column": column, "extent": extent.as_list()} | ({"bit_width": depth} if kind == "z" else {"max_level": depth})
 
 
-def lod(family: str, levels: list[Level]) -> dict:
-    out: dict = {"encoding": "pbf", "levels": [{"column": ["geolod", x.column], "level": x.level, "resolution": x.resolution} for x in levels]}
-    return out | ({"orientation": "clockwise"} if family == "polygon" else {})
+def lod(family: str, column: str, levels: list[Level]) -> dict:
+    stored = [{"column": ["geolod", x.column], "resolution": x.resolution, "transform": transform(x)} for x in levels]
+    return {"geometry_column": column, "encoding": "pbf"} | ({"orientation": "clockwise"} if family == "polygon" else {}) | {"levels": stored}
 
 
 def dumps(v: dict) -> str:

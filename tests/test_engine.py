@@ -91,6 +91,33 @@ def test_rewrite(spark, tmp_path, family, parts):
             rewrite(spark, shapes(), "polygon", out, parts=2)
 
 
+def test_extensions_and_warnings(spark, tmp_path):
+    """Extensions name their geometry column and each level's transform; geometries that aren't as their metadata say are told of."""
+    out = str(tmp_path / "a.parquet")
+    got = rewrite(spark, shapes(), "polygon", out, write_extensions=True)
+    assert got.warnings == []
+    geo = json.loads(footers.key_values(pq.read_metadata(out))["geo"])
+    e = geo["columns"]["geometry"]["bbox"]
+    assert geo["ordering"] == {"type": "xz", "geometry_column": "geometry", "extent": e, "max_level": 20}
+    lod = geo["lod"]
+    assert (lod["geometry_column"], lod["encoding"], lod["orientation"]) == ("geometry", "pbf", "clockwise") and len(lod["levels"]) == 9
+    x = lod["levels"][0]
+    assert set(x) == {"column", "resolution", "transform"} and x["transform"] == {"scale": [x["resolution"], x["resolution"], 0.0001, 0.0001], "translate": [0.0] * 4}
+    declared = V.InputOptions(shapes(), declaration=arrow.GeometryDeclaration("geometry", ("Polygon", "Polygon Z"), 4326))
+    got = V.convert(spark, declared, V.OutputOptions(str(tmp_path / "b.parquet")))
+    assert len(got.warnings) == 1 and "hasZ=True" in got.warnings[0]
+
+
+def test_viewport_at_every_depth(spark, tmp_path):
+    table = shapes(family="point")
+    for depth in (1, 20, 31, 32):
+        out = str(tmp_path / f"{depth}.parquet")
+        rewrite(spark, table, "point", out, cluster_depth=depth)
+        got = query.viewport(spark, out, (-60.0, -40.0, 70.0, 45.0), 14)[0].count()
+        want = spark.read.parquet(out).where("sop_geometry.x between -60 and 70 and sop_geometry.y between -40 and 45").count()
+        assert got == want > 0, depth
+
+
 def test_again_from_files(spark, tmp_path):
     a, b, c = (str(tmp_path / x) for x in ("a.parquet", "b.parquet", "c.parquet"))
     rewrite(spark, shapes(), "polygon", a, covering=True)
