@@ -101,12 +101,13 @@ class Ftrl:
         self.z[at] += g - (np.sqrt(n + g * g) - np.sqrt(n)) / self.alpha * w
         self.n[at] = n + g * g
 
-    def fit(self, rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, rounds: int, most_weight: float = 1.0) -> Ftrl:
-        """Rows of label 1 weigh as much more as they are rarer, up to most_weight."""
-        order, ones = np.random.Generator(np.random.PCG64(7)), max(float(np.sum(y)), 1.0)
-        weight = min(most_weight, max(1.0, len(y) / ones - 1))
+    def fit(self, rows, y: np.ndarray, rounds: int, most_weight: float = 1.0, part: np.ndarray | None = None) -> Ftrl:
+        """Learns from the rows of part (none: all). Those of label 1 weigh as much more as they are rarer, up to most_weight."""
+        part = np.arange(len(rows)) if part is None else part
+        order, ones = np.random.Generator(np.random.PCG64(7)), max(float(np.sum(y[part])), 1.0)
+        weight = min(most_weight, max(1.0, len(part) / ones - 1))
         for _ in range(rounds):
-            for i in order.permutation(len(rows)):
+            for i in order.permutation(part):
                 self.learn(*rows[i], y[i], weight if y[i] else 1.0)
         return self
 
@@ -134,14 +135,15 @@ def sample(docs: DataFrame, labels: DataFrame, columns: list[str], where: Column
                 f = features(texts[s:e], bits).parts()
                 part = b.slice(s, e - s)
                 merged = [_merged(a, v, []) for a, v in f]
-                at, value = ([x[k].astype(t).tobytes() for x in merged] for k, t in ((0, "<i4"), (1, "<f4")))
+                at = [x[0].astype("<i4").tobytes() for x in merged]
+                value = [None if (x[1] == 1).all() else x[1].astype("<f4").tobytes() for x in merged]
                 yield pa.RecordBatch.from_arrays([part.column(0), *(part.column(2 + i) for i in range(n)), pa.array(at, pa.binary()), pa.array(value, pa.binary())], names=["id", *(f"y{i}" for i in range(n)), "at", "value"])
 
     kinds = dict(found.dtypes)
     got = found.select(id, "_text", *(f"_y{i}" for i in range(n))).mapInArrow(released(run), ", ".join([f"id {kinds[id]}", *(f"y{i} {kinds[f'_y{i}']}" for i in range(n)), "at binary, value binary"]))
     rows = sorted(got.collect(), key=lambda r: (r["id"], bytes(r["at"])))
-    # Views of the bytes that came: the sample is held once.
-    feats = [(np.frombuffer(r["at"], "<i4"), np.frombuffer(r["value"], "<f4")) for r in rows]
+    # Views of the bytes that came: the sample is held once. Values that are all 1 don't come.
+    feats = [(np.frombuffer(r["at"], "<i4"), np.frombuffer(r["value"], "<f4") if r["value"] is not None else np.broadcast_to(np.float32(1), len(r["at"]) // 4)) for r in rows]
     return np.array([[float(r[f"y{i}"]) for i in range(n)] for r in rows]).reshape(len(rows), n), feats
 
 
@@ -203,7 +205,22 @@ def _odds(p):
     return np.log(p / (1 - p)) / 4
 
 
-def train_chain(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], most: int = 5000, bits: int = 20, folds: int = 3, rounds: int = 4, id: str = "doc_id", text: str = "text") -> Chain:
+class _Linked:
+    """Rows of the sample for one category: features, then the log-odds of the categories before, then the bias. Made when asked for, so that the sample is held once."""
+
+    def __init__(self, feats: list[tuple[np.ndarray, np.ndarray]], earlier: np.ndarray, size: int):
+        self.feats, self.extra = feats, np.arange(size, size + earlier.shape[1] + 1, dtype=np.int32)
+        self.tail = np.column_stack([earlier, np.ones(len(feats))]).astype(np.float32)
+
+    def __len__(self) -> int:
+        return len(self.feats)
+
+    def __getitem__(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+        at, value = self.feats[i]
+        return np.concatenate([at, self.extra]), np.concatenate([value, self.tail[i]])
+
+
+def train_chain(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], most: int = 10_000, bits: int = 20, folds: int = 3, rounds: int = 4, id: str = "doc_id", text: str = "text") -> Chain:
     """categories: name -> 0/1 expression over labels, in the order of the chain."""
     names = list(categories)
     lab = labels.select(id, *(c.cast("int").alias(n) for n, c in categories.items()))
@@ -211,9 +228,9 @@ def train_chain(docs: DataFrame, labels: DataFrame, categories: dict[str, Column
     size, chain, earlier = 2**bits, Chain(names, bits, []), np.zeros((len(feats), 0))
     fold = np.arange(len(feats)) % folds
     for k in range(len(names)):
-        rows = [(np.append(a, np.arange(size, size + k + 1, dtype=np.int32)), np.append(v, np.array([*earlier[i], 1.0], np.float32))) for i, (a, v) in enumerate(feats)]
+        rows = _Linked(feats, earlier, size)
         # Few features matter, so l1 keeps the rest at zero.
-        fit = lambda part, k=k, rows=rows: Ftrl(size + k + 1, alpha=0.3, l1=3.0, l2=0.1).fit([rows[i] for i in part], y[part, k], rounds, 4.0).weights(slice(None))
+        fit = lambda part, k=k, rows=rows: Ftrl(size + k + 1, alpha=0.3, l1=3.0, l2=0.1).fit(rows, y[:, k], rounds, 4.0, part).weights(slice(None))
         if not len(feats):
             chain.weights.append(np.append(np.zeros(size + k), -35.0))
             continue
@@ -222,7 +239,7 @@ def train_chain(docs: DataFrame, labels: DataFrame, categories: dict[str, Column
         for f in range(folds):
             out = np.flatnonzero(fold == f)
             w = fit(np.flatnonzero(fold != f))
-            held[out] = [sigmoid(w[rows[i][0]] @ rows[i][1]) for i in out]
+            held[out] = [sigmoid(w[at] @ value) for at, value in map(rows.__getitem__, out)]
         earlier = np.column_stack([earlier, _odds(held)])
         del rows, fit, w
     del feats

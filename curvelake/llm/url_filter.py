@@ -99,7 +99,7 @@ def labelled(spark: SparkSession, held_out: bool | None = None) -> DataFrame:
     bad, good, bad_paths, good_paths = map(pick, (BLOCKED_HOSTS, ALLOWED_HOSTS, BLOCKED_PATHS, ALLOWED_PATHS))
     pairs = [(bad, [*bad_paths, *PLAIN_PATHS], 1), (good, [*good_paths, *PLAIN_PATHS], 0), (PLAIN_HOSTS, bad_paths, 1), (PLAIN_HOSTS, [*good_paths, *PLAIN_PATHS], 0)]
     rows = sorted({(s + h, p, y) for hosts, paths, y in pairs for i, h in enumerate(hosts) for j, p in enumerate(paths) for s in (SUBDOMAINS[(i + j) % len(SUBDOMAINS)],)})
-    return spark.createDataFrame(rows, "host string, path string, label int")
+    return spark.sql("SELECT * FROM VALUES " + ", ".join(f"('{h}', '{p}', {y})" for h, p, y in rows) + " AS t(host, path, label)")
 
 
 def train(spark: SparkSession, rounds: int = 8, rate: float = 0.5, decay: float = 1e-4, held_out: bool | None = None) -> list[float]:
