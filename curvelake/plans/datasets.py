@@ -1,11 +1,12 @@
 """Registered queries over datasets that are written first: rewrites read back, viewports, footers, layouts, checks and other sources.
 
-Each call writes into a folder of its own below spark.checkpoint.dir (where that is unset, a temporary one): the folder that the driver and the executors share.
+Each call writes into a folder of its own below spark.checkpoint.dir (where that is unset, and Spark runs on this machine alone, a temporary one): the folder that the driver and the executors share.
 """
 
 from __future__ import annotations
 
 import os
+import re
 import sqlite3
 import struct
 import tempfile
@@ -27,6 +28,8 @@ from .validate import validate
 
 def folder(spark: SparkSession) -> str:
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not at and not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     at = urlparse(at).path if at else tempfile.mkdtemp(prefix="curvelake-")
     path = os.path.join(at, f"datasets-{uuid.uuid4().hex}")
     os.makedirs(path)
