@@ -37,7 +37,9 @@ def open_dataset(spark: SparkSession, location: str) -> Dataset:
         raise ValueError("the dataset has no full extent")
     parts = [p for x in paths if (p := formats.partition_of(x, location if os.path.isdir(location) else os.path.dirname(location)))]
     column = f"{parts[0][0]}_order" if parts else None
-    df = spark.read.parquet(location) if os.path.isdir(location) else spark.read.parquet(paths[0])
+    df = footers.reader(spark, paths[0]).parquet(location if os.path.isdir(location) else paths[0])
+    if d.get("encoding") == "native":
+        footers.read_nested_by_row(spark)  # for good: the rows are read when the caller asks for them
     e = d["fullExtent"]
     return Dataset(df, d, json.loads(kv["geo"])["primary_column"], Extent(e["xmin"], e["ymin"], e["xmax"], e["ymax"]), column, sorted({p[1] for p in parts}))
 

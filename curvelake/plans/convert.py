@@ -102,7 +102,7 @@ def open_source(spark: SparkSession, i: InputOptions) -> tuple[DataFrame, footer
         df = geopackage.read(spark, i.source, layer["name"], spark.sparkContext.defaultParallelism)
         return df, footers.SourceMetadata(layer["features"], layer["geometry"], types, None, system, system is not None)
     paths = formats.parquet_files(i.source)
-    return spark.read.parquet(*paths), footers.read(paths)
+    return footers.reader(spark, paths[0]).parquet(*paths), footers.read(paths)
 
 
 @dataclass
@@ -209,7 +209,7 @@ def _write(spark: SparkSession, r: Resolved, meta: footers.SourceMetadata, i: In
     out_cols = [F.col(f"`{c}`") for c in names]
     if o.covering:
         out_cols.append(F.when(F.col(g).isNotNull(), F.struct(*(F.col(f"_{k}").alias(k) for k in ("xmin", "ymin", "xmax", "ymax")))).alias("bbox"))
-    options = sink.FileOptions(o.compression, o.row_group_size, o.page_size, o.encoding == "native")
+    options = sink.FileOptions(o.compression, o.row_group_size, o.page_size, o.encoding == "native", (g, o.out_sr) if o.optimized else None)
     pairs = dict(meta.pairs)
     bbox = extent.as_list() if extent else None
     staging = f"{o.path.rstrip('/')}.staging-{uuid.uuid4().hex}"
@@ -264,7 +264,7 @@ def _finish(df, shape, staging, footer, options, partition, o, kind, expected, w
         files = sink.write(df, staging, footer, options, partition)
         if not files:
             name = "part-00000.parquet"
-            sink.empty_file(os.path.join(staging, name), arrow_schema(shape), footer, options)
+            sink.empty_file(os.path.join(staging, name), arrow_schema(shape), footer | sink.native_schema(shape.schema), options)
             files = [(name, 0)]
         sink.commit(staging, files, o.path, kind)
     except BaseException:

@@ -18,9 +18,9 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..functions.curves import Extent, viewport_extents, zoom_resolution
-from ..operators import clustering
+from ..operators import clustering, inspect
 from ..operators import query as Q
-from ..sources import arrow, footers, formats, geopackage
+from ..sources import arrow, footers, formats, geopackage, pages
 from . import convert as V
 from . import registry as R
 from .validate import validate
@@ -196,6 +196,77 @@ def validate_polygons(spark, sf_dir):
     return _checked(spark, rewritten(spark, geometries(spark, sf_dir, "polygons"), 4))
 
 
+# Pages and byte ranges
+
+
+def _paged(spark: SparkSession, sf_dir: str) -> tuple[str, DataFrame]:
+    path = rewritten(spark, geometries(spark, sf_dir, "polygons"), row_group_size=1000, page_size=4096)
+    return path, pages.pages(spark, [path], ["geokey", "geolod.level_0"])
+
+
+@R.query("SELECT count(*) AS n, ceil(count(*) / 1000.0)::BIGINT AS row_groups, 0::BIGINT AS faults, true AS several FROM orders")
+def page_topology(spark, sf_dir):
+    """Rows that the pages of a level hold by the index, row groups, those whose pages can't be used, and whether there are more pages than row groups."""
+    _, p = _paged(spark, sf_dir)
+    level = p.where("column = 'geolod.level_0'")
+    faults = inspect.topology_faults(p, "geolod.level_0").agg(F.count("*").alias("faults"))
+    starts = inspect.topology(p, "geolod.level_0").agg(F.count("*").alias("starts"))
+    # Each side is one row.
+    sums = level.agg(F.sum("rows").alias("n"), F.countDistinct("row_group").alias("row_groups")).join(F.broadcast(faults)).join(F.broadcast(starts))
+    return sums.select("n", "row_groups", "faults", (F.col("starts") > F.col("row_groups")).alias("several"))
+
+
+@R.query("SELECT 7 * i AS row, floor(7 * i / 1000)::INT AS row_group FROM (SELECT unnest(range(0, (SELECT count(*) FROM orders) // 7)) AS i)")
+def row_group_lookup(spark, sf_dir):
+    path, _ = _paged(spark, sf_dir)
+    groups = footers.layout_table(spark, [path]).select("file", "row_group", "first_row", "rows").distinct()
+    n = spark.read.parquet(path).count()
+    rows = spark.range(n // 7).select(F.lit(path).alias("file"), (F.col("id") * 7).alias("row"))
+    return inspect.row_groups_of(rows, groups).select("row", "row_group")
+
+
+@R.query("SELECT true AS whole, true AS dictionary")
+def page_gaps(spark, sf_dir):
+    """Pages and gaps together make up each chunk's bytes; a column with a dictionary has a gap before its first page."""
+    path = rewritten(spark, geometries(spark, sf_dir, "points").select("*", (F.col("id") % 5).cast("string").alias("kind")), row_group_size=1000)
+    p = pages.pages(spark, [path])
+    of_pages = p.groupBy(*inspect.CHUNK).agg(F.sum("compressed").alias("held"), F.first(F.col("chunk_end") - F.col("chunk_start")).alias("all"))
+    of_gaps = inspect.gaps(p).groupBy(*inspect.CHUNK).agg(F.sum(F.col("end") - F.col("start")).alias("gap"))
+    both = of_pages.join(of_gaps, inspect.CHUNK, "left")
+    return both.agg(F.bool_and(F.col("held") + F.coalesce("gap", F.lit(0)) == F.col("all")).alias("whole"), F.bool_and((F.col("column") != "kind") | (F.col("gap") > 0)).alias("dictionary"))
+
+
+@R.query(f"WITH {R.BOXES_SQL} SELECT count(*) AS n, ceil(count(*) / 1000.0)::BIGINT AS row_groups, min(xmin)::DOUBLE AS xmin, min(ymin)::DOUBLE AS ymin, max(xmax)::DOUBLE AS xmax, max(ymax)::DOUBLE AS ymax FROM b")
+def native_row_group_bounds(spark, sf_dir):
+    """What the GEOMETRY type's statistics say of the row groups, together."""
+    path = rewritten(spark, geometries(spark, sf_dir, "polygons"), row_group_size=1000)
+    b = pages.native_bounds(spark, [path], "geometry")
+    return b.agg(F.sum("n").alias("n"), F.count("*").alias("row_groups"), F.min("xmin").alias("xmin"), F.min("ymin").alias("ymin"), F.max("xmax").alias("xmax"), F.max("ymax").alias("ymax"))
+
+
+_LOADED = "SELECT (o_orderkey % 5)::VARCHAR AS file, o_orderkey * 10 AS s, o_orderkey * 10 + o_orderkey % 17 AS e FROM orders"
+
+
+@R.query(
+    f"WITH h AS (SELECT DISTINCT file, unnest(range(s, e)) AS byte FROM ({_LOADED})), q AS (SELECT o_orderkey AS id, (o_orderkey % 5)::VARCHAR AS file, o_orderkey * 9 AS s, o_orderkey * 9 + o_orderkey % 90 AS e FROM orders), "
+    "w AS (SELECT id, file, unnest(range(s, e)) AS byte FROM q), c AS (SELECT id, count(*) AS covered FROM w JOIN h USING (file, byte) GROUP BY id) "
+    "SELECT id, coalesce(covered, 0) AS covered, CASE WHEN e > s THEN coalesce(covered, 0) / (e - s)::DOUBLE ELSE 0.0 END AS fraction FROM q LEFT JOIN c USING (id)"
+)
+def byte_coverage(spark, sf_dir):
+    """How much of each range of bytes the loaded ranges of its file hold."""
+    o, key = R.table(spark, sf_dir, "orders"), F.col("o_orderkey")
+    file = (key % 5).cast("string").alias("file")
+    loaded = o.select(file, (key * 10).alias("start"), (key * 10 + key % 17).alias("end"))
+    asked = o.select(key.alias("id"), file, (key * 9).alias("start"), (key * 9 + key % 90).alias("end"))
+    return inspect.coverage(asked, loaded).select("id", "covered", "fraction")
+
+
+@R.query("SELECT o_orderkey AS id, o_totalprice AS bytes FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 25")
+def largest_first(spark, sf_dir):
+    """The 25 largest, as an inspector lists them."""
+    return inspect.largest(R.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_totalprice").alias("bytes")), "bytes", 25, "id")
+
+
 # Other sources
 
 

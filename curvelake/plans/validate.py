@@ -21,7 +21,7 @@ from ..functions import lod as L
 from ..functions import wkb as W
 from ..functions.curves import Extent
 from ..operators import clustering
-from ..sources import footers, formats
+from ..sources import footers, formats, pages
 
 #: Ids of the rules, here and below; these only warn.
 WARNINGS = {"SOP-META-006", "SOP-PARQUET-002", "SOP-GEOMETRY-006", "SOP-PBF-003", "SOP-PBF-004", "SOP-RANGE-001"}
@@ -119,11 +119,12 @@ def _metadata(r: Report, path: str, name: str, meta) -> tuple[dict, dict] | None
     kv = footers.key_values(meta)
     add = lambda rule, text: r.add(rule, text, name)
     parsed: dict[str, dict] = {}
+    twice = pages.repeated_keys(path)
     for key in ("geo", "geodisplay"):
         if key not in kv:
             add("SOP-META-001", f"footer has no {key}")
             continue
-        if list((meta.metadata or {}).keys()).count(key.encode()) > 1:
+        if key in twice:
             add("SOP-META-002", f"footer has {key} more than once")
         try:
             parsed[key] = json.loads(kv[key])
@@ -293,7 +294,7 @@ def _data(r: Report, spark: SparkSession, files: list[_File], mode: str) -> None
     f = files[0]
     d = f.display
     names = {x.path: x.name for x in files}
-    df = spark.read.option("recursiveFileLookup", "true").parquet(*[x.path for x in files])
+    df = footers.reader(spark, f.path).option("recursiveFileLookup", "true").parquet(*[x.path for x in files])
     file = F.regexp_replace(F.col("_metadata.file_path"), "^file:(//)?", "")
     code = F.col(_name(d["code"])).cast("decimal(20,0)" if d.get("coordinatePrecision") == 32 else "long")
     df = df.select("*", F.element_at(F.create_map(*[F.lit(x) for p, n in names.items() for x in (p, n)]), file).alias("_file"), F.col("_metadata.row_index").alias("_row"), code.alias("_code"))
@@ -332,6 +333,8 @@ def _data(r: Report, spark: SparkSession, files: list[_File], mode: str) -> None
         for c in differs[1:]:
             differs[0] = differs[0] | c
         _collect(r, p.where(differs[0]), "SOP-Z-003", "coordinate columns differ from the geometry")
+        number = [F.coalesce(F.abs(F.col(_name(d[k]))) < math.inf, F.lit(False)) for k in ("xColumn", "yColumn")]
+        _collect(r, seen.where("_i.extent is null and not _i.mixed").where(number[0] & number[1]), "SOP-Z-003", "coordinates are finite beside a geometry without any")
         want = C.z_code(F.col("_p.x"), F.col("_p.y"), extent, d["coordinatePrecision"])
         _collect(r, p.where(~F.col("_code").eqNullSafe(want.cast(p.schema["_code"].dataType))), "SOP-Z-004", "the code isn't that of the coordinates")
         return
@@ -340,9 +343,12 @@ def _data(r: Report, spark: SparkSession, files: list[_File], mode: str) -> None
     if f.geo["columns"][f.geometry].get("covering"):
         bad = determinate.where(~(F.col("bbox.xmin").eqNullSafe(x0) & F.col("bbox.ymin").eqNullSafe(y0) & F.col("bbox.xmax").eqNullSafe(x1) & F.col("bbox.ymax").eqNullSafe(y1)))
         _collect(r, bad, "SOP-EXTENT-001", "the covering box isn't that of the geometry")
+    rows = df if mode == "full" else df.where(F.col("_row") < SAMPLE_PAYLOADS)
+    if d["encoding"] == "native":
+        for x in d["levels"]:
+            _collect(r, rows.where(g.isNull() != F.col(_name(x["column"])).isNull()), "SOP-XZ-001", f"the level is null where the geometry isn't, or the other way round ({_name(x['column'])})", 10)
     if d["encoding"] != "esriPBF" or not d["levels"]:
         return
-    rows = df if mode == "full" else df.where(F.col("_row") < SAMPLE_PAYLOADS)
     for x in d["levels"]:
         bad = rows.withColumn("_bad", _payload_check(family, x["resolution"], has_z, has_m)(g, F.col(_name(x["column"])))).where("_bad <> ''")
         for rule, message in (("SOP-PBF-001", "the payload doesn't decode to vertices of the geometry"), ("SOP-PBF-002", "the payload is empty"), ("SOP-PBF-003", "a payload's ring turns the wrong way")):
@@ -407,7 +413,13 @@ def validate(spark: SparkSession, location: str, mode: str = "sample") -> Report
         if _structure(r, f, meta):
             files.append(f)
     if files:
-        _data(r, spark, files, mode)
+        native = files[0].display.get("encoding") == "native"
+        was = footers.read_nested_by_row(spark) if native else None
+        try:
+            _data(r, spark, files, mode)
+        finally:
+            if native:
+                spark.conf.set("spark.sql.parquet.enableNestedColumnVectorizedReader", was)
         _ranges(r, spark, files)
     return r
 

@@ -6,6 +6,7 @@ lost executors and retries leave nothing behind. The destination must be a folde
 
 from __future__ import annotations
 
+import json
 import os
 import shutil
 import uuid
@@ -14,6 +15,9 @@ from dataclasses import dataclass
 import pyarrow as pa
 import pyarrow.parquet as pq
 from pyspark.sql import DataFrame
+from pyspark.sql.types import StructType
+
+from ..sources.footers import NATIVE_KEY
 
 CODECS = {"snappy": "snappy", "gzip": "gzip", "brotli": "brotli", "lz4": "lz4", "lz4_raw": "lz4", "zstd": "zstd", "uncompressed": "none"}
 ROW_GROUP = 131_072
@@ -25,6 +29,37 @@ class FileOptions:
     row_group_size: int = ROW_GROUP
     page_size: int | None = None
     native: bool = False
+    #: the geometry column and its EPSG code, written with the GEOMETRY logical type.
+    geometry: tuple[str, int] | None = None
+
+
+class Wkb(pa.ExtensionType):
+    """What makes the Parquet writer give a binary column the GEOMETRY type and its row groups bounds. It is registered nowhere: readers see the binary."""
+
+    def __init__(self, wkid: int = 4326) -> None:
+        self.wkid = wkid
+        super().__init__(pa.binary(), "geoarrow.wkb")
+
+    def __arrow_ext_serialize__(self) -> bytes:
+        return json.dumps({"crs": f"srid:{self.wkid}"}).encode()
+
+    @classmethod
+    def __arrow_ext_deserialize__(cls, storage, serialized):
+        return cls(int(json.loads(serialized)["crs"].removeprefix("srid:")))
+
+
+def annotated(t: pa.Table, o: FileOptions) -> pa.Table:
+    if not o.geometry:
+        return t
+    name, wkid = o.geometry
+    at, kind = t.schema.get_field_index(name), Wkb(wkid)
+    chunks = [pa.ExtensionArray.from_storage(kind, c.cast(pa.binary())) for c in t.column(at).chunks]
+    return t.set_column(at, pa.field(name, kind), pa.chunked_array(chunks, kind))
+
+
+def native_schema(schema: StructType) -> dict[str, str]:
+    """The entry by which Spark knows the columns: without it, Spark refuses a file with the GEOMETRY type."""
+    return {NATIVE_KEY: schema.json()}
 
 
 def check_codec(name: str) -> str:
@@ -59,6 +94,7 @@ def _leaf_paths(field: pa.Field, prefix: str = "") -> list[tuple[str, pa.DataTyp
 
 
 def open_writer(path: str, schema: pa.Schema, o: FileOptions) -> pq.ParquetWriter:
+    schema = annotated(schema.empty_table(), o).schema
     leaves = [x for f in schema for x in _leaf_paths(f)]
     split = [n for n, t in leaves if o.native and n.startswith("geolod.") and pa.types.is_float64(t)]
     more = {"data_page_size": o.page_size, "write_batch_size": 1} if o.page_size else {}
@@ -71,6 +107,9 @@ def open_writer(path: str, schema: pa.Schema, o: FileOptions) -> pq.ParquetWrite
 def write(df: DataFrame, staging: str, metadata: dict[str, str], options: FileOptions, partition: str | None = None) -> list[tuple[str, int]]:
     """Writes df's partitions as they are, rows in their order; a new file at each new value of the partition column, which isn't stored. Returns relative paths and rows."""
 
+    kept = df.drop(partition).schema if partition else df.schema
+    metadata = metadata | native_schema(kept)
+
     def run(batches):
         writer, value, path, rows, waiting, size = None, None, None, 0, [], 0
 
@@ -79,7 +118,7 @@ def write(df: DataFrame, staging: str, metadata: dict[str, str], options: FileOp
             if waiting and (all_ or size >= options.row_group_size):
                 t = pa.Table.from_batches(waiting)
                 whole = len(t) if all_ else len(t) // options.row_group_size * options.row_group_size
-                writer.write_table(t.slice(0, whole), row_group_size=options.row_group_size)
+                writer.write_table(annotated(t.slice(0, whole), options), row_group_size=options.row_group_size)
                 rest = t.slice(whole)
                 waiting, size = rest.to_batches(), len(rest)
 

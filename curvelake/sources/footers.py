@@ -6,6 +6,7 @@ import json
 from dataclasses import dataclass, field
 from functools import reduce
 
+import pyarrow as pa
 import pyarrow.parquet as pq
 
 RESERVED = {"geo", "geodisplay", "ARROW:schema"}
@@ -107,6 +108,37 @@ def read(paths: list[str]) -> SourceMetadata:
     return reduce(_merge, map(_one, paths))[1]
 
 
+def _spark_type(t: pa.DataType) -> pa.DataType:
+    """The type as Spark's Parquet reader gives it: unsigned numbers take the next wider one."""
+    wider = {pa.uint8(): pa.int16(), pa.uint16(): pa.int32(), pa.uint32(): pa.int64(), pa.uint64(): pa.decimal128(20, 0)}
+    if pa.types.is_struct(t):
+        return pa.struct([pa.field(f.name, _spark_type(f.type), f.nullable) for f in t])
+    if pa.types.is_list(t):
+        return pa.list_(_spark_type(t.value_type))
+    return wider.get(t, t)
+
+
+def read_nested_by_row(spark) -> str:
+    """Native levels are stored by split bytes, which Spark reads by row but not in nested batches: this turns such batches off for the session and returns what was set."""
+    key = "spark.sql.parquet.enableNestedColumnVectorizedReader"
+    was = spark.conf.get(key)
+    spark.conf.set(key, "false")
+    return was
+
+
+def reader(spark, path: str):
+    """A reader for files like this one. Spark knows no GEOMETRY type in Parquet: where a file has one and doesn't say Spark's schema, its columns are named to the reader."""
+    from pyspark.sql.pandas.types import from_arrow_schema
+
+    meta = pq.read_metadata(path)
+    kinds = [str(meta.schema.column(i).logical_type) for i in range(len(meta.schema))]
+    if NATIVE_KEY in key_values(meta) or not any(k.startswith(("Geometry", "Geography")) for k in kinds):
+        return spark.read
+    schema = pq.read_schema(path).remove_metadata()
+    plain = [pa.field(f.name, _spark_type(f.type.storage_type if isinstance(f.type, pa.BaseExtensionType) else f.type)) for f in schema]
+    return spark.read.schema(from_arrow_schema(pa.schema(plain)))
+
+
 def layout(paths: list[str]) -> list[dict]:
     """One row for each column chunk of each row group: its place, sizes and statistics."""
     out = []

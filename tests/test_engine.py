@@ -16,11 +16,11 @@ from curvelake import cli
 from curvelake.functions import columns as C
 from curvelake.functions import wkb as W
 from curvelake.functions.curves import Extent
-from curvelake.operators import analytics, query, viewport
+from curvelake.operators import analytics, inspect, query, viewport
 from curvelake.plans import convert as V
 from curvelake.plans import registry, validate
 from curvelake.sinks import parquet as sink
-from curvelake.sources import arrow, footers, formats, geopackage
+from curvelake.sources import arrow, footers, formats, geopackage, pages
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -320,3 +320,88 @@ def test_viewport_says_that_the_feature_limit_was_met(spark, tmp_path, monkeypat
         monkeypatch.setattr(viewport, "FEATURE_LIMIT", limit)
         rows, limited = query.viewport(spark, out, world, 14, limit)
         assert (rows.count(), limited) == (min(n, limit), flag)
+
+
+def test_geometry_type_and_native_bounds(spark, tmp_path):
+    out = str(tmp_path / "a.parquet")
+    rewrite(spark, shapes(), "polygon", out, row_group_size=100, out_sr=4326)
+    meta = pq.read_metadata(out)
+    assert str(meta.schema.column(1).logical_type) == "Geometry(crs=srid:4326)" and pq.read_schema(out).field("geometry").type == pa.binary()
+    got = pages.native_bounds(spark, [out], "geometry").orderBy("row_group").collect()
+    assert [r["n"] for r in got] == [100, 100, 100]
+    first = spark.read.parquet(out).select("_metadata.row_index", C.bounds("geometry").alias("b")).where("row_index < 100").agg(F.min("b.xmin"), F.max("b.ymax")).first()
+    assert (got[0]["xmin"], got[0]["ymax"]) == tuple(first)
+    # A file of another writer doesn't say Spark's schema: unsigned keys become decimals, as without the type.
+    t = pq.read_table(out, partitioning=None)
+    t = t.set_column(t.schema.names.index("geokey"), "geokey", t["geokey"].cast(pa.uint64()))
+    other = str(tmp_path / "b.parquet")
+    kind = sink.FileOptions(geometry=("geometry", 4326))
+    with sink.open_writer(other, t.schema, kind) as w:
+        w.write_table(sink.annotated(t, kind))
+        w.add_key_value_metadata({k: v for k, v in footers.key_values(meta).items() if not k.startswith("org.apache")})
+    assert dict(query.open_dataset(spark, other).df.dtypes)["geokey"] == "decimal(20,0)"
+    world = (-180.0, -90.0, 180.0, 90.0)
+    assert query.viewport(spark, other, world, 14)[0].count() == query.viewport(spark, out, world, 14)[0].count() > 0
+    assert validate.validate(spark, other).findings == []
+    assert V.convert(spark, V.InputOptions(other), V.OutputOptions(str(tmp_path / "c.parquet"))).rows_written == 300
+    assert pages.native_bounds(spark, [str(tmp_path / "c.parquet")], "u").count() == 0
+
+
+def test_repeated_keys(spark, tmp_path):
+    out, twice = str(tmp_path / "a.parquet"), str(tmp_path / "b.parquet")
+    rewrite(spark, shapes(60), "polygon", out)
+    assert pages.repeated_keys(out) == set() and pages.footer(out)[3] == 60
+    data = open(out, "rb").read()
+    # Another key of the same length as geodisplay, written beside it, takes its name.
+    t = pq.read_table(out, partitioning=None)
+    with sink.open_writer(twice, t.schema, sink.FileOptions()) as w:
+        w.write_table(t)
+        w.add_key_value_metadata(footers.key_values(pq.read_metadata(out)) | {"geodisplaX": "{}"})
+    data = open(twice, "rb").read()
+    open(twice, "wb").write(data.replace(b"geodisplaX", b"geodisplay"))
+    assert pages.repeated_keys(twice) == {"geodisplay"}
+    assert "SOP-META-002" in validate.validate(spark, twice).rules()
+    open(twice, "wb").write(b"PAR1")
+    with pytest.raises(ValueError, match="no Parquet file"):
+        pages.footer(twice)
+
+
+def test_native_levels_and_indeterminate_points(spark, tmp_path):
+    out, bad = str(tmp_path / "a.parquet"), str(tmp_path / "b.parquet")
+    rewrite(spark, shapes(), "polygon", out, encoding="native")
+    assert validate.validate(spark, out, "full").findings == []
+    shown = query.viewport(spark, out, (-180.0, -90.0, 180.0, 90.0), 14)[0].collect()
+    assert len(shown) > 250 and all(W.decode(r["wkb"]).kind == 3 for r in shown if "wkb" in r.asDict())
+    changed(out, bad, {"geometry": lambda c: pa.chunked_array([[v if i != 5 else None for i, v in enumerate(c.to_pylist())]], pa.binary())})
+    assert "SOP-XZ-001" in validate.validate(spark, bad, "full").rules()
+    points, none = str(tmp_path / "p.parquet"), W.encode(W.Geometry(1, False, False, np.array([[np.nan, np.nan]]), [1]))
+    rewrite(spark, shapes(family="point"), "point", points)
+    assert validate.validate(spark, points, "full").findings == []
+    changed(points, bad, {"geometry": lambda c: pa.chunked_array([[none if i == 3 else v for i, v in enumerate(c.to_pylist())]], pa.binary())})
+    assert "SOP-Z-003" in validate.validate(spark, bad, "full").rules()
+
+
+def test_page_operators(spark, tmp_path):
+    out = str(tmp_path / "a.parquet")
+    rewrite(spark, shapes(), "polygon", out, encoding="native", row_group_size=100, page_size=512)
+    p = pages.pages(spark, [out])
+    assert p.where("page is null").count() == 0 and p.where("repeated").select("column").distinct().count() == 18
+    key = p.where("column = 'geokey'").orderBy("first_row").collect()
+    assert sum(r["rows"] for r in key) == 300 and int.from_bytes(key[0]["minimum"], "little") == 0 and key[0]["nulls"] == 0
+    for column in ("geokey", "geolod.level_0.list.element.list.element.x"):
+        assert inspect.topology_faults(p, column).count() == 0 and inspect.topology(p, column).count() >= 3
+    shifted = p.where("column = 'geokey'").withColumn("first_row", F.when(F.col("row_group") == 1, F.col("first_row") + 1).otherwise(F.col("first_row")))
+    assert [r["row_group"] for r in inspect.topology_faults(shifted, "geokey").collect()] == [1]
+    none = p.where("column = 'geokey'").withColumn("page", F.lit(None).cast("int")).withColumn("first_row", F.lit(None).cast("long"))
+    assert {r["fault"] for r in inspect.topology_faults(none, "geokey").collect()} == {"no page offsets"}
+    table = spark.createDataFrame([("f", 0, 0, 10), ("f", 1, 10, 5), ("g", 0, 0, 3)], "file string, row_group int, first_row long, rows long")
+    rows = spark.createDataFrame([("f", 0, "a"), ("f", 9, "b"), ("f", 10, "c"), ("f", 15, "d"), ("g", 2, "e"), ("h", 0, "f"), ("f", 9, "b")], "file string, row long, t string")
+    assert sorted((r["t"], r["row_group"]) for r in inspect.row_groups_of(rows, table).collect()) == [("a", 0), ("b", 0), ("b", 0), ("c", 1), ("d", None), ("e", 0), ("f", None)]
+    loaded = spark.createDataFrame([("f", 0, 5), ("f", 5, 8), ("f", 20, 30), ("f", 22, 25), ("f", 40, 40)], "file string, start long, end long")
+    assert sorted(map(tuple, inspect.merged(loaded).collect())) == [("f", 0, 8), ("f", 20, 30)]
+    asked = spark.createDataFrame([("f", 4, 24), ("f", 9, 9), ("f", 8, 20), ("g", 0, 4), ("f", -5, 100)], "file string, start long, end long")
+    assert {(r["file"], r["start"]): (r["covered"], r["fraction"]) for r in inspect.coverage(asked, loaded).collect()} == {("f", 4): (8, 0.4), ("f", 9): (0, 0.0), ("f", 8): (0, 0.0), ("g", 0): (0, 0.0), ("f", -5): (18, 18 / 105)}
+    assert inspect.overlapping(loaded, 8, 21).count() == 1 and inspect.coverage(asked, loaded.limit(0)).agg(F.sum("covered")).first()[0] == 0
+    display = [json.loads(footers.key_values(pq.read_metadata(out))["geodisplay"])]
+    assert inspect.common_levels(display) == [0, 2, 4, 6, 8, 10, 12, 14, 16] and inspect.common_levels([]) == []
+    assert inspect.common_levels([*display, display[0] | {"levels": display[0]["levels"][1:3]}]) == [2, 4]
