@@ -115,6 +115,14 @@ def point_parts(geometry: str | Column, dims: tuple[bool, bool] | None = None) -
                 raise ValueError("point WKB dimensions do not match GeoParquet metadata")
             return W.point(data)
 
+        some = B.simple(g.drop_null().to_pylist())
+        if some and some.kind == 1 and (dims is None or dims == (some.has_z, some.has_m)):
+            there = np.flatnonzero(g.is_valid().to_numpy(zero_copy_only=False))
+            out, at = np.full((len(g), 4), np.nan), [0, 1, *([2] if some.has_z else []), *([3] if some.has_m else [])]
+            out[np.ix_(there, at)] = some.coords
+            null = np.ones((len(g), 4), bool)
+            null[np.ix_(there, at)] = False
+            return pa.StructArray.from_arrays([pa.array(out[:, i].copy(), mask=null[:, i].copy()) for i in range(4)], list("xyzm"))
         rows = [r or (None,) * 4 for r in _mapped(g, one)]
         return pa.array([dict(zip("xyzm", r)) for r in rows], pa.struct([(k, pa.float64()) for k in "xyzm"]))
 
@@ -133,6 +141,10 @@ def _header(g: pa.Array) -> pa.Array:
         k, z, m = W.header(data)
         return {"type": W.NAMES[k], "has_z": z, "has_m": m}
 
+    some = B.simple(g.drop_null().to_pylist())
+    if some:
+        null, n = g.is_null(), len(g)
+        return pa.StructArray.from_arrays([pa.array(np.full(n, v)) for v in (W.NAMES[some.kind], some.has_z, some.has_m)], ["type", "has_z", "has_m"], mask=null)
     return pa.array(_mapped(g, one), pa.struct([("type", pa.string()), ("has_z", pa.bool_()), ("has_m", pa.bool_())]))
 
 
@@ -282,6 +294,11 @@ def lod_struct(geometry: str | Column, family: str, wkid: int = 4326, encoding:
                 for k, v in B.pbf_levels(g.slice(s, 2000).to_pylist(), family, stored).items():
                     parts[k] += v
             return pa.StructArray.from_arrays([pa.array(v, pa.binary()) for v in parts.values()], list(parts))
+        if not has_z and not has_m and family in ("polyline", "polygon") and (encoding == "native" or B.simple(g.drop_null().to_pylist())):
+            f = B.flat_of(g.to_pylist(), family)
+            if encoding == "native":
+                return pa.StructArray.from_arrays([B.native_level(f, x.resolution, family).cast(arrow.field(x.column).type) for x in stored], [x.column for x in stored])
+            return pa.StructArray.from_arrays([pa.array(B.wkb_level(f, x.resolution, family), pa.binary()) for x in stored], [x.column for x in stored])
 
         def one(data: bytes):
             geo = W.decode(data)
@@ -305,6 +322,14 @@ def lod_decode(payload: str | Column, family: str, resolution: float, stride: in
 
     @arrow_udf("struct<wkb:binary,xmin:double,ymin:double,xmax:double,ymax:double>")
     def shown(p: pa.Array) -> pa.Array:
+        if family == "polygon" and stride == 2:
+            q = B.pbf_decode(p.drop_null().to_pylist())
+            if q is not None and (rings := B.shown_rings(q, resolution)):
+                there = p.is_valid().to_numpy(zero_copy_only=False)
+                wkb, box = pa.array(rings[0], pa.binary()), rings[1]
+                out = pa.StructArray.from_arrays([wkb, *(pa.array(box[:, i].copy()) for i in range(4))], ["wkb", "xmin", "ymin", "xmax", "ymax"], mask=wkb.is_null())
+                return out.take(pa.array(np.cumsum(there) - 1, mask=~there))
+
         def one(data: bytes):
             g = L.decoded(data, family, resolution, stride=stride)
             if g is None:
@@ -323,6 +348,11 @@ def _pbf(p: pa.Array) -> pa.Array:
         q = L.pbf_decode(data)
         return {"lengths": q.lengths, "coords": q.grid.ravel().tolist()}
 
+    q = None if p.null_count else B.pbf_decode(p.to_pylist())
+    if q is not None:
+        parts, ends = np.append(0, np.cumsum(q.parts)), np.append(0, np.cumsum(q.sizes))
+        lengths = pa.ListArray.from_arrays(pa.array(parts, pa.int32()), pa.array(q.sizes, pa.int32()))
+        return pa.StructArray.from_arrays([lengths, pa.ListArray.from_arrays(pa.array(ends[parts] * 2, pa.int32()), pa.array(q.grid.ravel()))], ["lengths", "coords"])
     return pa.array(_mapped(p, one), pa.struct([("lengths", pa.list_(pa.int32())), ("coords", pa.list_(pa.int64()))]))
 
 
@@ -341,6 +371,10 @@ def vertex_counts(geometry: str | Column, resolution: float, has_z: bool = False
 
     @arrow_udf(T.IntegerType())
     def counts(g: pa.Array) -> pa.Array:
+        if not has_z and not g.null_count:
+            f = B.decode(g.to_pylist())
+            if len(f.families) == 1:
+                return pa.array(B.vertex_counts(f, resolution, *f.families), pa.int32())
         return pa.array(_mapped(g, lambda d: len(L.quantize(W.decode(d), resolution, has_z=has_z).grid)), pa.int32())
 
     return counts(_col(geometry))
@@ -365,6 +399,24 @@ INSPECTION = T.StructType(
 )
 
 
+def _inspected(g: pa.Array, s: B.Simple, ring: pa.DataType) -> pa.Array:
+    """The inspection of a batch of simple geometries, column by column."""
+    got, null = B.inspect(s), g.is_null()
+    there = g.is_valid().to_numpy(zero_copy_only=False)
+    place = pa.array(np.cumsum(there) - 1, mask=~there)
+    extents = np.concatenate([got["low"], got["high"]], axis=1)
+    n, polygon = len(s.sizes), s.kind == 3
+    each = np.arange(n + 1) if polygon else np.zeros(n + 1, int)
+    rings = [pa.array(got[k] if polygon else np.zeros(0, t)) for k, t in (("closed", bool), ("area", float), ("degenerate", bool))]
+    columns = {
+        "type": pa.array(np.full(n, W.NAMES[s.kind])), "family": pa.array(np.full(n, W.FAMILY[s.kind])), "has_z": pa.array(np.full(n, s.has_z)), "has_m": pa.array(np.full(n, s.has_m)),
+        "extent": pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * 4, pa.int32()), pa.array(extents.ravel()), mask=pa.array(~got["some"])), "mixed": pa.array(got["mixed"]),
+        "rings": pa.ListArray.from_arrays(pa.array(each, pa.int32()), pa.StructArray.from_arrays(rings, fields=list(ring))),
+        "ring_counts": pa.ListArray.from_arrays(pa.array(each, pa.int32()), pa.array(np.ones(n * polygon), pa.int32())), "error": pa.nulls(n, pa.string()),
+    }
+    return pa.StructArray.from_arrays([c.take(place) for c in columns.values()], list(columns), mask=null)
+
+
 @arrow_udf(INSPECTION)
 def _inspect(g: pa.Array) -> pa.Array:
     def one(data: bytes):
@@ -374,6 +426,9 @@ def _inspect(g: pa.Array) -> pa.Array:
             return {"error": str(e)}
 
     ring = pa.struct([("closed", pa.bool_()), ("area", pa.float64()), ("degenerate", pa.bool_())])
+    some = B.simple(g.drop_null().to_pylist())
+    if some:
+        return _inspected(g, some, ring)
     kind = pa.struct([("type", pa.string()), ("family", pa.string()), ("has_z", pa.bool_()), ("has_m", pa.bool_()), ("extent", pa.list_(pa.float64())), ("mixed", pa.bool_()), ("rings", pa.list_(ring)), ("ring_counts", pa.list_(pa.int32())), ("error", pa.string())])
     return pa.array(_mapped(g, one), kind)
 

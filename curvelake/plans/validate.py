@@ -1,7 +1,7 @@
 """Validation of clustered files: the rules of the catalogue, over footers on the driver and over rows in Spark.
 
-Rows are checked where they are: order by a window over each file's row numbers, keys and payloads by recomputing. The sampled mode looks at the geometries of the first rows of each file and
-at all rows' keys; mode="full" checks every geometry.
+Rows are checked where they are: order by a window over each file's row numbers, everything else in one pass that recomputes keys and payloads. The sampled mode looks at the first four
+geometries of each file, at all whose code is null or whose coordinate columns aren't finite, at all where the dataset has no full extent, and at the payloads of the first 512 rows; mode="full" checks every geometry.
 """
 
 from __future__ import annotations
@@ -10,12 +10,14 @@ import json
 import math
 from dataclasses import dataclass, field
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
+from ..functions import batch as B
 from ..functions import columns as C
 from ..functions import lod as L
 from ..functions import wkb as W
@@ -83,6 +85,7 @@ class _File:
     geo: dict
     display: dict
     partition: tuple[str, int] | None
+    rows: int = 0
 
     @property
     def kind(self) -> str:
@@ -250,6 +253,26 @@ def _collect(r: Report, df: DataFrame, rule: str, message: str, most: int = 100)
         r.add(rule, f"{message} (more than {most} rows)", rows[0]["_file"])
 
 
+def _found(r: Report, df: DataFrame, faults: list[tuple[str, str, Column, int]]) -> None:
+    """All faults (rule, message, test, how many are listed) in one pass over the rows: of each the first by file and row, and whether there are more. Each task passes on only as many as are listed."""
+    marks = F.filter(F.array(*(F.when(test, F.lit(k)) for k, (_, _, test, _) in enumerate(faults))), lambda x: x.isNotNull())
+    first = Window.partitionBy("_k").orderBy("_file", "_row")
+    most = max(n for _, _, _, n in faults)
+    rows = df.select("_file", "_row", F.explode(marks).alias("_k")).withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= most + 1).orderBy("_k", "_n").collect()
+    for x in rows:
+        rule, message, _, n = faults[x["_k"]]
+        if x["_n"] <= n:
+            r.add(rule, message, x["_file"], x["_row"])
+        elif x["_n"] == n + 1:
+            r.add(rule, f"{message} (more than {n} rows)", x["_file"])
+
+
+def _sample_ends(rows: DataFrame) -> DataFrame:
+    """For each file the row of its fourth geometry, or of its last where there are fewer."""
+    n = F.row_number().over(Window.partitionBy("_file").orderBy("_row"))
+    return rows.withColumn("_n", n).where(F.col("_n") <= SAMPLE_GEOMETRIES).groupBy("_file").agg(F.max("_row").alias("_end"))
+
+
 def _payload_check(family: str, resolution: float, has_z: bool, has_m: bool):
     """geometry, payload -> "", or the rule that the payload breaks."""
     stride = 2 + has_z + has_m
@@ -285,7 +308,10 @@ def _payload_check(family: str, resolution: float, has_z: bool, has_m: bool):
 
     @arrow_udf("string")
     def check(g: pa.Array, p: pa.Array) -> pa.Array:
-        return pa.array([one(a, b) for a, b in zip(g.to_pylist(), p.to_pylist())], pa.string())
+        rows, payloads = g.to_pylist(), p.to_pylist()
+        if stride == 2 and not g.null_count and not p.null_count and (s := B.simple(rows)) and s.coords.shape[1] == 2 and s.kind != 1 and (q := B.pbf_decode(payloads)):
+            return pa.array(np.array(["", "SOP-PBF-001", "", "SOP-PBF-003"])[B.payload_faults(s, q, resolution, family)])
+        return pa.array([one(a, b) for a, b in zip(rows, payloads)], pa.string())
 
     return check
 
@@ -293,69 +319,78 @@ def _payload_check(family: str, resolution: float, has_z: bool, has_m: bool):
 def _data(r: Report, spark: SparkSession, files: list[_File], mode: str) -> None:
     f = files[0]
     d = f.display
-    names = {x.path: x.name for x in files}
+    names = spark.createDataFrame([(x.path, x.name) for x in files], "_path string, _file string")
     df = footers.reader(spark, f.path).option("recursiveFileLookup", "true").parquet(*[x.path for x in files])
-    file = F.regexp_replace(F.col("_metadata.file_path"), "^file:(//)?", "")
     code = F.col(_name(d["code"])).cast("decimal(20,0)" if d.get("coordinatePrecision") == 32 else "long")
-    df = df.select("*", F.element_at(F.create_map(*[F.lit(x) for p, n in names.items() for x in (p, n)]), file).alias("_file"), F.col("_metadata.row_index").alias("_row"), code.alias("_code"))
+    df = df.select("*", F.regexp_replace(F.col("_metadata.file_path"), "^file:(//)?", "").alias("_path"), F.col("_metadata.row_index").alias("_row"), code.alias("_code"))
+    # The driver has listed the files: their table is no larger than that list.
+    df = df.join(F.broadcast(names), "_path").drop("_path")
     g = F.col(f.geometry)
-    r.rows = df.count()
+    r.rows = sum(x.rows for x in files)
     rule = "SOP-Z-002" if f.kind == "z" else "SOP-XZ-003"
     _collect(r, clustering.order_violations(df.where(F.col("_code").isNotNull()).select("_file", "_row", "_code"), "_code", ["_file"], "_row"), rule, "the code is below the one before")
     extent = Extent(*(d["fullExtent"][k] for k in ("xmin", "ymin", "xmax", "ymax"))) if "fullExtent" in d else None
-    some = df.where(g.isNotNull())
-    if mode != "full":
-        w = Window.partitionBy("_file").orderBy("_row")
-        first = some.where(F.col("_row") < SAMPLE_PAYLOADS).withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= SAMPLE_GEOMETRIES)
-        odd = some.where(F.col("_code").isNull() & (F.col("_row") >= SAMPLE_PAYLOADS))
-        sampled = first.drop("_n").unionByName(odd)
-    else:
-        sampled = some
-    seen = sampled.withColumn("_i", C.inspect(g))
-    _collect(r, seen.where("_i.error is not null"), "SOP-GEOMETRY-001", "the geometry can't be read")
-    seen = seen.where("_i.error is null")
+    number = [F.coalesce(F.abs(F.col(_name(d[k]))) < math.inf, F.lit(False)) for k in ("xColumn", "yColumn")] if f.kind == "z" else []
+    some = g.isNotNull()
+    if mode != "full" and extent is not None:
+        df = df.join(F.broadcast(_sample_ends(df.where(some).select("_file", "_row"))), "_file", "left")
+        odd = F.col("_code").isNull()
+        for n in number:
+            odd = odd | ~n
+        some = some & (odd | F.coalesce(F.col("_row") <= F.col("_end"), F.lit(False)))
+    early = F.lit(True) if mode == "full" else F.col("_row") < SAMPLE_PAYLOADS
+    df = df.withColumn("_seen", some).where(F.col("_seen") | early)
+    # Geometries that aren't looked at, and those that can't be read, have nulls or an error here, which no further test takes for a fault.
+    df = df.withColumn("_i", C.inspect(F.when(F.col("_seen"), g)))
     family, has_z, has_m = d["geometryType"], bool(d.get("hasZ")), bool(d.get("hasM"))
-    _collect(r, seen.where(F.col("_i.family") != family), "SOP-GEOMETRY-002", "the geometry is of another family")
-    _collect(r, seen.where((F.col("_i.has_z") != has_z) | (F.col("_i.has_m") != has_m)), "SOP-GEOMETRY-003", "the geometry has other dimensions")
-    _collect(r, seen.where("_i.mixed"), "SOP-GEOMETRY-004", "finite and other coordinates are mixed")
-    _collect(r, seen.where("exists(_i.rings, x -> not x.closed)"), "SOP-GEOMETRY-005", "a ring is not closed")
     wrong = "_i.type = 'Polygon' and exists(transform(_i.rings, (x, i) -> not x.degenerate and ((x.area > 0) != (i = 0))), y -> y)"
-    _collect(r, seen.where(wrong), "SOP-GEOMETRY-006", "a ring turns the wrong way")
-    determinate = seen.where("_i.extent is not null and not _i.mixed")
+    determinate = F.col("_i.extent").isNotNull() & ~F.col("_i.mixed")
+    faults = [
+        ("SOP-GEOMETRY-001", "the geometry can't be read", F.col("_i.error").isNotNull(), 100),
+        ("SOP-GEOMETRY-002", "the geometry is of another family", F.col("_i.family") != family, 100),
+        ("SOP-GEOMETRY-003", "the geometry has other dimensions", (F.col("_i.has_z") != has_z) | (F.col("_i.has_m") != has_m), 100),
+        ("SOP-GEOMETRY-004", "finite and other coordinates are mixed", F.col("_i.mixed"), 100),
+        ("SOP-GEOMETRY-005", "a ring is not closed", F.expr("exists(_i.rings, x -> not x.closed)"), 100),
+        ("SOP-GEOMETRY-006", "a ring turns the wrong way", F.expr(wrong), 100),
+    ]
     if extent is None:
-        _collect(r, determinate, "SOP-EXTENT-001", "fullExtent is missing", 1)
+        _found(r, df, [*faults, ("SOP-EXTENT-001", "fullExtent is missing", determinate, 1)])
         return
     x0, y0, x1, y1 = (F.element_at("_i.extent", k) for k in (1, 2, 3, 4))
     if f.kind == "z":
-        ok = determinate.where(F.col("_i.family") == "point")
-        p = ok.withColumn("_p", C.point_parts(g))
-        differs = [~F.col(_name(d[k])).eqNullSafe(F.col(f"_p.{k[0]}")) for k in ("xColumn", "yColumn", "zColumn", "mColumn") if d.get(k)]
-        for c in differs[1:]:
-            differs[0] = differs[0] | c
-        _collect(r, p.where(differs[0]), "SOP-Z-003", "coordinate columns differ from the geometry")
-        number = [F.coalesce(F.abs(F.col(_name(d[k]))) < math.inf, F.lit(False)) for k in ("xColumn", "yColumn")]
-        _collect(r, seen.where("_i.extent is null and not _i.mixed").where(number[0] & number[1]), "SOP-Z-003", "coordinates are finite beside a geometry without any")
+        df = df.withColumn("_p", C.point_parts(F.when(determinate & (F.col("_i.family") == "point"), g)))
+        point = F.col("_p.x").isNotNull()
+        differs = F.lit(False)
+        for k in ("xColumn", "yColumn", "zColumn", "mColumn"):
+            if d.get(k):
+                differs = differs | ~F.col(_name(d[k])).eqNullSafe(F.col(f"_p.{k[0]}"))
         want = C.z_code(F.col("_p.x"), F.col("_p.y"), extent, d["coordinatePrecision"])
-        _collect(r, p.where(~F.col("_code").eqNullSafe(want.cast(p.schema["_code"].dataType))), "SOP-Z-004", "the code isn't that of the coordinates")
+        faults += [
+            ("SOP-Z-003", "coordinate columns differ from the geometry", point & differs, 100),
+            ("SOP-Z-003", "coordinates are finite beside a geometry without any", F.col("_i.extent").isNull() & ~F.col("_i.mixed") & number[0] & number[1], 100),
+            ("SOP-Z-004", "the code isn't that of the coordinates", point & ~F.col("_code").eqNullSafe(want.cast(df.schema["_code"].dataType)), 100),
+        ]
+        _found(r, df, faults)
         return
-    want = C.xz_code(x0, y0, x1, y1, extent, d["maxLevel"])
-    _collect(r, determinate.withColumn("_want", want).where(~F.col("_code").eqNullSafe(F.col("_want"))), "SOP-XZ-004", "the code isn't that of the geometry's bounds")
+    faults.append(("SOP-XZ-004", "the code isn't that of the geometry's bounds", determinate & ~F.col("_code").eqNullSafe(C.xz_code(x0, y0, x1, y1, extent, d["maxLevel"])), 100))
     if f.geo["columns"][f.geometry].get("covering"):
-        bad = determinate.where(~(F.col("bbox.xmin").eqNullSafe(x0) & F.col("bbox.ymin").eqNullSafe(y0) & F.col("bbox.xmax").eqNullSafe(x1) & F.col("bbox.ymax").eqNullSafe(y1)))
-        _collect(r, bad, "SOP-EXTENT-001", "the covering box isn't that of the geometry")
-    rows = df if mode == "full" else df.where(F.col("_row") < SAMPLE_PAYLOADS)
+        same = F.col("bbox.xmin").eqNullSafe(x0) & F.col("bbox.ymin").eqNullSafe(y0) & F.col("bbox.xmax").eqNullSafe(x1) & F.col("bbox.ymax").eqNullSafe(y1)
+        faults.append(("SOP-EXTENT-001", "the covering box isn't that of the geometry", determinate & ~same, 100))
+    leaves = [_name(x["column"]) for x in d["levels"]]
     if d["encoding"] == "native":
-        for x in d["levels"]:
-            _collect(r, rows.where(g.isNull() != F.col(_name(x["column"])).isNull()), "SOP-XZ-001", f"the level is null where the geometry isn't, or the other way round ({_name(x['column'])})", 10)
-    if d["encoding"] != "esriPBF" or not d["levels"]:
-        return
-    for x in d["levels"]:
-        bad = rows.withColumn("_bad", _payload_check(family, x["resolution"], has_z, has_m)(g, F.col(_name(x["column"])))).where("_bad <> ''")
-        for rule, message in (("SOP-PBF-001", "the payload doesn't decode to vertices of the geometry"), ("SOP-PBF-002", "the payload is empty"), ("SOP-PBF-003", "a payload's ring turns the wrong way")):
-            _collect(r, bad.where(F.col("_bad") == rule), rule, f"{message} ({_name(x['column'])})", 10)
-    firsts = _name(d["levels"][0]["column"])
-    filled = df.where(F.col("_row") < SAMPLE_PAYLOADS).groupBy("_file").agg(F.max((F.octet_length(F.col(firsts)) > 0).cast("int")).alias("some"), F.max("_row").alias("_row"), F.count(g).alias("n"))
-    _collect(r, filled.where("n > 0 and coalesce(some, 0) = 0"), "SOP-PBF-004", "no payload in the first rows")
+        faults += [("SOP-XZ-001", f"the level is null where the geometry isn't, or the other way round ({n})", early & (g.isNull() != F.col(n).isNull()), 10) for n in leaves]
+    if d["encoding"] == "esriPBF":
+        for i, x in enumerate(d["levels"]):
+            # Rows whose payload isn't looked at have neither a geometry nor a payload for the check.
+            df = df.withColumn(f"_bad{i}", _payload_check(family, x["resolution"], has_z, has_m)(F.when(early, g), F.when(early, F.col(leaves[i]))))
+            faults += [
+                (rule, f"{message} ({leaves[i]})", F.col(f"_bad{i}") == rule, 10)
+                for rule, message in (("SOP-PBF-001", "the payload doesn't decode to vertices of the geometry"), ("SOP-PBF-002", "the payload is empty"), ("SOP-PBF-003", "a payload's ring turns the wrong way"))
+            ]
+    _found(r, df, faults)
+    if d["encoding"] == "esriPBF" and leaves:
+        filled = df.where(F.col("_row") < SAMPLE_PAYLOADS).groupBy("_file").agg(F.max((F.octet_length(F.col(leaves[0])) > 0).cast("int")).alias("some"), F.max("_row").alias("_row"), F.count(g).alias("n"))
+        _collect(r, filled.where("n > 0 and coalesce(some, 0) = 0"), "SOP-PBF-004", "no payload in the first rows")
 
 
 def _ranges(r: Report, spark: SparkSession, files: list[_File]) -> None:
@@ -400,7 +435,7 @@ def validate(spark: SparkSession, location: str, mode: str = "sample") -> Report
         got = _metadata(r, path, name, meta)
         if got is None:
             continue
-        f = _File(os.path.abspath(path), name, schema, *got, formats.partition_of(path, root))
+        f = _File(os.path.abspath(path), name, schema, *got, formats.partition_of(path, root), meta.num_rows)
         this = {"kind": f.kind, "schema": [(x.name, str(x.type)) for x in schema], "metadata": (json.dumps(f.geo, sort_keys=True), json.dumps(f.display, sort_keys=True))}
         if first is None:
             first = this
