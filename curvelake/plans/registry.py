@@ -177,8 +177,24 @@ def collinear_merge_counts(spark, sf_dir):
     return event_lines(spark, sf_dir).select("user_id", C.vertex_counts("g", 1 / 1024).alias("n"))
 
 
-@query(None)
+_DP_SQL = f"""WITH RECURSIVE {_LINES_SQL}, p AS MATERIALIZED (SELECT user_id, i, i / 1024.0::DOUBLE AS x, y / 1024.0::DOUBLE AS y FROM o),
+s AS (SELECT user_id, 0::BIGINT AS a, max(i)::BIGINT AS b, false AS cut FROM p GROUP BY 1
+UNION ALL
+SELECT user_id, unnest(CASE WHEN d > 0.0625::DOUBLE * 0.0625::DOUBLE THEN [a, k] ELSE [] END)::BIGINT, unnest(CASE WHEN d > 0.0625::DOUBLE * 0.0625::DOUBLE THEN [k, b] ELSE [] END)::BIGINT, true FROM (
+SELECT user_id, a, b, max(d) AS d, min(i) FILTER (d = m) AS k FROM (
+SELECT *, max(d) OVER (PARTITION BY user_id, a, b) AS m FROM (
+SELECT user_id, a, b, i, (px - (ax + t * dx)) * (px - (ax + t * dx)) + (py - (ay + t * dy)) * (py - (ay + t * dy)) AS d FROM (
+SELECT *, least(greatest(((px - ax) * dx + (py - ay) * dy) / (dx * dx + dy * dy), 0.0), 1.0) AS t FROM (
+SELECT s.user_id, s.a, s.b, c.i, c.x AS px, c.y AS py, f.x AS ax, f.y AS ay, g.x - f.x AS dx, g.y - f.y AS dy
+FROM s JOIN p f ON f.user_id = s.user_id AND f.i = s.a JOIN p g ON g.user_id = s.user_id AND g.i = s.b JOIN p c ON c.user_id = s.user_id AND c.i > s.a AND c.i < s.b)))) GROUP BY user_id, a, b)),
+k AS (SELECT DISTINCT user_id, unnest([a, b]) AS i FROM s), v AS (SELECT user_id, i, round(x / 0.0625) AS gx, round(y / 0.0625) AS gy FROM k JOIN p USING (user_id, i)),
+w AS (SELECT *, lag(gx) OVER u AS lx, lag(gy) OVER u AS ly FROM v WINDOW u AS (PARTITION BY user_id ORDER BY i)),
+n AS (SELECT user_id, count(*) FILTER (lx IS NULL OR gx <> lx OR gy <> ly)::INT AS n FROM w GROUP BY 1) SELECT user_id, n FROM n"""
+
+
+@query(_DP_SQL)
 def dp_simplified_counts(spark, sf_dir):
+    """Vertices that are left where lines are simplified before they are snapped."""
     return event_lines(spark, sf_dir).select("user_id", C.vertex_counts("g", 64 / 1024, has_z=True).alias("n"))
 
 
@@ -347,7 +363,7 @@ def object_id_packing(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", C.object_id(c("o_orderkey") % 65536, c("o_custkey") % 4294967296).alias("object_id"))
 
 
-from . import datasets  # noqa: E402, F401  (it registers the queries over written datasets)
+from . import checks, datasets  # noqa: E402, F401  (they register the queries over written datasets)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -205,7 +205,7 @@ def test_validator_finds(spark, tmp_path, columns, footer, rule):
     changed(good, bad, columns, footer)
     report = validate.validate(spark, bad)
     assert rule in report.rules(), report.text()
-    assert report.has_errors() == (rule not in validate.WARNINGS) or report.has_errors()
+    assert {f.severity for f in report.findings if f.rule == rule} == {"warning" if rule in validate.WARNINGS else "error"}
 
 
 def test_validator_on_payloads_and_ranges(spark, tmp_path):
@@ -381,6 +381,36 @@ def test_native_levels_and_indeterminate_points(spark, tmp_path):
     assert "SOP-Z-003" in validate.validate(spark, bad, "full").rules()
 
 
+def test_sampled_rows(spark, tmp_path):
+    """Sampling sees codes that are null wherever they are, the first geometries beyond any nulls, and all geometries where there is no extent."""
+    good, bad = str(tmp_path / "good.parquet"), str(tmp_path / "bad.parquet")
+    rewrite(spark, shapes(60), "polygon", good)
+    codes = lambda c: pa.array([None if i == 20 else v for i, v in enumerate(c.to_pylist())], c.type)
+    changed(good, bad, {"geokey": codes})
+    assert "SOP-XZ-004" in validate.validate(spark, bad).rules()
+    cut = lambda keep: lambda c: pa.array([v and (v if i < keep else v[:-1]) for i, v in enumerate(c.to_pylist())], c.type)
+    changed(good, bad, {"geometry": cut(30)}, {"geodisplay": lambda d: {k: v for k, v in d.items() if k != "fullExtent"}})
+    assert validate.validate(spark, bad).rules() == ["SOP-EXTENT-001", "SOP-GEOMETRY-001"]
+    t = pq.read_table(good, partitioning=None)
+    late = [None] * 600 + [v and v[:-1] for v in t["geometry"].to_pylist()]
+    rows = t.slice(0, 1).take(pa.array([0] * 600))
+    long = pa.concat_tables([rows, t])
+    long = long.set_column(long.schema.get_field_index("geometry"), "geometry", pa.array(late, pa.binary()))
+    with pq.ParquetWriter(bad, long.schema.remove_metadata(), write_page_index=True, store_schema=False) as w:
+        w.write_table(long)
+        w.add_key_value_metadata(footers.key_values(pq.read_metadata(good)))
+    found = [f for f in validate.validate(spark, bad).findings if f.rule == "SOP-GEOMETRY-001"]
+    assert len(found) == 4 and min(f.row for f in found) >= 600
+
+
+def test_listed_findings_are_few(spark, tmp_path):
+    good, bad = str(tmp_path / "good.parquet"), str(tmp_path / "bad.parquet")
+    rewrite(spark, shapes(260), "polygon", good)
+    changed(good, bad, {"geometry": lambda c: pa.array([v and v[:-1] for v in c.to_pylist()], c.type)})
+    found = [f for f in validate.validate(spark, bad, "full").findings if f.rule == "SOP-GEOMETRY-001"]
+    assert len(found) == 101 and sum("more than 100" in f.message for f in found) == 1
+
+
 def test_page_operators(spark, tmp_path):
     out = str(tmp_path / "a.parquet")
     rewrite(spark, shapes(), "polygon", out, encoding="native", row_group_size=100, page_size=512)
