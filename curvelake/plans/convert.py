@@ -102,7 +102,7 @@ def open_source(spark: SparkSession, i: InputOptions) -> tuple[DataFrame, footer
         df = geopackage.read(spark, i.source, layer["name"], spark.sparkContext.defaultParallelism)
         return df, footers.SourceMetadata(layer["features"], layer["geometry"], types, None, system, system is not None)
     paths = formats.parquet_files(i.source)
-    return footers.reader(spark, paths[0]).parquet(*paths), footers.read(paths)
+    return footers.reader(spark, paths[0]).parquet(*paths), footers.read(paths, spark)
 
 
 @dataclass

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import json
 import math
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -86,6 +87,7 @@ class _File:
     display: dict
     partition: tuple[str, int] | None
     rows: int = 0
+    codes: tuple[int, int] | None = None
 
     @property
     def kind(self) -> str:
@@ -393,19 +395,34 @@ def _data(r: Report, spark: SparkSession, files: list[_File], mode: str) -> None
         _collect(r, filled.where("n > 0 and coalesce(some, 0) = 0"), "SOP-PBF-004", "no payload in the first rows")
 
 
+def _codes(meta, code: str) -> tuple[int, int] | None:
+    """Least and largest code that the row groups' statistics name."""
+    ends = []
+    for g in range(meta.num_row_groups):
+        rg = meta.row_group(g)
+        col = next(rg.column(c) for c in range(rg.num_columns) if rg.column(c).path_in_schema == code)
+        if col.statistics and col.statistics.has_min_max:
+            ends += [int(col.statistics.min), int(col.statistics.max)]
+    return (min(ends), max(ends)) if ends else None
+
+
+def _opened(path: str):
+    """A file's footer and schema, or why it has none."""
+    try:
+        return pq.read_metadata(path), pq.read_schema(path)
+    except Exception as e:
+        return e
+
+
+def _footers(paths: list[str], ahead: int = 64):
+    """Paths and what _opened gives, in order; some are read ahead at once."""
+    with ThreadPoolExecutor(16) as pool:
+        for s in range(0, len(paths), ahead):
+            yield from zip(paths[s : s + ahead], pool.map(_opened, paths[s : s + ahead]))
+
+
 def _ranges(r: Report, spark: SparkSession, files: list[_File]) -> None:
-    rows = []
-    for f in files:
-        meta, code = pq.read_metadata(f.path), _name(f.display["code"])
-        least, most = [], []
-        for g in range(meta.num_row_groups):
-            rg = meta.row_group(g)
-            col = next(rg.column(c) for c in range(rg.num_columns) if rg.column(c).path_in_schema == code)
-            if col.statistics and col.statistics.has_min_max:
-                least.append(int(col.statistics.min))
-                most.append(int(col.statistics.max))
-        if least:
-            rows.append((f.name, f.partition[1] if f.partition else None, min(least), max(most)))
+    rows = [(f.name, f.partition[1] if f.partition else None, *f.codes) for f in files if f.codes]
     if not rows:
         return
     df = spark.createDataFrame(rows, "file string, lower long, minimum long, maximum long")
@@ -424,14 +441,13 @@ def validate(spark: SparkSession, location: str, mode: str = "sample") -> Report
     root = location if os.path.isdir(location) else os.path.dirname(location)
     files: list[_File] = []
     first: dict | None = None
-    for path in formats.parquet_files(location, recursive=True):
+    for path, got in _footers(formats.parquet_files(location, recursive=True)):
         r.files += 1
         name = os.path.relpath(path, root)
-        try:
-            meta, schema = pq.read_metadata(path), pq.read_schema(path)
-        except Exception as e:
-            r.add("SOP-PARQUET-001", f"can't be read: {e}", name)
+        if isinstance(got, Exception):
+            r.add("SOP-PARQUET-001", f"can't be read: {got}", name)
             continue
+        meta, schema = got
         got = _metadata(r, path, name, meta)
         if got is None:
             continue
@@ -446,6 +462,7 @@ def validate(spark: SparkSession, location: str, mode: str = "sample") -> Report
             r.add("SOP-DATASET-001", "schema or metadata differ from the first file's", name)
             continue
         if _structure(r, f, meta):
+            f.codes = _codes(meta, _name(f.display["code"]))
             files.append(f)
     if files:
         native = files[0].display.get("encoding") == "native"

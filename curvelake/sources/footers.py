@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import json
-from dataclasses import dataclass, field
+from dataclasses import asdict, dataclass, field
 from functools import reduce
 
 import pyarrow as pa
 import pyarrow.parquet as pq
 
+#: Files whose footers one task reads.
+RUN = 64
 RESERVED = {"geo", "geodisplay", "ARROW:schema"}
 NATIVE_KEY = "org.apache.spark.sql.parquet.row.metadata"
 SUFFIXES = {" ZM": (True, True), " Z": (True, False), " M": (False, True)}
@@ -103,9 +105,34 @@ def _merge(a: tuple, b: tuple) -> tuple:
     return geo_a, SourceMetadata(x.rows + y.rows, x.geometry_column, types, bbox, x.wkid, x.crs_known, x.covering if x.covering == y.covering else None, pairs)
 
 
-def read(paths: list[str]) -> SourceMetadata:
-    """Of all files together: they must agree in column, encoding and system; types and boxes are united."""
-    return reduce(_merge, map(_one, paths))[1]
+def _read(paths: list[str]) -> tuple[dict | None, SourceMetadata]:
+    return reduce(_merge, map(_one, paths))
+
+
+def read(paths: list[str], spark=None) -> SourceMetadata:
+    """Of all files together: they must agree in column, encoding and system; types and boxes are united. Of many files the tasks of a session read the footers, by runs of neighbours, whose unions the driver unites."""
+    if spark is None or len(paths) <= RUN:
+        return _read(paths)[1]
+
+    def run(batches):
+        for b in batches:
+            for at, some in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                try:
+                    geo, m = _read(some)
+                    row = (at, geo is not None, json.dumps(asdict(m)), None)
+                except ValueError as e:
+                    row = (at, False, None, str(e))
+                yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, (pa.int64(), pa.bool_(), pa.string(), pa.string()))], names=["run", "geo", "meta", "error"])
+
+    runs = [(i, paths[s : s + RUN]) for i, s in enumerate(range(0, len(paths), RUN))]
+    df = spark.createDataFrame(runs, "run long, paths array<string>").repartition(min(len(runs), 4 * spark.sparkContext.defaultParallelism))
+    found = []
+    for r in sorted(df.mapInArrow(run, "run long, geo boolean, meta string, error string").collect()):  # one row a run
+        if r["error"] is not None:
+            raise ValueError(r["error"])
+        m = json.loads(r["meta"])
+        found.append(({} if r["geo"] else None, SourceMetadata(**(m | {"pairs": [tuple(p) for p in m["pairs"]]}))))
+    return reduce(_merge, found)[1]
 
 
 def _spark_type(t: pa.DataType) -> pa.DataType:
@@ -162,7 +189,19 @@ LAYOUT = "file string, row_group int, first_row long, rows long, column string,
 
 
 def layout_table(spark, paths: list[str]):
-    return spark.createDataFrame([tuple(r.values()) for r in layout(paths)], LAYOUT)
+    """layout() of the files, read by the tasks."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    schema = to_arrow_schema(StructType.fromDDL(LAYOUT))
+
+    def run(batches):
+        for b in batches:
+            for path in b.column(0).to_pylist():
+                yield pa.RecordBatch.from_pylist(layout([path]), schema)
+
+    files = spark.createDataFrame([(p,) for p in paths], "path string").repartition(max(1, min(len(paths), 4 * spark.sparkContext.defaultParallelism)))
+    return files.mapInArrow(run, LAYOUT)
 
 
 def summary(layout_df):

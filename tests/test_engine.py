@@ -381,6 +381,21 @@ def test_native_levels_and_indeterminate_points(spark, tmp_path):
     assert "SOP-Z-003" in validate.validate(spark, bad, "full").rules()
 
 
+def test_footers_by_tasks(spark, tmp_path, monkeypatch):
+    """Many files' footers are read by the tasks, with the result that reading one after the other has."""
+    out = str(tmp_path / "out")
+    rewrite(spark, shapes(60), "polygon", out, parts=6)
+    paths = sorted(str(p) for p in (tmp_path / "out").rglob("*.parquet"))
+    whole = footers.read(paths)
+    monkeypatch.setattr(footers, "RUN", 2)
+    assert len(paths) > 2 and footers.read(paths, spark) == whole and whole.rows == 60
+    pq.write_table(pa.table({"a": [1]}), str(tmp_path / "out" / "zz.parquet"))
+    with pytest.raises(ValueError, match="some files have"):
+        footers.read([*paths, str(tmp_path / "out" / "zz.parquet")], spark)
+    table = footers.layout_table(spark, paths).collect()
+    assert sorted(map(tuple, table)) == sorted(tuple(r.values()) for r in footers.layout(paths))
+
+
 def test_sampled_rows(spark, tmp_path):
     """Sampling sees codes that are null wherever they are, the first geometries beyond any nulls, and all geometries where there is no extent."""
     good, bad = str(tmp_path / "good.parquet"), str(tmp_path / "bad.parquet")
