@@ -50,7 +50,7 @@ def altered(source: str, out: str, columns: dict | None = None, footer: dict | N
         t = t.set_column(i, name, pa.array(values, kind))
     kv = footers.key_values(pq.read_metadata(source))
     for key, f in (footer or {}).items():
-        kv[key] = json.dumps(f(json.loads(kv[key]))) if f else None
+        kv[key] = json.dumps(f(json.loads(kv.get(key, "null")))) if f else None
     os.makedirs(os.path.dirname(out), exist_ok=True)
     with pq.ParquetWriter(out, t.schema.remove_metadata(), write_page_index=index, store_schema=False) as w:
         w.write_table(t)
@@ -136,13 +136,21 @@ SPOILT = {
 
 #: case: which datasets of several files are made, and the rules that must be found.
 LAID_OUT = {
-    "a file that is no Parquet": "SOP-PARQUET-001", "no page index": "SOP-PARQUET-002", "two files of one range": "SOP-RANGE-001", "files of two kinds": "SOP-DATASET-001", "files of two metadata": "SOP-DATASET-001",
+    "a repeated key": "SOP-META-002", "a file that is no Parquet": "SOP-PARQUET-001", "no page index": "SOP-PARQUET-002", "two files of one range": "SOP-RANGE-001", "files of two kinds": "SOP-DATASET-001", "files of two metadata": "SOP-DATASET-001",
     "squares in a folder of points": "SOP-PARTITION-001", "codes below the folder's": "SOP-PARTITION-001",
 }
 
 
 def _laid_out(case: str, squares: str, points: str, at: str) -> str:
     copy = lambda name, source=squares, **more: altered(source, os.path.join(at, name), **more)
+    if case == "a repeated key":
+        # Another key of the same length as geodisplay, written beside it, takes its name.
+        path = copy("a.parquet", footer={"geodisplaX": lambda _: {}})
+        with open(path, "rb") as f:
+            data = f.read()
+        with open(path, "wb") as f:
+            f.write(data.replace(b"geodisplaX", b"geodisplay"))
+        return path
     if case == "no page index":
         return copy("a.parquet", index=False)
     if case == "squares in a folder of points":

@@ -118,13 +118,12 @@ def _finite_extent(v) -> bool:
     return isinstance(v, list) and len(v) == 4 and all(isinstance(x, (int, float)) and math.isfinite(x) for x in v) and v[0] <= v[2] and v[1] <= v[3]
 
 
-def _metadata(r: Report, path: str, name: str, meta) -> tuple[dict, dict] | None:
+def _metadata(r: Report, name: str, meta, twice: set[str]) -> tuple[dict, dict] | None:
     """The file's metadata if nothing in it is an error."""
     before = r.error_count
     kv = footers.key_values(meta)
     add = lambda rule, text: r.add(rule, text, name)
     parsed: dict[str, dict] = {}
-    twice = pages.repeated_keys(path)
     for key in ("geo", "geodisplay"):
         if key not in kv:
             add("SOP-META-001", f"footer has no {key}")
@@ -407,9 +406,9 @@ def _codes(meta, code: str) -> tuple[int, int] | None:
 
 
 def _opened(path: str):
-    """A file's footer and schema, or why it has none."""
+    """A file's footer, its schema and the keys that its footer repeats, or why it has none."""
     try:
-        return pq.read_metadata(path), pq.read_schema(path)
+        return pq.read_metadata(path), pq.read_schema(path), pages.repeated_keys(path)
     except Exception as e:
         return e
 
@@ -447,8 +446,8 @@ def validate(spark: SparkSession, location: str, mode: str = "sample") -> Report
         if isinstance(got, Exception):
             r.add("SOP-PARQUET-001", f"can't be read: {got}", name)
             continue
-        meta, schema = got
-        got = _metadata(r, path, name, meta)
+        meta, schema, twice = got
+        got = _metadata(r, name, meta, twice)
         if got is None:
             continue
         f = _File(os.path.abspath(path), name, schema, *got, formats.partition_of(path, root), meta.num_rows)

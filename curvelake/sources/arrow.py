@@ -6,7 +6,8 @@ from dataclasses import dataclass
 
 import pyarrow as pa
 
-from ..functions.wkb import header, NAMES
+from ..functions.batch import simple
+from ..functions.wkb import NAMES, header
 from .footers import SourceMetadata, parse_type
 
 
@@ -27,9 +28,10 @@ def read(spark, batches: list[pa.RecordBatch] | pa.Table, geometry: GeometryDecl
     if geometry.column not in t.schema.names:
         raise ValueError(f"no geometry column {geometry.column!r}")
     allowed = {parse_type(x) for x in geometry.types}
-    for v in t[geometry.column]:
-        if v.is_valid:
-            kind, z, m = header(v.as_py())
+    for chunk in t[geometry.column].chunks:
+        rows = chunk.drop_null().to_pylist()
+        some = simple(rows)
+        for kind, z, m in {(some.kind, some.has_z, some.has_m)} if some else set(map(header, rows)):
             if (NAMES[kind], z, m) not in allowed:
                 raise ValueError(f"geometry {NAMES[kind]} is not one of the declared types {', '.join(geometry.types)}")
     return spark.createDataFrame(t), SourceMetadata(len(t), geometry.column, sorted(geometry.types), None, geometry.wkid, True)
