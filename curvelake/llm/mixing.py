@@ -12,7 +12,8 @@ rounds are dealt to tasks, each of which reads its blocks round by round (a roun
 slots and the rows before them are tables, and sums over rounds are taken in two steps.
 
 Ranks come without a global sort or a task for a whole source: each source is cut by the hash into cells of about CELL rows; the small table of
-cells (one row for CELL rows) is summed up by source in two steps, and rows are ranked within their cell.
+cells (one row for CELL rows) is summed up by source in two steps, and rows are ranked within their cell. The slots of the blocks that a cell has rows of are brought to the cell's row,
+not rows to their blocks: so rows, with all their columns, are shuffled by cell and no second time, at any size.
 
 Cases: a null source is a source of its own; a null id is ranked by its hash like any other. Ties and repeated rows are ranked one after the other. A
 source with no target weight gets the smallest weight that was given, and one whose weight is below one part gets one part; weights of absent sources are ignored. Extra columns are passed through by `mix`; names starting with
@@ -135,17 +136,14 @@ def sources(df: DataFrame, weights: dict | None, power: float, source: str, bloc
     return rows.join(F.broadcast(total)).select("_mix_key", "_mix_n", k.alias("_mix_k"), F.ceil(F.col("_mix_n") / block).alias("_mix_blocks"))
 
 
-def ranked(df: DataFrame, known: DataFrame, source: str, id: str) -> DataFrame:
-    """df with _mix_key and _mix_rank, the row's place in its source from 0 (by a hash of the id)."""
+def celled(df: DataFrame, known: DataFrame, source: str, id: str) -> tuple[DataFrame, DataFrame]:
+    """df with _mix_key, _mix_cell and _mix_u (a hash of the id), and its cells: _mix_key, _mix_cell, _mix_n (rows) and _mix_offset (rows of the source before them)."""
     cells = F.greatest(F.lit(1), F.ceil(F.col("_mix_n") / CELL)).alias("_mix_cells")
     uniform = F.shiftrightunsigned(F.xxhash64(F.col(id), F.lit(11)), 32)  # 32 bits
     rows = df.withColumn("_mix_key", _named(source)).withColumn("_mix_u", uniform)
     rows = spread_join(rows, known.select("_mix_key", cells), "_mix_key", "_mix_u", SALTS)
     rows = rows.withColumn("_mix_cell", F.shiftright(F.col("_mix_u") * F.col("_mix_cells"), 32)).drop("_mix_cells")
-    offsets = running(rows.groupBy("_mix_key", "_mix_cell").agg(F.count("*").alias("_mix_n")), ["_mix_key"], "_mix_cell", {"_mix_n": "_mix_offset"}).drop("_mix_n")
-    within = F.row_number().over(Window.partitionBy("_mix_key", "_mix_cell").orderBy("_mix_u", id)) - 1
-    rows = rows.withColumn("_mix_within", within).join(offsets, ["_mix_key", "_mix_cell"])
-    return rows.withColumn("_mix_rank", F.col("_mix_offset") + F.col("_mix_within")).drop("_mix_u", "_mix_cell", "_mix_within", "_mix_offset")
+    return rows, running(rows.groupBy("_mix_key", "_mix_cell").agg(F.count("*").alias("_mix_n")), ["_mix_key"], "_mix_cell", {"_mix_n": "_mix_offset"})
 
 
 def schedule(known: DataFrame, block: int) -> DataFrame:
@@ -168,7 +166,14 @@ def mix(df: DataFrame, weights: dict | None = None, source: str = "source", id:
     df = df.drop(*({"block", "slot", "position"} - {source, id}))
     # One row a source, as a table: it is read at each step, and the input is counted once.
     known = Tables(df.sparkSession).add(sources(df, weights, power, source, block, parts), "sources")
-    rows = ranked(df, known, source, id).withColumn("_mix_block", F.floor(F.col("_mix_rank") / block))
-    slots = schedule(known, block).withColumnRenamed("block", "_mix_block")
-    out = rows.join(slots, ["_mix_key", "_mix_block"])
-    return out.select(*df.columns, F.col("_mix_block").alias("block"), "slot", (F.col("_mix_at") + F.col("_mix_rank") % block).alias("position"))
+    rows, cells = celled(df, known, source, id)
+    # A cell's blocks follow each other: the i-th of its slots is that of the i-th block it has rows of.
+    first, last = (F.floor(x / block) for x in (F.col("_mix_offset"), F.col("_mix_offset") + F.col("_mix_n") - 1))
+    slots = cells.select("_mix_key", "_mix_cell", "_mix_offset", F.explode(F.sequence(first, last)).alias("block")).join(schedule(known, block), ["_mix_key", "block"])
+    slots = slots.groupBy("_mix_key", "_mix_cell", "_mix_offset").agg(F.sort_array(F.collect_list(F.struct("block", "slot", "_mix_at"))).alias("_mix_slots"))
+    slots = slots.select("_mix_key", "_mix_cell", "_mix_offset", *(F.col(f"_mix_slots.{c}").alias(n) for c, n in (("slot", "_mix_slots"), ("_mix_at", "_mix_ats"))))
+    within = F.row_number().over(Window.partitionBy("_mix_key", "_mix_cell").orderBy("_mix_u", id)) - 1
+    out = rows.withColumn("_mix_within", within).join(slots, ["_mix_key", "_mix_cell"])
+    out = out.withColumn("_mix_rank", F.col("_mix_offset") + F.col("_mix_within")).withColumn("_mix_block", F.floor(F.col("_mix_rank") / block))
+    i = (F.col("_mix_block") - F.floor(F.col("_mix_offset") / block)).cast("int")
+    return out.select(*df.columns, F.col("_mix_block").alias("block"), F.get("_mix_slots", i).alias("slot"), (F.get("_mix_ats", i) + F.col("_mix_rank") % block).alias("position"))

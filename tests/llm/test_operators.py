@@ -496,6 +496,32 @@ def test_mixing_of_very_many_sources(spark):
     assert sorted(r["position"] for r in got) == list(range(9000))
 
 
+def test_mixing_shuffles_rows_once(spark):
+    """However large the schedule, texts are shuffled by cell only (and by source, as no table is small here)."""
+    df = spark.range(3000).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), "id").alias("text"), F.concat(F.lit("s"), F.col("id") % 3).alias("source"))
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        got = mixing.mix(df)
+        plan = got._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+        rows = got.collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert len(re.findall(r"\) Exchange\s+Input \[\d+\]: \[[^\]]*\btext#", plan)) == 2
+    assert sorted(r["position"] for r in rows) == list(range(3000)) and all(r["text"] == f"text {r['doc_id']}" for r in rows)
+
+
+def test_mixing_of_rows_of_one_id(spark):
+    """All in one cell, with more blocks than cells have as a rule; blocks that lie in two cells are one block."""
+    df = spark.range(9000).select(F.when(F.col("id") % 2 > 0, F.col("id")).alias("doc_id"), F.lit("s").alias("source"), F.col("id").alias("n"))
+    got = mixing.mix(df, block=7).collect()
+    assert sorted(r["position"] for r in got) == list(range(9000)) and {r["n"] for r in got} == set(range(9000))
+    assert all(r["slot"] == r["block"] == r["position"] // 7 for r in got)
+
+
 # 7
 
 
